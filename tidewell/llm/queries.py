@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, sharding, simhash
+from . import exact_dedup, mixing, secret_scan, sharding, simhash, spm
 from .common import table
 
 
@@ -26,8 +27,21 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"))
 
 
+#: A public BPE vocabulary of 32,000 pieces; the folder is a parameter of the environment, not part of the library.
+TOKENIZERS = os.environ.get("TIDEWELL_TOKENIZERS", "/opt/tokenizers")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spm.encode(docs, f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_simhash_near_dedup, op7_source_mixing, op9_sharding)}
+    return {f.__name__: f for f in (op2_exact_dedup, op4_simhash_near_dedup, op7_source_mixing, op8_sentencepiece, op9_sharding, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
