@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, mixing, quality, secret_scan, sharding, simhash, spm
+from . import exact_dedup, langid, lattice, mixing, quality, secret_scan, sharding, simhash, spm
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op4_simhash_near_dedup, op6_quality_classifier, op7_source_mixing, op8_sentencepiece, op9_sharding, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_lattice_near_dedup, op4_simhash_near_dedup, op6_quality_classifier, op7_source_mixing, op8_sentencepiece, op9_sharding, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

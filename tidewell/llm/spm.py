@@ -303,8 +303,9 @@ def decode_ids(ids: list[int], model: Model) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text", into: str = "token_ids", check: bool = True) -> DataFrame:
-    """docs with into (array of ids), n_tokens and, if asked, round_trip: whether decoding gives the text back.
+def encode(docs: DataFrame, model_path: str, text_col: str = "text", into: str = "token_ids", check: bool = True, keep_text: bool = False) -> DataFrame:
+    """docs with into (array of ids), n_tokens and, if asked, round_trip: whether decoding gives the text back;
+    without the text, unless it is asked for.
 
     Null and empty texts have no tokens. A text that holds the mark U+2581 itself decodes with spaces, so its
     round_trip is false. Columns of docs with the names of the new ones are replaced; others stay.
@@ -312,8 +313,8 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", into: str =
     bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(Model.load(model_path))  # a vocabulary: below a few MB
     added = [StructField(into, ArrayType(IntegerType(), False)), StructField("n_tokens", LongType())] + [StructField("round_trip", BooleanType())] * check
-    rows = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in {f.name for f in added} - {text_col}] + [F.col(text_col).alias("_tw_text")])
-    kept = [c for c in rows.columns if c != "_tw_text" and c not in {f.name for f in added}]
+    kept = [c for c in docs.columns if c not in {f.name for f in added} and (keep_text or c != text_col)]
+    rows = docs.select([F.col(f"`{c}`") for c in kept] + [F.col(text_col).alias("_tw_text")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model.value)
