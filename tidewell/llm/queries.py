@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, lattice, mixing, quality, secret_scan, sharding, simhash, spm
+from . import exact_dedup, langid, lattice, maxent_lm, mixing, quality, secret_scan, sharding, simhash, spm
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.lm_report(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,7 +57,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_lattice_near_dedup, op4_simhash_near_dedup, op6_quality_classifier, op7_source_mixing, op8_sentencepiece, op9_sharding, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_lattice_near_dedup, op4_simhash_near_dedup, op5_lm_scoring, op6_quality_classifier, op7_source_mixing, op8_sentencepiece, op9_sharding, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
