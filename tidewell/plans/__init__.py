@@ -1 +1,5 @@
-"""Spark-first analytics over content and engagement data."""
+"""Registered queries by subject; each module has QUERIES and ORACLES by name."""
+
+from . import trend
+
+ALL = [trend]
