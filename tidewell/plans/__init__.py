@@ -1,5 +1,5 @@
 """Registered queries by subject; each module has QUERIES and ORACLES by name."""
 
-from . import trend
+from . import scores, trend
 
-ALL = [trend]
+ALL = [trend, scores]
