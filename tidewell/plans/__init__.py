@@ -1,5 +1,5 @@
 """Registered queries by subject; each module has QUERIES and ORACLES by name."""
 
-from . import scores, trend
+from . import scores, texts, trend
 
-ALL = [trend, scores]
+ALL = [trend, scores, texts]
