@@ -1,5 +1,5 @@
 """Registered queries by subject; each module has QUERIES and ORACLES by name."""
 
-from . import scores, texts, trend
+from . import clusters, scores, texts, trend
 
-ALL = [trend, scores, texts]
+ALL = [trend, scores, texts, clusters]
