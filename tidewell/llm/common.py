@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.operators.graph import checkpoint_dir, components, saved  # noqa: F401
+
 #: White space of the text contracts: space, and tab to carriage return.
 BLANK = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,20 +22,6 @@ def id_crc(doc_id: Column | str) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary"))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a folder of our own only where none is configured."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewell-"))
-    return sc.getCheckpointDir()
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: rows are in the shared checkpoint folder, so a lost executor costs nothing."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def rekeyed(df: DataFrame, key: str) -> DataFrame:
     """df with the key made anew, so that a join deals both its sides out and adaptive execution may split a hot key."""
     kind = dict(df.dtypes)[key]
@@ -46,39 +32,6 @@ def rekeyed(df: DataFrame, key: str) -> DataFrame:
     return df
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a, b): rows (node, root), root being the smallest node reachable.
-
-    Every round hooks each root to the smallest root beside it, follows the hooks to their ends (they only
-    fall, so they end) and contracts the edges. The roots that still have edges at least halve every second
-    round, so the rounds grow with the logarithm of the longest chain. Joins are on single keys with
-    pre-aggregated sides; no neighbourhood is ever gathered. Self loops and repeated edges are harmless;
-    an edge with a null end is left out; no edges give no rows.
-    """
-    e = edges.select(F.col("a").alias("a"), F.col("b").alias("b")).where("a is not null and b is not null")
-    e = saved(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = saved(e.select(F.col("a").alias("node")).union(e.select("b")).distinct().withColumn("root", F.col("node")))
-    for _ in range(max_rounds):
-        hooks = e.groupBy(F.col("b").alias("from")).agg(F.min("a").alias("to"))
-        hooks = saved(hooks)
-        if hooks.isEmpty():
-            return labels
-        while True:  # pointer jumping: the chains of hooks halve each time
-            nxt = hooks.select(F.col("from").alias("_f"), F.col("to").alias("_t"))
-            jumped = hooks.join(nxt, F.col("to") == F.col("_f"), "left").select("from", F.coalesce("_t", "to").alias("to"), F.col("_t").isNotNull().alias("_moved"))
-            jumped = saved(jumped)
-            moved = not jumped.where("_moved").isEmpty()
-            hooks = jumped.select("from", "to")
-            if not moved:
-                break
-        labels = saved(labels.join(hooks, F.col("root") == F.col("from"), "left").select("node", F.coalesce("to", "root").alias("root")))
-        ha, hb = hooks.toDF("_fa", "_ta"), hooks.toDF("_fb", "_tb")
-        e = e.join(ha, F.col("a") == F.col("_fa"), "left").join(hb, F.col("b") == F.col("_fb"), "left")
-        e = e.select(F.coalesce("_ta", "a").alias("x"), F.coalesce("_tb", "b").alias("y")).where("x <> y")
-        e = saved(e.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-
-
 def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Arrow batches bounded by bytes, so that long texts don't add up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
