@@ -154,7 +154,7 @@ def excerpt(x: Column, n: int = 80) -> Column:
 #: Booleans of a text: what a reader would notice. The lexicons are parameters of their language.
 FEATURES = {
     "has_question": r"[?？]", "has_number": r"[0-9０-９]", "has_colon": r"[:：]", "has_strong_punctuation": r"[!！]{2,}|[?？]{2,}",
-    "has_hashtag": r"#[^#\s]{1,40}", "has_list": r"(^|\n)\s*(\d+[.)]|[-–—])\s|\s[|•]\s", "has_money": r"[¥￥$€£]|\d+\s*(元|块钱|万元)", "has_all_caps": r"\b[A-Z]{4,}\b",
+    "has_hashtag": r"#[^#\s]{1,40}", "has_list": r"(^|\n)\s*(\d+[.)]|[-–—])\s|\s[|•]\s", "has_money": r"[¥￥$€£]|\d+\s*(元|块钱|万元)", "has_all_caps": r"[A-Z]{4,}",
 }
 
 
