@@ -1,5 +1,5 @@
 """Registered queries by subject; each module has QUERIES and ORACLES by name."""
 
-from . import clusters, intelligence, scores, texts, trend
+from . import clusters, feeds, intelligence, scores, texts, trend
 
-ALL = [trend, scores, texts, clusters, intelligence]
+ALL = [trend, scores, texts, clusters, intelligence, feeds]
