@@ -44,7 +44,7 @@ def features(text: str | None) -> np.ndarray:
     """Sorted ids of the n-gram indicators of a whole text; null and empty texts have none."""
     found: list[np.ndarray] = []
     tokens = _TOKEN.findall(text or "")
-    if len(_SEEN) > 300_000:
+    if len(_SEEN) > 100_000:
         _SEEN.clear()
     for at in range(0, len(tokens), 100_000):
         pairs = []

@@ -77,7 +77,7 @@ def merges(text: str, rank: dict[str, tuple[float, int]]) -> list[str]:
 class Encoder:
     """Encodes batches of texts; keeps the encodings of segments, bounded, from batch to batch."""
 
-    def __init__(self, model: Model, keep: int = 400_000, block: int = 1 << 19, slots: int = 1 << 20):
+    def __init__(self, model: Model, keep: int = 200_000, block: int = 1 << 18, slots: int = 1 << 20):
         self.m, self.keep, self.block = model, keep, block
         usable = [(p, i) for p, (_, i) in model.rank.items() if merges(p, model.rank) == [p]]
         self.width = max((len(p) for p, _ in usable), default=1)
@@ -101,7 +101,17 @@ class Encoder:
 
     def _clear(self) -> None:
         self.seen: dict[str, int] = {}
-        self.flat, self.begin, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.begin, self.count, self.used = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _thin(self) -> None:
+        """Keeps the more used half of the segments; the uses are halved, too, so that what is new has its chance."""
+        stay = np.sort(np.argsort(-self.used, kind="stable")[: self.keep // 2])
+        names = list(self.seen)
+        self.seen = {names[i]: k for k, i in enumerate(stay.tolist())}
+        n = self.count[stay]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        self.flat = self.flat[np.repeat(self.begin[stay] - upto[:-1], n) + np.arange(upto[-1])]
+        self.begin, self.count, self.used = upto[:-1], n, self.used[stay] // 2
 
     @staticmethod
     def _packed(grid: np.ndarray) -> list[np.ndarray]:
@@ -240,7 +250,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, concatenated, and how many each has; null and empty texts have none."""
         if len(self.seen) > self.keep:
-            self._clear()
+            self._thin()
         seen, known, words, sizes = self.seen, len(self.seen), [], []
         fresh: list[str] = []
         for text in texts:
@@ -266,7 +276,9 @@ class Encoder:
         if fresh:
             self.flat, self.count = np.concatenate(flats), np.concatenate(counts)
             self.begin = np.concatenate([[0], np.cumsum(self.count)[:-1]])
+            self.used = np.concatenate([self.used, np.zeros(len(fresh), np.int64)])
         at = np.array(words, dtype=np.int64)
+        self.used += np.bincount(at, minlength=len(self.used))
         n = self.count[at]
         upto = np.concatenate([[0], np.cumsum(n)])
         ids = self.flat[np.repeat(self.begin[at] - upto[:-1], n) + np.arange(upto[-1])]
@@ -310,7 +322,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", into: str =
     Null and empty texts have no tokens. A text that holds the mark U+2581 itself decodes with spaces, so its
     round_trip is false. Columns of docs with the names of the new ones are replaced; others stay.
     """
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 4 << 20)
     model = docs.sparkSession.sparkContext.broadcast(Model.load(model_path))  # a vocabulary: below a few MB
     added = [StructField(into, ArrayType(IntegerType(), False)), StructField("n_tokens", LongType())] + [StructField("round_trip", BooleanType())] * check
     kept = [c for c in docs.columns if c not in {f.name for f in added} and (keep_text or c != text_col)]
@@ -324,8 +336,8 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", into: str =
             offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             out = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array(n.astype(np.int64))]
             if check:
-                flat = ids.tolist()
-                out.append(pa.array([decode_ids(flat[a:b], model.value) == (t or "") for a, b, t in zip(offsets[:-1].tolist(), offsets[1:].tolist(), texts)]))
+                ends = offsets.tolist()  # lists of ids are made text by text, which bounds their memory
+                out.append(pa.array([decode_ids(ids[a:b].tolist(), model.value) == (t or "") for a, b, t in zip(ends[:-1], ends[1:], texts)]))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + out, names=kept + [f.name for f in added])
 
     return rows.mapInArrow(run, StructType([f for f in rows.schema if f.name in kept] + added))
