@@ -102,4 +102,4 @@ def series(snapshots: DataFrame) -> DataFrame:
     """Each item's snapshots in order, with what they gained over the one before and over the first."""
     w = Window.partitionBy("item_id").orderBy("captured_at")
     gain = F.col("likes") - F.lag("likes").over(w)
-    return snapshots.select("item_id", "captured_at", F.row_number().over(w).alias("n"), "likes", gain.alias("gain"), (F.col("likes") - F.first("likes").over(w)).alias("gain_in_all"))
+    return snapshots.select("item_id", "captured_at", F.row_number().over(w).cast("long").alias("n"), "likes", gain.alias("gain"), (F.col("likes") - F.first("likes").over(w)).alias("gain_in_all"))

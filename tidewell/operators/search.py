@@ -70,4 +70,4 @@ def keywords(docs: DataFrame, group: str, words: str = "words", key: str = "item
     j = tf.join(df, "word").join(sizes, group).join(F.broadcast(n))
     score = F.floor(F.col("tf") / F.col("m") * F.log(1 + F.col("n") / (1 + F.col("df"))) * 1e6 + 0.5) / 1e6
     w = Window.partitionBy(group).orderBy(F.desc("score"), "word")
-    return j.withColumn("score", score).withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).select(group, "word", "score", "r")
+    return j.withColumn("score", score).withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).select(group, "word", "score", F.col("r").cast("long").alias("r"))

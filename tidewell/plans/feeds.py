@@ -113,4 +113,4 @@ def discovery_ranks(spark, sf_dir):
     from pyspark.sql import Window
 
     w = Window.partitionBy(F.to_date("ts")).orderBy(F.desc("value"), "event_id")
-    return table(spark, sf_dir, "events").withColumn("rank", F.row_number().over(w)).where("rank <= 10").select(F.to_date("ts").alias("day"), "event_id", "rank")
+    return table(spark, sf_dir, "events").withColumn("rank", F.row_number().over(w)).where("rank <= 10").select(F.to_date("ts").alias("day"), "event_id", F.col("rank").cast("long").alias("rank"))

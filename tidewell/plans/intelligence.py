@@ -183,7 +183,7 @@ def evidence_topk(spark, sf_dir):
 
     s = S.burst(event_items(spark, sf_dir), event_snapshots(spark, sf_dir), NOW, UPVOTING).where("score is not null")
     w = Window.partitionBy("topic_id").orderBy(F.desc("score"), "item_id")
-    return s.withColumn("r", F.row_number().over(w)).where("r <= 5").select("topic_id", "item_id", "score", "r")
+    return s.withColumn("r", F.row_number().over(w)).where("r <= 5").select("topic_id", "item_id", "score", F.col("r").cast("long").alias("r"))
 
 
 @query("SELECT conv_id, count(*) AS claims FROM (SELECT conv_id, unnest(regexp_extract_all(text, '[A-Za-z]{8,}')) AS claim FROM conversations WHERE role = 'assistant') a WHERE NOT EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = a.conv_id AND c.role <> 'assistant' AND list_contains(regexp_extract_all(c.text, '[A-Za-z]{8,}'), a.claim)) GROUP BY 1")

@@ -97,7 +97,7 @@ def title_labels(spark, sf_dir):
     pairs = F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))
     c = d.select("source", F.explode(pairs).alias("bigram")).groupBy("source", "bigram").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     w = Window.partitionBy("source").orderBy(F.desc("n"), "bigram")
-    return c.withColumn("r", F.row_number().over(w)).where("r <= 2")
+    return c.withColumn("r", F.row_number().over(w).cast("long")).where("r <= 2")
 
 
 @query("SELECT 'documents' AS part, count(*) AS n, count(text) AS filled FROM documents UNION ALL SELECT 'labels', count(*), count(quality) FROM labels UNION ALL SELECT 'pages', count(*), count(html) FROM pages UNION ALL SELECT 'embeddings', count(*), count(embedding) FROM embeddings")

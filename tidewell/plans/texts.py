@@ -202,7 +202,7 @@ def _index(spark, sf_dir):
 
 @query(f"WITH {_TOK} SELECT item_id, count(*) AS tokens, count(DISTINCT token) AS different, max(pos) AS last_pos FROM tok GROUP BY 1")
 def search_tokens(spark, sf_dir):
-    return _index(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("tokens"), F.count_distinct("token").alias("different"), F.max("pos").alias("last_pos"))
+    return _index(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("tokens"), F.count_distinct("token").alias("different"), F.max("pos").cast("long").alias("last_pos"))
 
 
 @query(f"WITH {_TOK} SELECT item_id FROM tok WHERE token IN ('the', 'license', 'version') GROUP BY 1 HAVING count(DISTINCT token) = 3")
