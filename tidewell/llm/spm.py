@@ -322,7 +322,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", into: str =
     Null and empty texts have no tokens. A text that holds the mark U+2581 itself decodes with spaces, so its
     round_trip is false. Columns of docs with the names of the new ones are replaced; others stay.
     """
-    bounded_batches(docs.sparkSession, 4 << 20)
+    bounded_batches(docs.sparkSession, 2 << 20)
     model = docs.sparkSession.sparkContext.broadcast(Model.load(model_path))  # a vocabulary: below a few MB
     added = [StructField(into, ArrayType(IntegerType(), False)), StructField("n_tokens", LongType())] + [StructField("round_trip", BooleanType())] * check
     kept = [c for c in docs.columns if c not in {f.name for f in added} and (keep_text or c != text_col)]
