@@ -219,6 +219,17 @@ def test_language_model_is_a_distribution(docs):
     assert (10**p).sum() + 10 ** maxent_lm.log10_members(w, end)[0] + rest == pytest.approx(1.0, abs=1e-4)
 
 
+def test_language_model_learns_from_every_token(spark):
+    """Each feature row that a training token uses has moved from its start."""
+    texts = [" ".join(f"word{(k * 37 + j * j) % 500}" for j in range(30)) for k in range(40)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lex = maxent_lm.lexicon(maxent_lm.word_counts(rows), rows.count())
+    w = maxent_lm.train(rows, lex)
+    b = maxent_lm.Batch([maxent_lm.tokens(t) for t in texts], lex)
+    for used, table in zip(maxent_lm._rows(b.features, b.member // maxent_lm.MEMBERS), (w.of_class, w.of_member)):
+        assert (table[used] != 0).any(axis=2).all()
+
+
 def _as(batch, member):
     batch.member = np.array([member])
     out = maxent_lm.Batch.__new__(maxent_lm.Batch)

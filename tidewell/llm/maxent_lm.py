@@ -146,10 +146,16 @@ def _log_softmax(s: np.ndarray) -> np.ndarray:
     return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
 
 
-def _scores(w: Weights, rc: np.ndarray, rm: np.ndarray, klass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    a = w.of_class[rc[0]] + w.of_class[rc[1]] + w.of_class[rc[2]] + w.of_class[CLASS_ROWS]
-    b = w.of_member[rm[0]] + w.of_member[rm[1]] + w.of_member[rm[2]] + w.of_member[MEMBER_ROWS + klass]
-    return _log_softmax(a), _log_softmax(b)
+def _sums(w: Weights, rc: np.ndarray, rm: np.ndarray, klass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a = w.of_class.take(rc[0], axis=0)
+    a += w.of_class.take(rc[1], axis=0)
+    a += w.of_class.take(rc[2], axis=0)
+    a += w.of_class[CLASS_ROWS]
+    b = w.of_member.take(rm[0], axis=0)
+    b += w.of_member.take(rm[1], axis=0)
+    b += w.of_member.take(rm[2], axis=0)
+    b += w.of_member.take(MEMBER_ROWS + klass, axis=0)
+    return a, b
 
 
 def log10_members(w: Weights, batch: Batch, step: int = 16384) -> np.ndarray:
@@ -159,7 +165,7 @@ def log10_members(w: Weights, batch: Batch, step: int = 16384) -> np.ndarray:
         m = batch.member[at : at + step]
         klass, row = m // MEMBERS, np.arange(len(m))
         rc, rm = _rows(batch.features[:, at : at + step], klass)
-        a, b = _scores(w, rc, rm, klass)
+        a, b = (_log_softmax(x) for x in _sums(w, rc, rm, klass))
         out[at : at + step] = (a[row, klass] + b[row, m % MEMBERS]) / math.log(10)
     return out
 
@@ -173,36 +179,49 @@ class Descent:
         self.seen = [np.zeros(len(self.w.of_class), np.float32), np.zeros(len(self.w.of_member), np.float32)]
 
     def _apply(self, k: int, table: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
+        """An update of feature rows; grad goes round once per feature. 16-bit rows are sorted by radix."""
+        order = np.argsort(rows.astype(np.uint16), kind="stable")
         rows = rows[order]
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        total, own = np.add.reduceat(grad[order], first, axis=0), rows[first]
-        self.past[k][own] += (total * total).mean(axis=1)
+        self._move(k, table, rows[first], np.add.reduceat(grad.take(order % len(grad), axis=0), first, axis=0), np.diff(np.concatenate([first, [len(rows)]])))
+
+    def _move(self, k: int, table: np.ndarray, own: np.ndarray, total: np.ndarray, n: np.ndarray) -> None:
+        self.past[k][own] += np.einsum("ij,ij->i", total, total) / total.shape[1]
         table[own] -= self.rate * total / np.sqrt(self.past[k][own])[:, None]
-        self.seen[k][own] += np.diff(np.concatenate([first, [len(rows)]]))
+        self.seen[k][own] += n
 
-    def learn(self, batch: Batch, pick: np.ndarray, step: int = 4096) -> None:
-        for at in range(0, len(pick), step):
-            own = pick[at : at + step]
-            m = batch.member[own]
+    def learn(self, batch: Batch, step: int = 4096) -> None:
+        """One pass with every token as a target."""
+        for at in range(0, len(batch.member), step):
+            m = batch.member[at : at + step]
             klass, row = m // MEMBERS, np.arange(len(m))
-            rc, rm = _rows(batch.features[:, own], klass)
-            a, b = (np.exp(x) for x in _scores(self.w, rc, rm, klass))
-            a[row, klass] -= 1
-            b[row, m % MEMBERS] -= 1
-            self._apply(0, self.w.of_class, np.concatenate([*rc, np.full(len(m), CLASS_ROWS)]), np.tile(a, (4, 1)))
-            self._apply(1, self.w.of_member, np.concatenate([*rm, MEMBER_ROWS + klass]), np.tile(b, (4, 1)))
+            rc, rm = _rows(batch.features[:, at : at + step], klass)
+            a, b = _sums(self.w, rc, rm, klass)
+            for s, target in ((a, klass), (b, m % MEMBERS)):
+                s -= s.max(axis=1, keepdims=True)
+                np.exp(s, out=s)
+                s /= s.sum(axis=1, keepdims=True)
+                s[row, target] -= 1
+            self._apply(0, self.w.of_class, rc.ravel(), a)
+            self._apply(1, self.w.of_member, rm.ravel(), b)
+            # a bias belongs to many tokens: summed without sorting
+            self._move(0, self.w.of_class, np.array([CLASS_ROWS]), a.sum(axis=0, keepdims=True), np.array([len(m)]))
+            n = np.bincount(klass, minlength=CLASSES)
+            own = np.flatnonzero(n)
+            self._move(1, self.w.of_member, MEMBER_ROWS + own, (np.arange(CLASSES)[:, None] == klass).astype(np.float32)[own] @ b, n[own])
 
 
 BLOCK = 1024  # feature rows in a block of an update
+TASK_TOKENS = 1 << 20  # a training task gets about so many tokens or more, if there are enough for every core
 
 
-def train(docs: DataFrame, lex: Lexicon, text_col: str = "text", id_col: str = "doc_id", rounds: int = 2, share: int = 4) -> Weights:
+def train(docs: DataFrame, lex: Lexicon, text_col: str = "text", id_col: str = "doc_id", rounds: int = 2) -> Weights:
     """Weights after `rounds` distributed updates. A round runs over the documents that a hash gives it, so each is
-    seen once; in every document each share-th token, from a hashed start, is a target. Updates are averaged by
-    feature row, weighted by use, in two steps of a bounded fan-in; the driver gets the averages, 5 MB, whatever
-    the corpus."""
+    seen once, and every token of it is a target. Updates are averaged by feature row, weighted by use, in two steps
+    of a bounded fan-in; the driver gets the averages, 5 MB, whatever the corpus. Small partitions share a task, so
+    that the updates (5 MB a task) stay small beside the texts."""
     spark = docs.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-lex.total // TASK_TOKENS))
     known, now = spark.sparkContext.broadcast(lex), Weights.zero()
     rows = docs.select(F.col(text_col).alias("text"), id_crc(F.concat(F.lit("lm"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("h"))
     for turn in range(rounds):
@@ -211,10 +230,8 @@ def train(docs: DataFrame, lex: Lexicon, text_col: str = "text", id_col: str = "
         def update(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             d, used = Descent(sent.value), False
             for pdf in batches:
-                for some, at in _portions(pdf["text"]):
-                    b = Batch(some, known.value)
-                    within = np.arange(len(b.member)) + np.repeat(pdf["h"].to_numpy()[at : at + len(some)] // 64, b.size)
-                    d.learn(b, np.flatnonzero(within % share == 0))
+                for some, _ in _portions(pdf["text"]):
+                    d.learn(Batch(some, known.value))
                     used = True
             if not used:
                 return
@@ -231,7 +248,7 @@ def train(docs: DataFrame, lex: Lexicon, text_col: str = "text", id_col: str = "
             n, moved = (np.sum([np.frombuffer(x, dtype=np.float32) for x in pdf[c]], axis=0) for c in ("n", "moved"))
             return pd.DataFrame({"k": pdf["k"][:1], "at": pdf["at"][:1], "task": pdf["task"][:1] // 1024, "n": [n.tobytes()], "moved": [moved.tobytes()]})
 
-        parts = rows.where(F.col("h") % rounds == turn).select("text", "h").mapInPandas(update, schema)
+        parts = rows.where(F.col("h") % rounds == turn).select("text").coalesce(tasks).mapInPandas(update, schema)
         # 1024 groups of tasks first, then one: no group holds more than about a thousandth of the tasks, or 1024 rows
         parts = parts.groupBy("k", "at", F.expr("task % 1024 as g")).applyInPandas(add, schema)
         total = parts.groupBy("k", "at").applyInPandas(add, schema).collect()
