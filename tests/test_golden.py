@@ -190,6 +190,49 @@ def test_stream_equals_batch(spark):
     assert sorted((tuple(r) for r in got.select("user_id", "state", "changes", "last").collect())) == sorted(tuple(r) for r in want.collect())
 
 
+def test_streams_over_many_unordered_files(spark, tmp_path):
+    """70 files, two batches, the newest events first; the days reach back 140."""
+    import os
+    import random
+    from collections import Counter, defaultdict
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tidewell.plans import feeds
+
+    rng, day0, rows = random.Random(1), dt.datetime(2024, 1, 1), []
+    (tmp_path / "events.parquet").mkdir()
+    for k in range(70):
+        some = [{"event_id": 10 * k + j, "ts": day0 + dt.timedelta(days=2 * (69 - k), minutes=rng.randrange(2880)), "user_id": rng.randrange(5), "event_type": rng.choice(["view", "purchase", "error", "click"]), "value": float(j)} for j in range(10)]
+        rows += some
+        path = tmp_path / "events.parquet" / f"part-{k:03}.parquet"
+        pq.write_table(pa.Table.from_pylist(some).cast(pa.schema([("event_id", "int64"), ("ts", pa.timestamp("us")), ("user_id", "int64"), ("event_type", "string"), ("value", "float64")])), path)
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+    q = lambda name: [tuple(r) for r in feeds.QUERIES[name](spark, str(tmp_path)).collect()]
+    days, since, kinds = Counter(r["ts"].date() for r in rows), Counter(), defaultdict(set)
+    for r in rows:
+        kinds[r["user_id"]].add(r["event_type"])
+        since.update((r["ts"].date() - dt.timedelta(days=d), r["event_type"]) for d in range(7))
+    assert {r[0]: r[1] for r in q("stream_day_buckets")} == days
+    assert {r[:2]: r[2] for r in q("stream_sliding_windows")} == since
+    assert sorted(q("stream_dedup")) == sorted((u, len(k)) for u, k in kinds.items())
+    want = []
+    for u in range(5):
+        mood, pending, n, changes = None, None, 0, 0
+        mine = sorted((r["ts"], r["event_id"], r["event_type"]) for r in rows if r["user_id"] == u)
+        for _, _, kind in mine:
+            new = {"purchase": "buying", "error": "troubled"}.get(kind, "looking")
+            if mood is None or new == mood:
+                mood, pending, n = new, None, 0
+                continue
+            n, pending = n + 1 if new == pending else 1, new
+            if n == 2 or new == "troubled":
+                mood, pending, n, changes = new, None, 0, changes + 1
+        want.append((u, mood, changes, mine[-1][0]))
+    assert sorted(q("stream_lifecycle")) == want
+
+
 def test_plans_push_down(spark):
     df = spark.read.parquet(f"{SMALL}/events.parquet").where("user_id = 3").select("user_id", "value")
     plan = df._jdf.queryExecution().toString()

@@ -85,7 +85,7 @@ def stream_sliding_windows(spark, sf_dir):
 @query("SELECT user_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1")
 def stream_dedup(spark, sf_dir):
     """Each user's kinds of event, each taken once from the stream."""
-    seen = J.run_to_end(J.once(J.stream(spark, f"{sf_dir}/events.parquet").select("user_id", "event_type", "ts"), ["user_id", "event_type"], "60 days"), ["user_id", "event_type"], "append")
+    seen = J.run_to_end(J.once(J.stream(spark, f"{sf_dir}/events.parquet").select("user_id", "event_type", "ts"), ["user_id", "event_type"]), ["user_id", "event_type"], "append")
     return seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("kinds"))
 
 
@@ -99,7 +99,7 @@ def stream_current(spark, sf_dir):
 @query()
 def stream_lifecycle(spark, sf_dir):
     """Moods with hysteresis; the tests hold them against the batch form."""
-    return J.run_to_end(J.moods(J.stream(spark, f"{sf_dir}/events.parquet")), ["user_id"])
+    return J.moods(J.stream(spark, f"{sf_dir}/events.parquet"))
 
 
 @query("SELECT page_id, CASE WHEN length(t) > 80 THEN left(t, 80) || '…' ELSE t END AS excerpt FROM (SELECT page_id, trim(regexp_replace(url, '\\s+', ' ', 'g')) AS t FROM pages)")

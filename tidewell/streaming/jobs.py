@@ -2,6 +2,8 @@
 
 Each runs with availableNow over what is there and keeps its progress in a checkpoint folder, so a restart goes on
 where it stopped. Results of update mode are appended with their batch number, and the newest row of a key counts.
+Files may come in any order: without a watermark, the default, no row is late. An endless stream gives one (`late`) to
+bound its state, and rows later than that are then left out.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ def stream(spark: SparkSession, path: str, files_a_batch: int = 64) -> DataFrame
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def run_to_end(df: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
-    """All that a streaming frame has to say now: the last row of each key."""
+def landed(df: DataFrame, mode: str = "append") -> DataFrame:
+    """All rows that a streaming frame gives, with the number of their batch (_batch)."""
     spark = df.sparkSession
     place = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
@@ -32,34 +34,43 @@ def run_to_end(df: DataFrame, keys: list[str], mode: str = "update") -> DataFram
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{place}/rows/_b={number}")  # the same batch again replaces itself
 
     df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.option("basePath", f"{place}/rows").parquet(f"{place}/rows").drop("_b")
-    return latest_by(rows, keys, ["_batch"]).drop("_batch")
+    return spark.read.option("basePath", f"{place}/rows").parquet(f"{place}/rows").drop("_b")
+
+
+def run_to_end(df: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
+    """All that a streaming frame has to say now: the last row of each key."""
+    return latest_by(landed(df, mode), keys, ["_batch"]).drop("_batch")
+
+
+def _timed(events: DataFrame, late: str | None) -> DataFrame:
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows.withWatermark("ts", late) if late else rows
 
 
-def day_buckets(events: DataFrame, late: str = "7 days") -> DataFrame:
-    """Per day: events and values, late rows included up to the watermark."""
-    w = F.window(F.col("ts"), "1 day")
-    g = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(w)
+def day_buckets(events: DataFrame, late: str | None = None) -> DataFrame:
+    """Per day: events and values."""
+    g = _timed(events, late).groupBy(F.window(F.col("ts"), "1 day"))
     return g.agg(F.count(F.lit(1)).alias("events"), F.sum(F.floor(F.col("value") * 100 + 0.5).cast("long")).alias("total")).select(F.to_date("window.start").alias("day"), "events", "total")
 
 
-def sliding(events: DataFrame, size: str = "7 days", step: str = "1 day", late: str = "7 days") -> DataFrame:
-    g = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", size, step), "event_type")
+def sliding(events: DataFrame, size: str = "7 days", step: str = "1 day", late: str | None = None) -> DataFrame:
+    g = _timed(events, late).groupBy(F.window("ts", size, step), "event_type")
     return g.agg(F.count(F.lit(1)).alias("events")).select(F.to_date("window.start").alias("since"), "event_type", "events")
 
 
-def once(events: DataFrame, keys: list[str], late: str = "7 days") -> DataFrame:
-    """The stream without rows that repeat keys within the watermark."""
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+def once(events: DataFrame, keys: list[str], late: str | None = None) -> DataFrame:
+    """The stream without rows that repeat keys; with a watermark, that repeat them within it."""
+    rows = _timed(events, late)
+    return rows.dropDuplicatesWithinWatermark(keys) if late else rows.dropDuplicates(keys)
 
 
 STATE = "user_id long, state string, changes int, last timestamp"
 
 
-def _advance(state: tuple, rows: pd.DataFrame) -> tuple:
+def _advance(state: tuple, kinds: pd.Series) -> tuple:
     """(mood, pending, confirmations, changes): a new mood counts from its second event in a row, errors at once."""
     mood, pending, n, changes = state
-    for kind in rows.sort_values(["ts", "event_id"])["event_type"]:
+    for kind in kinds:
         want = {"purchase": "buying", "signup": "buying", "error": "troubled"}.get(kind, "looking")
         if mood is None or want == mood:
             mood, pending, n = want, None, 0
@@ -72,28 +83,37 @@ def _advance(state: tuple, rows: pd.DataFrame) -> tuple:
 
 
 def moods_of(events: DataFrame) -> DataFrame:
-    """The batch form: each user's mood after all events, with hysteresis. A user's events meet in one task."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        mood, _, _, changes = _advance((None, None, 0, 0), rows)
-        return pd.DataFrame({"user_id": [key[0]], "state": [mood], "changes": [changes], "last": [rows["ts"].max()]})
-
-    return events.select("user_id", "event_id", "ts", "event_type").withColumn("ts", F.col("ts").cast("timestamp")).groupBy("user_id").applyInPandas(run, STATE)
+    """The batch form: each user's mood after all events, with hysteresis. A task goes over its users' events in the
+    order of time and holds one Arrow batch, however many events a user has."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, state, last = None, (None, None, 0, 0), None
+        said = lambda: (user, state[0], state[3], last)
+        for pdf in batches:
+            done = []
+            for key, rows in pdf.groupby("user_id", sort=False):
+                if key != user:
+                    if user is not None:
+                        done.append(said())
+                    user, state, last = key, (None, None, 0, 0), None
+                state = _advance(state, rows["event_type"])
+                new = rows["ts"].max()
+                last = new if last is None or pd.isna(last) else last if pd.isna(new) else max(last, new)
+            if done:
+                yield pd.DataFrame(done, columns=["user_id", "state", "changes", "last"])
+        if user is not None:
+            yield pd.DataFrame([said()], columns=["user_id", "state", "changes", "last"])
+
+    rows = events.select(F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("user_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    rows = rows.repartition("user_id").sortWithinPartitions("user_id", F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
+    told = rows.select("user_id", "ts", "event_type").mapInPandas(run, STATE.replace("user_id long", "user_id string"))
+    return told.withColumn("user_id", F.nullif(F.col("user_id"), F.lit("")).cast("long"))
 
 
 def moods(events: DataFrame) -> DataFrame:
-    """The streaming form, a state per user that lasts from batch to batch."""
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts))
-        was = state.get if state.exists else (None, None, 0, 0, None)
-        mood, pending, n, changes = _advance(was[:4], rows)
-        last = rows["ts"].max() if was[4] is None else max(rows["ts"].max(), pd.Timestamp(was[4], unit="us"))
-        state.update((mood, pending, n, changes, int(last.value // 1000)))
-        yield pd.DataFrame({"user_id": [key[0]], "state": [mood], "changes": [changes], "last": [last]})
-
-    rows = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    return rows.groupBy("user_id").applyInPandasWithState(run, STATE, "mood string, pending string, n int, changes int, last long", "update", "NoTimeout")
+    """The streaming form. A mood depends on the order of time, which files need not keep: the stream's rows are
+    stored batch by batch, then each user's are replayed."""
+    return moods_of(landed(events.select("user_id", "event_id", "ts", "event_type")))
 
 
 def upsert_stream(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
