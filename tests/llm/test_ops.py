@@ -147,6 +147,10 @@ def test_lattice_recall_at_the_threshold(how):
     assert ((a[:, :, :1] == b).any(axis=2) | (b[:, :, :1] == a).any(axis=2)).any(axis=1).mean() > 0.99
 
 
+def test_lattice_tables_do_not_depend_on_the_number_of_vectors():
+    assert len({str(lattice.plan(n)) for n in (0, 10, 1 << 22, (1 << 22) + 1, 1 << 30)}) == 1
+
+
 def test_lattice_crowded_cell_in_blocks(spark):
     rows = [(k, [1.0, 0.001 * k, 0.0, 0.0]) for k in range(90)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

@@ -206,10 +206,8 @@ def linked(classes: DataFrame, threshold: float = THRESHOLD, block: int = 2000,
 
 
 def plan(vectors: int) -> dict:
-    """Tables by how many vectors there are: more blocks make finer cells, more tables keep the recall."""
-    if vectors <= 1 << 22:
-        return {"tables": 6, "blocks": 2}
-    return {"tables": 10, "blocks": 3}
+    """The tables, the same for any number of vectors, so that no link depends on it; crowded cells go by blocks."""
+    return {"tables": 6, "blocks": 2}
 
 
 def near_vectors(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, **how) -> DataFrame:
