@@ -300,6 +300,18 @@ def test_sentencepiece(spark, docs, odd, pieces):
     assert back.where("text <> was").count() == 0 and back.count() == docs.count()
 
 
+def test_sentencepiece_long_segments(pieces):
+    """Texts without spaces: right whole, and a megabyte in seconds. Rows of one character need the walk."""
+    ours, theirs = pieces
+    rng = random.Random(2)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(1_000_000))
+    texts = [han, base64.b64encode(rng.randbytes(300_000)).decode(), "a" * 60_000, "abc" * 9_000, "=" * 5_001 + "." * 3_000, "é" * 300 + "x😀" * 600 + "\n" * 700]
+    texts += ["".join(rng.choice(["a", "b", "the", "in", "▁", "=", "--", "日本", "😀"]) for _ in range(rng.randint(100, 900))) for _ in range(100)]
+    for t in texts:
+        began = time.time()
+        assert ours.encode([t])[0].tolist() == theirs.encode(t) and time.time() - began < 60
+
+
 def test_sharding(spark, docs, odd):
     for df in (docs, clash(odd)):
         got = sharding.shard_report(df, rows_a_slice=3).collect()

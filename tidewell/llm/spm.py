@@ -1,15 +1,21 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-A batch's new segments (text between two word-start marks; no piece reaches over one) are concatenated. The suffix
-array of that text, ordered as far as the longest piece, is searched by bisection for every piece at once; each
-piece's occurrences are a range of it. The resulting edges are dealt out by start and length, and relaxed from left
-to right for all segments together. In a BPE model the text up to any point has one encoding, and a token may end it
-exactly if the merges leave it and the token before it apart; so relaxing an edge means testing that pair, which is
-remembered. The ids equal those of the library for the whole text.
+Of a batch's text, what is concatenated are the segments (text between two word-start marks; no piece reaches over one)
+that the worker does not remember from before. The suffix array of that, ordered as far as the longest piece, is searched
+by bisection for every piece at once; each piece's occurrences are a range of it. The resulting edges are sorted by
+length and dealt out by start, and relaxed from left to right for all segments together. In a BPE model the text up to
+any point has one encoding, and a token may end it exactly if the merges leave it and the token before it apart; so
+relaxing an edge means testing that pair, which is remembered. The ids equal those of the library for the whole text.
+
+A long segment (script without spaces, say) is relaxed in chunks, all at once, each from some way before its own start.
+What token ends at a point depends only on those that end at the points before it within a piece's length; so where a
+chunk agrees with the one before it over that length, it is right from there on. Where it does not, it is walked point by
+point from the known ends. Time grows with the text's length.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -97,6 +103,9 @@ class Encoder:
         self.high = self._packed(np.where(tail, np.uint64(0xFFFF), grid))
         self.pair_key = np.full(slots, -1, dtype=np.int64)  # a direct-mapped memory of tested pairs
         self.pair_ok = np.zeros(slots, dtype=bool)
+        self.apart: dict[tuple[int, int], bool] = {}  # the same pairs, for the walk point by point
+        self.window: tuple = (None, 0, 0, [])  # segment, from, to and edges of the walk's last window
+        self.chunk, self.lead = 8 * self.width, 4 * self.width
         self._clear()
 
     def _clear(self) -> None:
@@ -186,9 +195,83 @@ class Encoder:
 
     def _encode_new(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the segments, concatenated, and how many each has."""
+        far = [i for i, s in enumerate(segments) if len(s) > 2 * self.chunk]
+        if not far:
+            return self._short(segments)
+        done: list[np.ndarray] = [np.zeros(0, np.int32)] * len(segments)
+        near = sorted(set(range(len(segments))) - set(far))
+        if near:
+            ids, n = self._short([segments[i] for i in near])
+            for i, own in zip(near, np.split(ids, np.cumsum(n)[:-1])):
+                done[i] = own
+        for i, own in zip(far, self._long([segments[i] for i in far])):
+            done[i] = own
+        return np.concatenate(done), np.array([len(own) for own in done], dtype=np.int64)
+
+    def _long(self, segments: list[str]) -> Iterator[np.ndarray]:
+        """Ids of long segments, one after the other; their chunks are relaxed together, in blocks of a bounded size."""
+        parts = ((s, at, s[max(0, at - self.lead) : at + self.chunk]) for s in segments for at in range(0, len(s), self.chunk))
+        last = step = None
+        while some := list(itertools.islice(parts, max(1, self.block // (self.chunk + self.lead)))):
+            _, begin, lens, ends, steps = self._relax([p for _, _, p in some])
+            for (s, at, part), b, n in zip(some, begin.tolist(), lens.tolist()):
+                if at == 0:
+                    last, step = np.full(len(s) + 1, START, np.int32), np.zeros(len(s) + 1, np.int8)
+                before = min(at, self.lead)
+                if at == 0 or (ends[b + before - self.width + 1 : b + before + 1] == last[at - self.width + 1 : at + 1]).all():
+                    last[at + 1 : at + n - before + 1], step[at + 1 : at + n - before + 1] = ends[b + before + 1 : b + n + 1], steps[b + before + 1 : b + n + 1]
+                else:
+                    self._walk(s, at, at + n - before, last, step)
+                if at + n - before == len(s):
+                    self.window = (None, 0, 0, [])
+                    yield self._back(s, last, step)
+
+    def _walk(self, s: str, at: int, end: int, last: np.ndarray, step: np.ndarray) -> None:
+        """Fills last and step of a segment after `at`, up to end, from what they hold before it."""
+        o = at - self.width
+        if self.window[0] is not s or not self.window[1] <= o <= end <= self.window[2]:  # edges of many chunks at once
+            far = min(len(s), o + 128 * self.chunk)
+            codes = np.append(self.code[np.frombuffer(s[o:far].encode("utf-32-le", "surrogatepass"), dtype="<u4")], np.uint16(0))
+            self.window = (s, o, far, self._edges(codes))
+        columns = [c[o - self.window[1] : end - self.window[1]].tolist() for c in self.window[3]]
+        ends = last[o : end + 1].tolist()
+        pieces, rank, apart = self.m.pieces, self.m.rank, self.apart
+        if len(apart) > 1_000_000:
+            apart.clear()
+        for j in range(self.width + 1, end - o + 1):
+            for k in range(self.width, 0, -1):
+                piece = columns[k - 1][j - k]
+                if piece < 0 and k > 1:
+                    continue
+                prev = ends[j - k]
+                ok = True
+                if prev >= 0 and piece >= 0:
+                    ok = apart.get((prev, piece))
+                    if ok is None:
+                        ok = apart[(prev, piece)] = merges(pieces[prev] + pieces[piece], rank) == [pieces[prev], pieces[piece]]
+                if ok:
+                    ends[j], step[o + j] = piece, k
+                    break
+            else:
+                raise AssertionError("a text has no encoding; the model's merges are inconsistent")
+        last[at + 1 : end + 1] = ends[self.width + 1 :]
+
+    def _back(self, s: str, last: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """The ids of a segment, from its end to its beginning by the steps."""
+        ends, steps, pos, out = last.tolist(), step.tolist(), len(s), []
+        while pos:
+            out.append(ends[pos] if ends[pos] != UNKNOWN else -ord(s[pos - 1]) - 10)
+            pos -= steps[pos]
+        token = np.array(out[::-1], dtype=np.int64)
+        unknown = token <= -10
+        return (self._bytes(token, np.zeros(len(token), np.int64), unknown)[0] if unknown.any() else token).astype(np.int32)
+
+    def _relax(self, segments: list[str]) -> tuple[np.ndarray, ...]:
+        """(characters, begins, lengths, last, step) of the segments laid out one after the other: last is the token
+        that ends before each position, step its length."""
         lens = np.array([len(s) for s in segments], dtype=np.int64)
         text = "\0".join(segments) + "\0"
-        points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
         begin = np.concatenate([[0], np.cumsum(lens + 1)[:-1]])
         codes = self.code[points].copy()
         codes[begin + lens] = 0
@@ -220,7 +303,11 @@ class Encoder:
                         break
             if len(end):
                 raise AssertionError("a text has no encoding; the model's merges are inconsistent")
-        # back from the ends: tokens come out last first
+        return points, begin, lens, last, step
+
+    def _short(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of short segments, concatenated, and how many each has; from the ends back, all together."""
+        points, begin, lens, last, step = self._relax(segments)
         pos, rows, out, where = begin + lens, np.arange(len(lens)), [], []
         while len(rows):
             out.append(np.where(last[pos] == UNKNOWN, -points[pos - 1].astype(np.int64) - 10, last[pos]))
@@ -319,8 +406,10 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", into: str =
     """docs with into (array of ids), n_tokens and, if asked, round_trip: whether decoding gives the text back;
     without the text, unless it is asked for.
 
-    Null and empty texts have no tokens. A text that holds the mark U+2581 itself decodes with spaces, so its
-    round_trip is false. Columns of docs with the names of the new ones are replaced; others stay.
+    Null and empty texts have no tokens; a null text's round_trip is true. A text that holds the mark U+2581 itself
+    decodes with spaces, so its round_trip is false. Rows that repeat are encoded each, ids may be null or repeat. Very
+    long texts are encoded whole, in time that grows with their length; an empty table gives no rows. Columns of docs
+    with the names of the new ones are replaced; others stay.
     """
     bounded_batches(docs.sparkSession, 2 << 20)
     model = docs.sparkSession.sparkContext.broadcast(Model.load(model_path))  # a vocabulary: below a few MB
@@ -344,7 +433,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", into: str =
 
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "token_ids", into: str = "text") -> DataFrame:
-    """rows with the text of their ids; null ids decode to null."""
+    """rows with the text of their ids; null ids decode to null, no ids to the empty text; an empty table gives no rows."""
     model = rows.sparkSession.sparkContext.broadcast(Model.load(model_path))
     text = F.pandas_udf(lambda s: s.map(lambda ids: None if ids is None else decode_ids(list(ids), model.value)), StringType())
     return rows.withColumn(into, text(F.col(ids_col)))
