@@ -206,7 +206,7 @@ def test_language_model(spark, docs, odd):
     # rare words' counts come by the join; with a small lexicon the sums must stay
     train_rows = docs.where("doc_id % 2 = 0").select("doc_id", "text")
     counts = maxent_lm.word_counts(train_rows)
-    a, b = (maxent_lm.score(docs.select("doc_id", "text"), maxent_lm.lexicon(counts, train_rows.count(), most), maxent_lm.Weights.zero(), counts).toPandas().sort_values("doc_id") for most in (50, 200_000))
+    a, b = (maxent_lm.score(docs.select("doc_id", "text"), maxent_lm.lexicon(counts, train_rows.count(), most), maxent_lm.Weights.start(maxent_lm.lexicon(counts, train_rows.count(), most)), counts).toPandas().sort_values("doc_id") for most in (50, 200_000))
     assert np.allclose(a["base_score"], b["base_score"]) and (a["n_known"] == b["n_known"]).all()
 
 
@@ -234,10 +234,60 @@ def test_language_model_learns_from_every_token(spark):
     lex = maxent_lm.lexicon(maxent_lm.word_counts(rows), rows.count())
     w = maxent_lm.train(rows, lex)
     b = maxent_lm.Batch([maxent_lm.tokens(t) for t in texts], lex)
-    for used, table in zip(maxent_lm._rows(b.features, b.member // maxent_lm.MEMBERS), (w.of_class, w.of_member)):
+    for used, table in zip(maxent_lm._rows(w, b.features, b.member // maxent_lm.MEMBERS), (w.of_class, w.of_member)):
         assert (table[used] != 0).any(axis=2).all()
 
 
+def test_language_model_beats_its_base(spark):
+    """On held-out documents: in sum, and for nine in ten of them."""
+    rows = maxent_lm.lm_report(table(spark, "/root/testdata/sf0.01", "documents")).where("held_out").collect()
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+    assert np.mean([r.score >= r.base_score for r in rows]) >= 0.9
+
+
+def test_language_model_score_by_brute_force(spark):
+    """score token by token from the weights: a class, a member, and within a shared member the relative frequency."""
+    texts = ["the cat saw the dog", "The dog", "", None, "ein Hund sah dich ünd mich", "unseen words here"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = maxent_lm.word_counts(rows.where("doc_id < 5"))
+    lex = maxent_lm.lexicon(counts, 5, 3)
+    own = {r.word: r.c for r in counts.collect()}
+    rng, w = np.random.default_rng(0), maxent_lm.Weights.start(lex, 1 << 10)
+    for part in (w.of_class, w.of_member):
+        part += rng.normal(scale=0.3, size=part.shape).astype(np.float32)
+    member = {word.decode(): int(lex.member[i]) for word, i in lex.index.items()}
+    shared = lambda word: maxent_lm.TOP + zlib.crc32(word[-2:].encode()) % maxent_lm.ENDINGS
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    got = {r.doc_id: r.score for r in maxent_lm.score(rows, lex, w, counts).collect()}
+    for k, text in enumerate(texts):
+        said, past = 0.0, [0x51ED270B, 0x51ED270B]
+        for word in [*(text or "").lower().split(), None]:
+            m = 0 if word is None else member.get(word, shared(word))
+            klass, within = divmod(m, maxent_lm.MEMBERS)
+            two, one = past[-2:]
+            f = np.array([[one * 2654435761], [((one * 2246822519 ^ two) * 3266489917) + 1], [two * 668265263 + 2]], dtype=object) & 0xFFFFFFFF
+            rc, rm = maxent_lm._rows(w, f.astype(np.uint32), np.array([klass]))
+            of_class = sum(w.of_class[r] for r in rc.ravel()) + w.of_class[-1]
+            of_member = sum(w.of_member[r] for r in rm.ravel()) + w.of_member[len(w.of_member) - maxent_lm.CLASSES + klass]
+            said += math.log10(softmax(of_class)[klass]) + math.log10(softmax(of_member)[within])
+            if m >= maxent_lm.TOP:
+                others = {x: n for x, n in own.items() if shared(x) == m and member.get(x, maxent_lm.TOP) >= maxent_lm.TOP}
+                said += math.log10(own.get(word, 0) + 0.1) - math.log10(sum(others.values()) + 0.1 * (len(others) + 1))
+            past.append(0x2545F491 if word is None else zlib.crc32(word.encode()))
+        assert got[k] == pytest.approx(said, abs=1e-4)
+
+
+def test_language_model_tables_grow():
+    sizes = [maxent_lm.member_rows(n) for n in (0, 10**6, 10**8, 10**9, 10**13)]
+    assert sizes == sorted(sizes) and sizes[0] == 1 << 15 and sizes[2] == 1 << 16 and sizes[-1] == 1 << 18
+    lex = maxent_lm.Lexicon({}, np.zeros(1), np.zeros(1, np.int32), 0, 0, 0, 1, np.zeros(maxent_lm.ENDINGS), np.zeros(1, np.uint32))
+    d = maxent_lm.Descent(maxent_lm.Weights.start(lex, 1 << 18))
+    rows = np.array([5, 70_000, 5, 200_000, 4464])  # 70,000 and 4,464 share their low bits
+    before = d.w.of_member.copy()
+    d._apply(1, d.w.of_member, rows, np.ones((5, maxent_lm.MEMBERS), np.float32))
+    assert np.flatnonzero((d.w.of_member != before).any(axis=1)).tolist() == [5, 4464, 70_000, 200_000] and d.seen[1][5] == 2
+
+
 def _as(batch, member):
     batch.member = np.array([member])
     out = maxent_lm.Batch.__new__(maxent_lm.Batch)

@@ -3,9 +3,10 @@
 A word is drawn as class, then member of the class, each by a softmax whose scores add up hashed feature rows: the
 word before, the two before, and the word before the last (a skip). The most frequent words are members themselves;
 all others share members by their ending, and within such a member a word has its smoothed relative frequency. The
-weights are learnt by distributed gradient updates: every task runs over its own documents from the same weights,
-and the tasks' updates are averaged by feature row. Counts cover the whole training corpus; what they tell about rare
-words is joined to the documents, not broadcast.
+weights start at the unigrams' probabilities and are learnt by distributed gradient updates: every task runs over its own
+documents from the same weights, and the tasks' updates are averaged by feature row. Counts cover the whole training
+corpus; what they tell about rare words is joined to the documents, not broadcast. The number of feature rows grows with
+the corpus up to a bound, as the weights are broadcast.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from .common import BLANK, bounded_batches, id_crc, saved
 CLASSES, MEMBERS = 16, 32
 ENDINGS = 128  # members that words of one ending share: the last 4 classes
 TOP = CLASSES * MEMBERS - ENDINGS  # members that are words, the end of the text first
-CLASS_ROWS, MEMBER_ROWS = 1 << 13, 1 << 15
+ROWS = (1 << 15, 1 << 18)  # the least and the most feature rows of members; those of classes are a quarter as many
+TOKENS_A_ROW = 1 << 11
 SMOOTH = 0.1
 _START, _END = 0x51ED270B, 0x2545F491
 
@@ -76,15 +78,15 @@ class Lexicon:
 
 
 def lexicon(counts: DataFrame, train_docs: int, most: int = 200_000) -> Lexicon:
-    """The lexicon of (word, c): the words over a count that at most `most` words reach."""
+    """The lexicon of (word, c): the words from that power of two on which at most `most` words reach."""
     total, distinct = (int(x or 0) for x in counts.agg(F.sum("c"), F.count("c")).first())
-    levels = sorted(((r["c"], r["count"]) for r in counts.groupBy("c").count().collect()), reverse=True)
+    sizes = {r["size"]: r["count"] for r in counts.groupBy(F.floor(F.log2("c")).cast("int").alias("size")).count().collect()}  # 63 rows at most
     cut, sofar = 1 << 62, 0
-    for c, n in levels:
-        sofar += n
+    for size in sorted(sizes, reverse=True):
+        sofar += sizes[size]
         if sofar > most:
             break
-        cut = c
+        cut = 1 << size
     frequent = sorted(((-r["c"], r["word"].encode("utf-8", "surrogatepass")) for r in counts.where(F.col("c") >= cut).collect()))
     words = [w for _, w in frequent]
     own = {w: i + 1 for i, w in enumerate(words[: TOP - 1])}  # member 0 is the end
@@ -101,12 +103,29 @@ def lexicon(counts: DataFrame, train_docs: int, most: int = 200_000) -> Lexicon:
 
 @dataclass
 class Weights:
-    of_class: np.ndarray  # CLASS_ROWS + 1 rows; the last is a bias
-    of_member: np.ndarray  # MEMBER_ROWS + CLASSES rows; the last are biases of the classes
+    of_class: np.ndarray  # feature rows of classes, and one more, their bias
+    of_member: np.ndarray  # feature rows of members, and one more for each class, its members' bias
 
     @classmethod
-    def zero(cls) -> Weights:
-        return cls(np.zeros((CLASS_ROWS + 1, CLASSES), np.float32), np.zeros((MEMBER_ROWS + CLASSES, MEMBERS), np.float32))
+    def start(cls, lex: Lexicon, rows: int | None = None) -> Weights:
+        """No feature says anything yet; the biases give each member its share of the training tokens."""
+        rows = rows or member_rows(lex.total)
+        w = cls(np.zeros((rows // 4 + 1, CLASSES), np.float32), np.zeros((rows + CLASSES, MEMBERS), np.float32))
+        share = np.full(CLASSES * MEMBERS, SMOOTH)
+        own = lex.member < TOP
+        share[lex.member[own]] = 10.0 ** lex.log_count[own]
+        share[TOP:] = 10.0**lex.log_ending
+        share = np.log(share.reshape(CLASSES, MEMBERS))
+        top = share.max(axis=1, keepdims=True)
+        w.of_class[-1] = (top + np.log(np.exp(share - top).sum(axis=1, keepdims=True))).ravel()
+        w.of_class[-1] -= w.of_class[-1].max()
+        w.of_member[rows:] = share - top
+        return w
+
+
+def member_rows(tokens: int) -> int:
+    """A power of two: about one row per TOKENS_A_ROW tokens, within ROWS."""
+    return max(ROWS[0], min(ROWS[1], 1 << max(0, tokens // TOKENS_A_ROW).bit_length()))
 
 
 class Batch:
@@ -134,11 +153,12 @@ class Batch:
         self.features = np.stack([one * np.uint32(2654435761), (one * np.uint32(2246822519) ^ two) * np.uint32(3266489917) + np.uint32(1), two * np.uint32(668265263) + np.uint32(2)])
 
 
-def _rows(features: np.ndarray, klass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _rows(w: Weights, features: np.ndarray, klass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rows that add up to the scores of classes, and those of the members of a class, by feature."""
     f = features ^ (features >> np.uint32(15))
     own = (f + klass.astype(np.uint32) * np.uint32(0x9E3779B1)) * np.uint32(2246822519)
-    return (f % np.uint32(CLASS_ROWS)).astype(np.int64), ((own ^ (own >> np.uint32(13))) % np.uint32(MEMBER_ROWS)).astype(np.int64)
+    own ^= own >> np.uint32(13)
+    return (f % np.uint32(len(w.of_class) - 1)).astype(np.int64), (own % np.uint32(len(w.of_member) - CLASSES)).astype(np.int64)
 
 
 def _log_softmax(s: np.ndarray) -> np.ndarray:
@@ -150,11 +170,11 @@ def _sums(w: Weights, rc: np.ndarray, rm: np.ndarray, klass: np.ndarray) -> tupl
     a = w.of_class.take(rc[0], axis=0)
     a += w.of_class.take(rc[1], axis=0)
     a += w.of_class.take(rc[2], axis=0)
-    a += w.of_class[CLASS_ROWS]
+    a += w.of_class[-1]
     b = w.of_member.take(rm[0], axis=0)
     b += w.of_member.take(rm[1], axis=0)
     b += w.of_member.take(rm[2], axis=0)
-    b += w.of_member.take(MEMBER_ROWS + klass, axis=0)
+    b += w.of_member.take(len(w.of_member) - CLASSES + klass, axis=0)
     return a, b
 
 
@@ -164,23 +184,27 @@ def log10_members(w: Weights, batch: Batch, step: int = 16384) -> np.ndarray:
     for at in range(0, len(out), step):
         m = batch.member[at : at + step]
         klass, row = m // MEMBERS, np.arange(len(m))
-        rc, rm = _rows(batch.features[:, at : at + step], klass)
+        rc, rm = _rows(w, batch.features[:, at : at + step], klass)
         a, b = (_log_softmax(x) for x in _sums(w, rc, rm, klass))
         out[at : at + step] = (a[row, klass] + b[row, m % MEMBERS]) / math.log(10)
     return out
 
 
 class Descent:
-    """Gradient updates from given weights, scaled by what each row has seen (AdaGrad by row)."""
+    """Gradient updates from given weights, scaled by what each row has seen (AdaGrad by row). The prior, a squared
+    gradient that each row counts as seen, keeps rows of few tokens near their start."""
 
-    def __init__(self, start: Weights, rate: float = 0.25):
+    def __init__(self, start: Weights, rate: float = 0.25, prior: float = 1.0):
         self.w, self.rate = Weights(start.of_class.copy(), start.of_member.copy()), rate
-        self.past = [np.full(len(self.w.of_class), 1e-3, np.float32), np.full(len(self.w.of_member), 1e-3, np.float32)]
+        self.past = [np.full(len(self.w.of_class), prior, np.float32), np.full(len(self.w.of_member), prior, np.float32)]
         self.seen = [np.zeros(len(self.w.of_class), np.float32), np.zeros(len(self.w.of_member), np.float32)]
 
     def _apply(self, k: int, table: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
-        """An update of feature rows; grad goes round once per feature. 16-bit rows are sorted by radix."""
+        """An update of feature rows; grad goes round once per feature. Rows of 16 bits are sorted by radix, as are
+        larger ones by their two halves."""
         order = np.argsort(rows.astype(np.uint16), kind="stable")
+        if len(table) > (1 << 16) + CLASSES:
+            order = order[np.argsort((rows[order] >> 16).astype(np.uint16), kind="stable")]
         rows = rows[order]
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         self._move(k, table, rows[first], np.add.reduceat(grad.take(order % len(grad), axis=0), first, axis=0), np.diff(np.concatenate([first, [len(rows)]])))
@@ -195,7 +219,7 @@ class Descent:
         for at in range(0, len(batch.member), step):
             m = batch.member[at : at + step]
             klass, row = m // MEMBERS, np.arange(len(m))
-            rc, rm = _rows(batch.features[:, at : at + step], klass)
+            rc, rm = _rows(self.w, batch.features[:, at : at + step], klass)
             a, b = _sums(self.w, rc, rm, klass)
             for s, target in ((a, klass), (b, m % MEMBERS)):
                 s -= s.max(axis=1, keepdims=True)
@@ -205,24 +229,24 @@ class Descent:
             self._apply(0, self.w.of_class, rc.ravel(), a)
             self._apply(1, self.w.of_member, rm.ravel(), b)
             # a bias belongs to many tokens: summed without sorting
-            self._move(0, self.w.of_class, np.array([CLASS_ROWS]), a.sum(axis=0, keepdims=True), np.array([len(m)]))
+            self._move(0, self.w.of_class, np.array([len(self.w.of_class) - 1]), a.sum(axis=0, keepdims=True), np.array([len(m)]))
             n = np.bincount(klass, minlength=CLASSES)
             own = np.flatnonzero(n)
-            self._move(1, self.w.of_member, MEMBER_ROWS + own, (np.arange(CLASSES)[:, None] == klass).astype(np.float32)[own] @ b, n[own])
+            self._move(1, self.w.of_member, len(self.w.of_member) - CLASSES + own, (np.arange(CLASSES)[:, None] == klass).astype(np.float32)[own] @ b, n[own])
 
 
 BLOCK = 1024  # feature rows in a block of an update
-TASK_TOKENS = 1 << 20  # a training task gets about so many tokens or more, if there are enough for every core
+TASK_TOKENS = 32  # times the member rows: a training task gets about so many tokens or more, if there are enough for every core
 
 
 def train(docs: DataFrame, lex: Lexicon, text_col: str = "text", id_col: str = "doc_id", rounds: int = 2) -> Weights:
     """Weights after `rounds` distributed updates. A round runs over the documents that a hash gives it, so each is
     seen once, and every token of it is a target. Updates are averaged by feature row, weighted by use, in two steps
-    of a bounded fan-in; the driver gets the averages, 5 MB, whatever the corpus. Small partitions share a task, so
-    that the updates (5 MB a task) stay small beside the texts."""
+    of a bounded fan-in; the driver gets the averages, 5 to 38 MB. Small partitions share a task, so that the updates
+    (as large for each task) stay small beside the texts."""
     spark = docs.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, -(-lex.total // TASK_TOKENS))
-    known, now = spark.sparkContext.broadcast(lex), Weights.zero()
+    known, now = spark.sparkContext.broadcast(lex), Weights.start(lex)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-lex.total // (TASK_TOKENS * (len(now.of_member) - CLASSES))))
     rows = docs.select(F.col(text_col).alias("text"), id_crc(F.concat(F.lit("lm"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("h"))
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(now)
