@@ -89,6 +89,17 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_columns_of_any_name_and_type_stay(spark, odd):
+    """Maps, which don't hash, and names that the operators use themselves."""
+    df = odd.withColumn("m", F.create_map(F.lit("k"), F.col("text"))).withColumn("_tw_sha", F.lit(1)).withColumn("_tw_copies", F.lit("x")).withColumn("_tw_digest", F.lit(2.0)).withColumn("c0", F.lit("c")).withColumn("_tw_score", F.lit(0))
+    labels = table(spark, SMALL, "labels")
+    n = len(odd_rows())
+    for got, rows in ((exact_dedup.drop_exact(df), 10), (simhash.drop_near(df), None), (mixing.mixed(df), None), (quality.keep_good(df, labels.where("false")), n)):
+        assert got.columns == df.columns and got.dtypes == df.dtypes
+        assert rows is None or got.count() == rows
+        assert all(r["m"] == {"k": r["text"]} and (r["_tw_sha"], r["_tw_copies"], r["_tw_digest"], r["c0"]) == (1, "x", 2.0, "c") for r in got.collect())
+
+
 def test_simhash(spark, docs, odd):
     for df in (docs, clash(odd)):
         rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
@@ -173,10 +184,71 @@ def test_language(spark, docs, odd):
     assert len(said) == len(odd_rows()) and {r.lang_pred for r in said if r.doc_id == 4} == {"und"}
 
 
+def test_language_by_brute_force(spark, docs):
+    """Each text's language from n-gram counts made one by one, weighted and compared with every centroid."""
+    model = langid.fit(docs.where("doc_id % 2 = 0"), dims=256)
+
+    def nearest(text):
+        low = (text or "").lower()
+        if not any(c.isalpha() for c in low):
+            return "und", 0.0
+        raw = b" " + b" ".join(bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in low.encode()).split()) + b" "
+        tf = [0] * 256
+        for k in range(len(raw) - 1):
+            two = raw[k] << 8 | raw[k + 1]
+            tf[(two * 2654435761 % 2**32) >> 24] += 1
+            if k + 2 < len(raw):
+                tf[((two << 8 | raw[k + 2]) * 2246822519 + 0x9E3779B9) % 2**32 >> 24] += 1
+        v = [math.log(1 + n) * w for n, w in zip(tf, model.idf)]
+        size = math.sqrt(sum(x * x for x in v))
+        best = max(range(len(model.languages)), key=lambda j: sum(a * b for a, b in zip(model.vectors[j], v)))
+        return model.languages[best], sum(a * b for a, b in zip(model.vectors[best], v)) / size
+
+    rows = docs.limit(150).select("doc_id", "text", langid.identify(F.col("text"), model, spark).alias("x")).collect()
+    for r in rows:
+        lang, cosine = nearest(r.text)
+        assert r.x.lang_pred == lang and r.x.score == pytest.approx(cosine, abs=1e-6) and r.x.rejected == (cosine < model.cutoff)
+    assert np.allclose(np.linalg.norm(model.vectors, axis=1), 1)
+
+
+def test_language_sample_is_bounded(spark):
+    """One language a row, or one that holds nearly all: the sample keeps near its parameter."""
+    for dirty in (True, False):
+        df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"), F.when(F.lit(dirty) | (F.col("id") < 5), F.concat(F.lit("l"), F.col("id").cast("string"))).otherwise("en").alias("lang"))
+        model = langid.fit(df, dims=64, sample_rows=60, centroids=1)
+        assert len(model.languages) < 120 and (dirty or set(model.languages) == {"en", "l0", "l1", "l2", "l3", "l4"})
+
+
+def test_quality_fit_is_optimal():
+    """The hinge loss and its dual meet, so no other weights do better; the indicators are those of a plain reading."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 60, 12)) for _ in range(80)]
+    scale, y, cost = rng.normal(size=60), rng.choice([-1.0, 1.0], 80), rng.uniform(0.5, 1.5, 80)
+    w, b = quality.coordinate_descent(rows, scale, y, cost, rounds=3000)
+    x = np.zeros((80, 61))
+    for k, r in enumerate(rows):
+        x[k, r] = scale[r] / len(r) ** 0.5
+    x[:, 60] = 1.0
+    full = np.append(w, b)
+    best = 0.5 * full @ full + (cost * np.maximum(0, 1 - y * (x @ full))).sum()
+    for _ in range(300):
+        other = full + rng.normal(scale=10.0 ** rng.uniform(-4, 0), size=61)
+        assert 0.5 * other @ other + (cost * np.maximum(0, 1 - y * (x @ other))).sum() >= best - 1e-4
+    text = "One two two, ONE two! x1 x1"
+    t = re.findall(r"\w+|[^\w\s]+", text)
+    low = [w.lower() for w in t]
+    shape = ["Cs", "ls", "ls", ",", "Us", "ls", "!", "ls", "ls"]
+    marked = [(shape[k], k > 0 and low[k] == low[k - 1], k > 1 and low[k] == low[k - 2]) for k in range(len(t))]
+    n = len(set(low)) + len(set(zip(low, low[1:]))) + len(set(marked)) + len(set(zip(marked, marked[1:], marked[2:])))
+    assert len(quality.features(text)) == n and len(quality.features(None)) == 0
+
+
 def test_quality(spark, docs, odd):
     labels = table(spark, SMALL, "labels")
-    got = quality.quality_report(docs, labels).join(labels, "doc_id").collect()
-    assert np.mean([r.predicted == r.quality for r in got]) > 0.93 and all(0 <= r.score <= 1 for r in got)
+    more, known = (table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
+    got = quality.quality_report(more, known).join(known.where("quality is not null"), "doc_id").collect()
+    held = [r for r in got if r.held_out]
+    assert held and np.mean([r.predicted == r.quality for r in held]) > 0.95 and all(0 <= r.score <= 1 for r in got)
     only = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (1, None, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
     said = quality.quality_report(clash(odd), only).collect()
     assert len(said) == len(odd_rows()) and {r.score for r in said} == {1.0}
@@ -323,6 +395,16 @@ def test_mixing(spark, docs, odd):
         assert mix.columns == df.columns and sum(r["size"] for r in mixing.mix_report(mix).select("size").collect()) == sum(r.taken for r in got)
 
 
+def test_mixing_comes_near_its_targets(spark):
+    """Each source's taken words, for many and for few sources at a time, joined by broadcast or by a shuffle."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    said = [sorted(tuple(r) for r in mixing.rated(docs, small=small).select("doc_id", "_tw_copies", "_tw_target").collect()) for small in (20_000, 0)]
+    assert said[0] == said[1]
+    per = mixing.mix_report(docs).groupBy("target", "source_size").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"), F.sum(F.col("size") * F.col("size")).alias("squares")).collect()
+    for r in per:  # a Bernoulli copy has a variance of a quarter at most
+        assert abs(r.taken - r.target) <= 4 * math.sqrt(r.squares / 4)
+
+
 @pytest.fixture(scope="module")
 def pieces():
     import sentencepiece
@@ -374,6 +456,27 @@ def test_sharding(spark, docs, odd):
         assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_sharding_by_brute_force(spark):
+    """Each level's draws made again from the hash of key, node and seed."""
+    tree = [sharding.Leaf(x.shard, x.region, x.rack, 1.0 + x.shard % 3) for x in sharding.layout(25)]
+
+    def draw(key, name, weight, seed):
+        h = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42) if key is not None else 42
+        h = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), xxhash.xxh64_intdigest(name.encode(), h))
+        return -math.log(((h >> 11) + 1) / (2.0**53 + 1)) / weight
+
+    def descend(key, leaves, level=0, prefix="", seed=7):
+        children = defaultdict(list)
+        for x in leaves:
+            children[f"{prefix}/{(x.region, x.rack, f's{x.shard}')[level]}"].append(x)
+        name = min(children, key=lambda c: draw(key, c, sum(x.weight for x in children[c]), seed)) if len(children) > 1 else next(iter(children))
+        return children[name][0].shard if level == 2 else descend(key, children[name], level + 1, name)
+
+    ids = [None, 0, -1, 2**62, *range(1000, 1400)]
+    df = spark.createDataFrame([(k,) for k in ids], "id long").select("id", sharding.shard_of(F.col("id"), tree, 7).alias("s"))
+    assert {r.id: r.s for r in df.collect()} == {k: descend(k, tree) for k in ids}
+
+
 def test_sharding_moves_little(spark):
     ids = spark.range(20_000)
     at = lambda tree: {r.id: r.s for r in ids.select("id", sharding.shard_of(F.col("id"), tree).alias("s")).collect()}

@@ -44,3 +44,24 @@ def test_stages(spark, tmp_path):
 def test_run(spark):
     out = pipeline.run(spark, SMALL)
     assert {"doc_id", "token_ids", "n_tokens"} <= set(out.columns) and out.where(~F.col("round_trip")).count() == 0
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, tmp_path):
+    """Nulls in every column, empty and long texts, ties and repeated rows, columns with the operators' own names."""
+    long = " ".join(f"word{k % 900}" for k in range(30_000))
+    texts = [None, "", "  \n", long, long, "same text here for all", "same text here for all", "x", "日本語 😀", "same  text here\tfor all"]
+    rows = [(None if k % 4 == 0 else k // 2, t, None if k % 3 else "en", None if k % 2 else "a", None) for k, t in enumerate(texts)] * 2
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("score", "_tw_score", "_tw_sha", "_tw_copies", "key", "fp", "root", "c0"):
+        odd = odd.withColumn(name, F.lit("mine"))
+    spark.createDataFrame([(None, None, None), (1, None, 0), (1, 1, 0), (1, 0, 1), (99, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for docs in (odd, odd.limit(0)):
+        for k, (name, stage) in enumerate(pipeline.STAGES):
+            place = str(tmp_path / f"{name}{docs is odd}{k}{id(docs)}")
+            before = docs.columns
+            stage(spark, docs, str(tmp_path)).write.parquet(place)
+            docs = spark.read.parquet(place)
+            assert docs.columns == before or k == len(pipeline.STAGES) - 1
+            if name == "exact" and docs.count():
+                assert docs.count() == docs.select(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")).distinct().count()
+        assert "token_ids" in docs.columns and docs.where("not round_trip").count() == 0

@@ -33,13 +33,26 @@ def rekeyed(df: DataFrame, key: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
-    """Arrow batches bounded by bytes, so that long texts don't add up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    """Arrow batches bounded by bytes, so that long texts don't add up in a Python worker. A smaller bound that another
+    operator has set stays, as frames may run after others are built."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= size:
+        spark.conf.set(name, str(size))
 
 
-def row_key(df: DataFrame) -> Column:
-    """A 64-bit key of a whole row; rows of one key are taken to be equal."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+def apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns named c0, c1, ... in order, and these names by the old ones; so no column of the caller's
+    meets one of an operator's own. The result goes back by toDF(*docs.columns)."""
+    new = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*new), dict(zip(docs.columns, new))
+
+
+def row_digest(df: DataFrame) -> Column:
+    """A struct of two 64-bit hashes of a whole row; rows are taken to be equal if both agree (at 10**12 rows the odds
+    of one collision are below 10**-14). Columns with maps, which don't hash, count as their JSON."""
+    parts = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("second"), *parts).alias("b"))
 
 
 def key_filter(keys: DataFrame, log2: int) -> DataFrame:
@@ -65,19 +78,23 @@ def in_filter(df: DataFrame, key: Column, cells: DataFrame, log2: int, flag: str
     return df.withColumn(flag, tests[0] & tests[1]).drop("_tw_page0", "_tw_bits0", "_tw_page1", "_tw_bits1")
 
 
-def filter_bits(rows: int, bits_per_row: int = 16, most: int = 27) -> int:
-    """log2 of a filter's bits: 16 a row, and never over 2**27 (16 MB), which bounds what is broadcast."""
+def filter_bits(rows: int, bits_per_row: int = 16, most: int = 30) -> int:
+    """log2 of a filter's bits: 16 a row, and never over 2**30 (128 MB), which bounds what is broadcast. Beyond 67
+    million rows the filter fills up, and lets more rows be suspected in vain (of all rows 6 % at 5 * 10**8
+    rows, a third at 10**9); results stay the same."""
     return max(16, min(most, (max(1, rows) * bits_per_row - 1).bit_length()))
 
 
 def without(docs: DataFrame, touched: DataFrame) -> DataFrame:
-    """docs without the rows whose row_key is in touched (key, drop) with drop, and with one row of each key there
-    without it. A Bloom filter of the keys lets all other rows stay where they are."""
+    """docs without the rows whose row_digest is in touched (digest, drop) with drop, and with one row of each digest
+    there without it. A Bloom filter of the digests lets all other rows stay where they are."""
     names = [f"`{c}`" for c in docs.columns]
-    touched = saved(touched.select("key", "drop"))
+    touched = saved(touched.select("digest", "drop"))
     log2 = filter_bits(touched.count())
-    rows = in_filter(docs.withColumn("_tw_key", row_key(docs)), F.col("_tw_key"), key_filter(touched, log2), log2, "_tw_maybe")
-    maybe = rows.where("_tw_maybe").join(touched.groupBy(F.col("key").alias("_tw_k")).agg(F.max("drop").alias("_tw_drop")), F.col("_tw_key") == F.col("_tw_k"), "left")
-    once = maybe.where("_tw_drop = false").groupBy("_tw_key").agg(F.first(F.struct(*names)).alias("_tw_row"))
+    key = F.col("_tw_digest.a")
+    rows = in_filter(docs.withColumn("_tw_digest", row_digest(docs)), key, key_filter(touched.select(F.col("digest.a").alias("key")), log2), log2, "_tw_maybe")
+    told = touched.groupBy(F.col("digest").alias("_tw_d")).agg(F.max("drop").alias("_tw_drop"))
+    maybe = rows.where("_tw_maybe").join(told, F.col("_tw_digest") == F.col("_tw_d"), "left")
+    once = maybe.where("_tw_drop = false").groupBy("_tw_digest").agg(F.first(F.struct(*names)).alias("_tw_row"))
     stay = maybe.where("_tw_drop is null").select(*names)
     return rows.where("not _tw_maybe").select(*names).union(stay).union(once.select(*[F.col("_tw_row").getField(c).alias(c) for c in docs.columns]))

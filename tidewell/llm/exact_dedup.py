@@ -1,8 +1,9 @@
 """Exact deduplication by two passes over a Bloom filter, in DataFrame functions only.
 
-Pass one counts how often each Bloom cell is hit and keeps the cells hit at least twice as bitmaps. Pass two
-tests every row: a row with a cell hit once is surely unique and passes straight through; only the rest are
-shuffled and grouped by their full SHA-256. False positives of the filter cost a shuffled row, never a result.
+Pass one counts how often each Bloom cell is hit (cell numbers alone are shuffled, counted in part before) and keeps
+the cells hit at least twice as bitmaps. Pass two tests every row: a row with a cell hit once is surely unique and
+passes straight through; only the rest are shuffled and grouped by their full SHA-256. False positives of the filter
+cost a shuffled row, never a result.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, filter_bits, in_filter, key_cells, rekeyed, saved
+from .common import BLANK, apart, filter_bits, in_filter, key_cells, rekeyed, row_digest, saved
 
 
 def normalised(text: Column | str) -> Column:
@@ -30,7 +31,7 @@ def repeated_cells(shas: DataFrame, sha: str, log2: int) -> DataFrame:
 
 
 def maybe_repeated(df: DataFrame, sha: str, cells: DataFrame, log2: int, flag: str) -> DataFrame:
-    """df with flag: false only where no other row has the hash. cells is broadcast: 2**log2 bits, 16 MB at most."""
+    """df with flag: false only where no other row has the hash. cells is broadcast: 2**log2 bits, 128 MB at most."""
     return in_filter(df, F.xxhash64(sha), cells, log2, flag)
 
 
@@ -57,17 +58,19 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """docs with one row left of each group of equal texts (the smallest id's, as in exact_groups), all columns kept.
 
     Rows that the filter clears stay where they are; suspected rows are reduced to one per hash before they
-    are shuffled. Rows equal in text and id are told apart by a hash of all their columns.
+    are shuffled. Rows equal in text and id are told apart by a hash of all their columns. Null and empty texts are one
+    group; columns of any name and type stay; an empty table gives no rows.
     """
-    names = docs.columns
+    own, (docs, at) = docs.columns, apart(docs)
+    id_col, text_col, names = at[id_col], at[text_col], docs.columns
     shas = saved(docs.select(text_sha(text_col).alias("_tw_sha")))
     log2 = filter_bits(shas.count())
     cells = saved(repeated_cells(shas, "_tw_sha", log2))
     rows = maybe_repeated(docs.withColumn("_tw_sha", text_sha(text_col)), "_tw_sha", cells, log2, "_tw_maybe")
-    order = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("h"))
-    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    order = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), row_digest(docs).alias("h"))
+    row = F.struct(*names)
     best = rows.where("_tw_maybe").groupBy("_tw_sha").agg(F.min_by(row, order).alias("_tw_row"))
-    return rows.where("not _tw_maybe").select(*[f"`{c}`" for c in names]).union(best.select(*[F.col("_tw_row").getField(c).alias(c) for c in names]))
+    return rows.where("not _tw_maybe").select(*names).union(best.select(*[F.col("_tw_row").getField(c).alias(c) for c in names])).toDF(*own)
 
 
 ORACLE = r"""

@@ -76,19 +76,26 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dims: int = 4096, sample_rows: int = 4000, centroids: int = 4) -> Centroids:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dims: int = 4096, sample_rows: int = 4000, centroids: int = 4, most_languages: int = 200) -> Centroids:
     """Learns from about sample_rows texts with a non-null language, as many of each, chosen by a hash of the id.
 
-    Only the sample's count vectors come to the driver: sample_rows x dims numbers at most.
+    Only the sample's count vectors come to the driver: about sample_rows x dims numbers. If there are more different
+    values of lang than most_languages, all texts are sampled at one rate, so that the bound holds for any column.
     """
     bounded_batches(docs.sparkSession)
     known = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    total = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    if not total:
+    per = known.groupBy("lang").count()
+    found, rows = (int(x or 0) for x in per.agg(F.count(F.lit(1)), F.sum("count")).first())
+    if not found:
         return Centroids([], np.zeros((0, dims)), np.ones(dims), 0.0)
-    each = max(20, sample_rows // len(total))
-    share = F.create_map(*[F.lit(x) for lang, n in total.items() for x in (lang, min(1.0, each / n))])
-    picked = known.where(id_crc(F.concat(F.lit("lang"), F.coalesce(F.col("id").cast("string"), F.lit("")))) < share[F.col("lang")] * float(2**32))
+    draw = id_crc(F.concat(F.lit("lang"), F.coalesce(F.col("id").cast("string"), F.lit("")))) / F.lit(float(2**32))
+    if found <= most_languages:
+        each = sample_rows / found
+        rates = {r["lang"]: each / r["count"] for r in per.where(F.col("count") > each).collect()}
+        rate = F.coalesce(F.create_map(*[F.lit(x) for pair in sorted(rates.items()) for x in pair])[F.col("lang")], F.lit(1.0)) if rates else F.lit(1.0)
+    else:  # a column of dirt rather than languages: all texts alike
+        rate = F.lit(sample_rows / rows)
+    picked = known.where(draw < rate)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -104,7 +111,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     x = np.log1p(tf) * idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     names, parts, best = [], [], []
-    for lang in sorted(total):
+    for lang in sorted(set(sample["lang"])):
         own = x[(sample["lang"] == lang).to_numpy()]
         if len(own):
             c = cluster(own, centroids)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved
+from .common import WORD, apart, saved
 
 #: Weights of the sources in code-point order, repeating; null comes last.
 WEIGHTS = (5, 2, 1)
@@ -44,33 +44,31 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights=WEI
     return per.select("source", "source_size", F.coalesce(first * F.col("w"), F.col("cap")).alias("target"))
 
 
-SMALL = 20_000  # sources that may be broadcast; more are joined by a shuffle
-
-
-def rated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **how) -> DataFrame:
+def rated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", small: int = 20_000, **how) -> DataFrame:
     """docs with _tw_size, _tw_source_size, _tw_target and _tw_copies: how often the mix takes the row.
 
     A row is taken floor(rate) times and once more with probability rate - floor(rate), which the seed and its
     id alone decide; rate = target / source size. Null text has size 0, a null source is a source of its own,
     rows of one id and source share their draw, and an empty source (no words) takes nothing. The sources' table is
-    broadcast if it has no more than SMALL rows; beyond that texts are shuffled by source, where adaptive execution
+    broadcast if it has no more than `small` rows; beyond that texts are shuffled by source, where adaptive execution
     splits a hot one.
     """
     rows = docs.withColumn("_tw_size", words(text_col))
     per = targets(rows.select(F.col(source_col).alias("source"), F.col("_tw_size").alias("size")), **how)
     per = per.select(F.col("source").alias("_tw_source"), F.col("source_size").alias("_tw_source_size"), F.col("target").alias("_tw_target"))
     per = saved(per)
-    per = F.broadcast(per) if per.count() <= SMALL else per
+    per = F.broadcast(per) if per.count() <= small else per
     rate = F.coalesce(F.col("_tw_target") / F.nullif(F.col("_tw_source_size"), F.lit(0)), F.lit(0.0))
     extra = (draw(seed, F.col(id_col)) < rate - F.floor(rate)).cast("long")
     return rows.join(per, F.col(source_col).eqNullSafe(F.col("_tw_source"))).withColumn("_tw_copies", F.floor(rate) + extra).drop("_tw_source")
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: docs with each row as often as it is taken, columns unchanged."""
-    names = docs.columns
-    rows = rated(docs, **how).where("_tw_copies > 0")
-    return rows.withColumn("_tw_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_tw_copies")))).select(*[f"`{c}`" for c in names])
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mix itself: docs with each row as often as it is taken, columns unchanged, whatever their names. Nulls, ties
+    and empties as in rated; an empty table gives no rows."""
+    own, (docs, at) = docs.columns, apart(docs)
+    rows = rated(docs, at[id_col], at[text_col], at[source_col], **how).where("_tw_copies > 0")
+    return rows.withColumn("_tw_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_tw_copies")))).select(*docs.columns).toDF(*own)
 
 
 def mix_report(docs: DataFrame, **how) -> DataFrame:

@@ -1,7 +1,7 @@
 """Quality classification by naive Bayes support vectors.
 
 N-gram indicators (word unigrams and bigrams, and trigrams of token shapes with repetition marks) are scaled by the
-classes' log-count ratios; a linear model of squared hinge loss is fitted to them by dual coordinate descent.
+classes' log-count ratios; a linear model of hinge loss is fitted to them by dual coordinate descent.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import bounded_batches, id_crc
+from .common import apart, bounded_batches, id_crc
 
 BITS = 18
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -85,21 +85,21 @@ class Model:
         return 1.0 / (1.0 + float(np.exp(-z)))
 
 
-def coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights and bias of min |w|^2/2 + sum cost * max(0, 1 - y w.x)^2, x being scaled indicators and a constant 1.
+def coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 20, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Weights and bias of min |w|^2/2 + sum cost * max(0, 1 - y w.x), x being scaled indicators and a constant 1.
 
-    Each step solves the dual for one row alone, keeping w up to date.
+    Each step solves the dual for one row alone, within 0 and its cost, keeping w up to date.
     """
     norm = [max(1.0, len(r) ** 0.5) for r in rows]
     xs = [scale[r] / n for r, n in zip(rows, norm)]
-    square = np.array([float(x @ x) + 1.0 for x in xs]) + 0.5 / cost
+    square = np.array([float(x @ x) + 1.0 for x in xs])
     w, b, alpha, draw = np.zeros(len(scale)), 0.0, np.zeros(len(rows)), np.random.default_rng(seed)
     for _ in range(rounds):
         moved = 0.0
         for i in draw.permutation(len(rows)):
             ids, x = rows[i], xs[i]
-            g = y[i] * (float(w[ids] @ x) + b) - 1.0 + alpha[i] * 0.5 / cost[i]
-            new = max(0.0, alpha[i] - g / square[i])
+            g = y[i] * (float(w[ids] @ x) + b) - 1.0
+            new = min(cost[i], max(0.0, alpha[i] - g / square[i]))
             step = (new - alpha[i]) * y[i]
             if step:
                 w[ids] += step * x
@@ -198,7 +198,12 @@ def quality_report(docs: DataFrame, labels: DataFrame, keep_at: float = 0.7) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep_at: float = 0.7) -> DataFrame:
-    """docs without the rows whose score is under keep_at; columns unchanged."""
-    model = fit(training_rows(docs), labels)
-    scored = docs.withColumn("_tw_score", quality_score(F.col("text"), model, docs.sparkSession))
-    return scored.where(F.col("_tw_score") >= keep_at).drop("_tw_score")
+    """docs without the rows whose score is under keep_at; columns unchanged, whatever their names.
+
+    A null or empty text has a score like any other; rows that repeat stay or go together; labels of unknown or null
+    ids, and null labels, are not used. With no labels, or of one class only, all rows get that class: 1 if there are
+    none. An empty table gives no rows.
+    """
+    model, (rows, at) = fit(training_rows(docs), labels), apart(docs)
+    scored = rows.withColumn("score", quality_score(F.col(at["text"]), model, docs.sparkSession))
+    return scored.where(F.col("score") >= keep_at).drop("score").toDF(*docs.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import bounded_batches, components, rekeyed, row_key, saved, without
+from .common import apart, bounded_batches, components, rekeyed, row_digest, saved, without
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 
@@ -82,12 +82,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """docs with one row left of each group of linked fingerprints: the smallest id (null last, then a hash of the
-    row). Columns are unchanged; only rows that may go are shuffled."""
+    row). Columns are unchanged; only rows that may go are shuffled. Rows that are equal in all columns count as one.
+    Null, empty and blank texts are one group; columns of any name and type stay; an empty table gives no rows."""
     bounded_batches(docs.sparkSession)
-    rows = saved(docs.select(F.col(id_col).alias("doc_id"), row_key(docs).alias("key"), _fingerprints(F.col(text_col)).alias("fp")))
+    own, (docs, at) = docs.columns, apart(docs)
+    id_col, text_col = at[id_col], at[text_col]
+    rows = saved(docs.select(F.col(id_col).alias("doc_id"), row_digest(docs).alias("digest"), _fingerprints(F.col(text_col)).alias("fp")))
     groups = rekeyed(grouped(rows, distance).select(F.col("fp").alias("_fp"), "root"), "_fp")
-    order = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("key").alias("key"))
-    placed = saved(rows.join(groups, F.col("fp") == F.col("_fp")).groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("n")))
-    best = placed.groupBy(F.col("root").alias("_root")).agg(F.min(order).getField("key").alias("_key"), F.sum("n").alias("_size"))
+    order = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col("digest").alias("digest"))
+    placed = saved(rows.join(groups, F.col("fp") == F.col("_fp")).groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n")))
+    best = placed.groupBy(F.col("root").alias("_root")).agg(F.min(order).getField("digest").alias("_digest"), F.sum("n").alias("_size"))
     out = placed.join(rekeyed(best.where("_size > 1"), "_root"), F.col("root") == F.col("_root"))
-    return without(docs, out.select("key", (F.col("key") != F.col("_key")).alias("drop")))
+    return without(docs, out.select("digest", (F.col("digest") != F.col("_digest")).alias("drop"))).toDF(*own)
