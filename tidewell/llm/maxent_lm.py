@@ -30,7 +30,7 @@ CLASSES, MEMBERS = 16, 32
 ENDINGS = 128  # members that words of one ending share: the last 4 classes
 TOP = CLASSES * MEMBERS - ENDINGS  # members that are words, the end of the text first
 ROWS = (1 << 15, 1 << 18)  # the least and the most feature rows of members; those of classes are a quarter as many
-TOKENS_A_ROW = 1 << 11
+TOKENS_A_ROW = 1 << 13
 SMOOTH = 0.1
 _START, _END = 0x51ED270B, 0x2545F491
 
@@ -242,11 +242,12 @@ TASK_TOKENS = 32  # times the member rows: a training task gets about so many to
 def train(docs: DataFrame, lex: Lexicon, text_col: str = "text", id_col: str = "doc_id", rounds: int = 2) -> Weights:
     """Weights after `rounds` distributed updates. A round runs over the documents that a hash gives it, so each is
     seen once, and every token of it is a target. Updates are averaged by feature row, weighted by use, in two steps
-    of a bounded fan-in; the driver gets the averages, 5 to 38 MB. Small partitions share a task, so that the updates
+    of a bounded fan-in; the driver gets the averages, 2 to 18 MB as half floats. Small partitions share a task, so that the updates
     (as large for each task) stay small beside the texts."""
     spark = docs.sparkSession
     known, now = spark.sparkContext.broadcast(lex), Weights.start(lex)
     tasks = max(spark.sparkContext.defaultParallelism, -(-lex.total // (TASK_TOKENS * (len(now.of_member) - CLASSES))))
+    groups = math.isqrt(tasks - 1) + 1
     rows = docs.select(F.col(text_col).alias("text"), id_crc(F.concat(F.lit("lm"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("h"))
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast(now)
@@ -263,24 +264,26 @@ def train(docs: DataFrame, lex: Lexicon, text_col: str = "text", id_col: str = "
             for k, (table, start) in enumerate(((d.w.of_class, sent.value.of_class), (d.w.of_member, sent.value.of_member))):
                 for at in range(0, len(table), BLOCK):
                     n = d.seen[k][at : at + BLOCK]
-                    moved = (table[at : at + BLOCK] - start[at : at + BLOCK]) * n[:, None]
-                    yield pd.DataFrame({"k": [k], "at": [at], "task": [task], "n": [n.tobytes()], "moved": [moved.astype(np.float32).tobytes()]})
+                    moved = (table[at : at + BLOCK] - start[at : at + BLOCK]).astype(np.float16)
+                    yield pd.DataFrame({"k": [k], "at": [at], "task": [task], "n": [n.tobytes()], "moved": [moved.tobytes()]})
 
         schema = "k int, at int, task int, n binary, moved binary"
 
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            n, moved = (np.sum([np.frombuffer(x, dtype=np.float32) for x in pdf[c]], axis=0) for c in ("n", "moved"))
-            return pd.DataFrame({"k": pdf["k"][:1], "at": pdf["at"][:1], "task": pdf["task"][:1] // 1024, "n": [n.tobytes()], "moved": [moved.tobytes()]})
+        def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+            n = np.stack([np.frombuffer(x, dtype=np.float32) for x in pdf["n"]])
+            moved = sum((np.frombuffer(x, dtype=np.float16).reshape(len(k), -1) * k[:, None] for x, k in zip(pdf["moved"], n)), np.float32(0))
+            all_ = n.sum(axis=0)
+            return pd.DataFrame({"k": pdf["k"][:1], "at": pdf["at"][:1], "task": pdf["task"][:1] // groups, "n": [all_.tobytes()], "moved": [(moved / np.maximum(all_, 1)[:, None]).astype(np.float16).tobytes()]})
 
         parts = rows.where(F.col("h") % rounds == turn).select("text").coalesce(tasks).mapInPandas(update, schema)
-        # 1024 groups of tasks first, then one: no group holds more than about a thousandth of the tasks, or 1024 rows
-        parts = parts.groupBy("k", "at", F.expr("task % 1024 as g")).applyInPandas(add, schema)
-        total = parts.groupBy("k", "at").applyInPandas(add, schema).collect()
+        # groups of tasks first, as many as their square root, then one: no group holds more rows than that
+        parts = parts.groupBy("k", "at", F.expr(f"task % {groups} as g")).applyInPandas(mean, schema)
+        total = parts.groupBy("k", "at").applyInPandas(mean, schema).collect()
         now = Weights(now.of_class.copy(), now.of_member.copy())
         for r in total:
             table = (now.of_class, now.of_member)[r["k"]]
-            n = np.frombuffer(r["n"], dtype=np.float32)
-            table[r["at"] : r["at"] + BLOCK] += np.frombuffer(r["moved"], dtype=np.float32).reshape(len(n), -1) / np.maximum(n, 1)[:, None]
+            moved = np.frombuffer(r["moved"], dtype=np.float16).astype(np.float32).reshape(-1, table.shape[1])
+            table[r["at"] : r["at"] + len(moved)] += moved
     return now
 
 
