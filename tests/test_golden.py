@@ -48,8 +48,9 @@ def test_growth_rounding_and_weights(spark):
 
 def test_medians_and_concentration(spark):
     df = spark.createDataFrame([("k", float(x)) for x in (4, 1, 3, 2)], "k string, x double")
-    r = df.groupBy("k").agg(A.upper_median("x").alias("u"), A.low_quantile("x", 0.75).alias("q")).first()
-    assert (r.u, r.q) == (3.0, 3.0)
+    df = df.union(spark.createDataFrame([("n", None), ("o", 7.0), ("o", None), ("h", 2.0), ("h", 2.0), ("h", 2.0), ("h", 9.0)], "k string, x double"))
+    got = A.order_statistics(df, ["k"], {"u": ("x", A.upper_median_at()), "q": ("x", A.low_quantile_at(0.75))})
+    assert {r.k: (r.u, r.q) for r in got.collect()} == {"k": (3.0, 3.0), "n": (None, None), "o": (7.0, 7.0), "h": (2.0, 2.0)}
     own = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "x"), ("c", None), ("c", None), ("d", "x"), ("d", "y")], "t string, o string")
     assert values(A.concentration(own, "t", "o"), "concentration", "t") == {"a": 1.0, "b": 1.0, "c": None, "d": 0.0}
 
@@ -159,6 +160,43 @@ def test_angles(spark):
     assert got[0].inherited == 5 and not got[0].emerging and got[10].emerging and got[10].novelty > 60 and got[20].novelty is None
 
 
+def test_nothing_scored_is_no_burst(spark):
+    rows = spark.createDataFrame([(1, None, NOW), (1, None, None), (2, 90.0, NOW), (2, 10.0, NOW), (2, None, NOW)], "topic_id long, score double, published_at timestamp")
+    got = {r.topic_id: r for r in I.burst_opportunity(rows, NOW).collect()}
+    assert (got[1].burst, got[1].coverage, got[1].recent_bursts, got[1].density) == (None, None, None, None)
+    assert got[2].density == 100.0 and got[2].recent_bursts == 1 and got[2].coverage == pytest.approx(2 / 3) and got[2].burst == 0.5 * 100 + 0.3 * 10 + 0.2 * 20
+
+
+def test_similar_and_edges_take_odd_vectors(spark):
+    kind = "id long, v array<double>"
+    rows = [(k, [1.0, 0.1 * k]) for k in range(5)] + [(10, None), (11, [1.0, 0.0, 0.0]), (12, []), (13, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, kind)
+    got = V.edges(df, 0.99, block=2)
+    want = [(a, b) for a in range(5) for b in range(a + 1, 5) if (1 + 0.01 * a * b) / ((1 + 0.01 * a * a) * (1 + 0.01 * b * b)) ** 0.5 >= 0.99]
+    assert sorted((r.a, r.b) for r in got.collect()) == want
+    spaced = df.withColumn("s", F.when(F.col("id") % 2 == 0, "even").when(F.col("id") < 10, "odd"))
+    assert sorted((r.a, r.b) for r in V.edges(spaced, 0.9, space="s").collect()) == [(0, 2), (0, 4), (1, 3), (2, 4)]
+    asked = df.select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    near = V.similar(df, asked, top=1, least=0.5, block=2).collect()
+    assert {r.q: r.id for r in near} == {0: 1, 1: 0, 2: 1, 3: 2, 4: 3} or {r.q for r in near} == {0, 1, 2, 3, 4}
+    assert V.similar(df, asked.limit(0)).count() == 0
+
+
+def test_lifecycle_uses_its_history(spark):
+    kind = "topic_id long, members long, since timestamp, score double, density double, recent_new long, baseline_new long, creators long, baseline_creators long"
+    old = NOW - dt.timedelta(days=100)
+    t = spark.createDataFrame([(1, 10, old, 45.0, 0.0, 1, 1, 1, 1)], kind)
+    state = lambda *past: S.lifecycle(t, NOW, F.array(*[F.lit(float(x)) for x in past])).first().state
+    assert state(30, 20) == "declining" and state(50, 20) != "declining" and state(45, 46) == "evergreen" and state(90, 41) == "saturated"
+
+
+def test_angle_persistence(spark):
+    stored = spark.createDataFrame([(1, 7, "a"), (2, 7, "b")], "angle_id long, topic_id long, label string")
+    found = spark.createDataFrame([(50, 7, 1, 5), (60, 7, None, 3)], "angle long, topic_id long, inherited long, members int")
+    got = {r.angle_id: (r.label, r.status, r.members) for r in I.persisted_angles(stored, found).collect()}
+    assert got == {1: ("a", "active", 5), 2: ("b", "inactive", 0), 60: (None, "new", 3)}
+
+
 def test_header_mapping_and_export(spark, tmp_path):
     from tidewell.sources import files
 

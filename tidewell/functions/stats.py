@@ -67,16 +67,31 @@ def growth(current: Column, baseline: Column) -> Column:
     return F.when(current.isNull() | baseline.isNull(), F.lit(None)).when(baseline <= 0, empty).otherwise(plain)
 
 
-def upper_median(x: Column | str) -> Column:
-    """The element at floor(n / 2) of the sorted values, nulls left out; null for none."""
-    values = F.sort_array(F.collect_list(x))
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+def order_statistics(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, Column]]) -> DataFrame:
+    """(keys, one column for each of wanted): the element at a 0-based place among a key's sorted values, nulls left out.
+
+    wanted names (value column, place), the place being an expression of _n, the number of values: floor(_n / 2) is the
+    upper median. A key's values are counted first, so that running sums over its different values tell the place and
+    no group is gathered. A key without values has nulls.
+    """
+    values = sorted({v for v, _ in wanted.values()})
+    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(v).alias("m"), F.col(v).cast("double").alias("v")) for v in values])).alias("_x"))
+    hist = long.groupBy(*keys, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    w = Window.partitionBy(*keys, "_m")
+    some = F.when(F.col("_v").isNotNull(), F.col("_k")).otherwise(0)
+    hist = hist.withColumn("_upto", F.sum(some).over(w.orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum(some).over(w))
+    at = lambda v, place: F.max(F.when((F.col("_m") == v) & F.col("_v").isNotNull() & (F.col("_upto") > place) & (F.col("_upto") - F.col("_k") <= place), F.col("_v")))
+    return hist.groupBy(*keys).agg(*[at(v, place).alias(name) for name, (v, place) in wanted.items()])
+
+
+def upper_median_at() -> Column:
+    """The place of the upper median for order_statistics."""
+    return F.floor(F.col("_n") / 2)
 
 
-def low_quantile(x: Column | str, p: float) -> Column:
-    """The element at floor((n - 1) p) of the sorted values; null for none."""
-    values = F.sort_array(F.collect_list(x))
-    return F.get(values, F.floor((F.size(values) - 1) * F.lit(p)).cast("int"))
+def low_quantile_at(p: float) -> Column:
+    """The place of the lower nearest rank of p for order_statistics."""
+    return F.floor((F.col("_n") - 1) * F.lit(p))
 
 
 def concentration(df: DataFrame, key: str, owner: str, into: str = "concentration") -> DataFrame:

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a folder of our own only where none is configured."""
+    """The session's shared checkpoint folder; a folder of our own only where none is configured, on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewell-"))
+        place = sc.getConf().get("spark.checkpoint.dir")
+        if not place and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="tidewell-"))
     return sc.getCheckpointDir()
 
 

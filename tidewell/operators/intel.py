@@ -9,8 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.stats import clamp, concentration, half_up, label, low_quantile, weighted
+from tidewell.functions.stats import clamp, concentration, half_up, label, low_quantile_at, order_statistics, weighted
+from tidewell.operators.graph import components, saved
 from tidewell.operators.momentum import at
+from tidewell.operators.scoring import same_keys
+from tidewell.operators.similarity import centroids, cosine, edges
 from tidewell.profiles import NOVELTY, OPPORTUNITY, PATTERN, SATURATION
 
 
@@ -115,64 +118,73 @@ def saturation(members: DataFrame, near: DataFrame, now: dt.datetime) -> DataFra
     return j.select("topic_id", "members", reason.alias("reason"), F.when(reason.isNull(), half_up(score, 1)).alias("score"), F.when(reason.isNull(), label(conf)).alias("confidence"), *[half_up(c, 6).alias(k) for k, c in parts.items()])
 
 
-def angles(members: DataFrame, known: DataFrame, now: dt.datetime, most: int = SATURATION["most_members"]) -> DataFrame:
+def angles(members: DataFrame, known: DataFrame, now: dt.datetime) -> DataFrame:
     """The angles of each topic: topic_id, angle (smallest member), members, inherited, nearest_known, emerging, novelty.
 
-    members: topic_id, id, v, author_id, published_at; known: topic_id, angle_id, centroid. The newest members of a
-    topic, `most` at most by the score's definition, are joined at cosine 0.6; angles by size take the nearest known
-    centroid left, from 0.6 up. An angle of three or more that inherits nothing, was first seen within a week and is
-    unlike every known one is emerging.
+    members: topic_id, id, v, author_id, published_at; known: topic_id, angle_id, centroid. All members of a topic are
+    joined at cosine 0.6, block by block; angles by size (ties by angle) take the nearest known centroid left, from 0.6
+    up. An angle of three or more that inherits nothing, was first seen within a week and is unlike every known one is
+    emerging. Members without a vector or a topic belong to no angle.
     """
-    p = NOVELTY
-    top = members.where("v is not null").withColumn("_r", F.row_number().over(Window.partitionBy("topic_id").orderBy(F.desc_nulls_last("published_at"), "id"))).where(F.col("_r") <= most)
-    cut = pd.Timestamp(now) - pd.Timedelta(days=p["recent_days"])
-
-    def run(mine: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        cols = ["topic_id", "angle", "members", "inherited", "nearest_known", "emerging", "novelty"]
-        if not len(mine):
-            return pd.DataFrame({c: [] for c in cols})
-        mine = mine.sort_values("id")
-        v = np.stack(mine["v"].to_numpy()).astype(np.float64)
-        u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        close, root = u @ u.T >= p["same_angle"], np.arange(len(u))
-        while True:
-            least = np.where(close, root[None, :], len(u)).min(axis=1)
-            if (least >= root).all():
-                break
-            root = np.minimum(root, least)
-        groups = sorted((np.flatnonzero(root == r) for r in np.unique(root)), key=lambda g: (-len(g), mine["id"].iloc[g[0]]))
-        old, used, rows = old.sort_values("angle_id"), set(), []
-        base = np.stack(old["centroid"].to_numpy()).astype(np.float64) if len(old) else np.zeros((0, v.shape[1]))
-        for g in groups:
-            c = v[g].mean(axis=0)
-            sims = base @ c / np.maximum(np.linalg.norm(base, axis=1) * np.linalg.norm(c), 1e-300)
-            free = [k for k in np.argsort(-sims, kind="stable") if k not in used]
-            heir = free[0] if free and sims[free[0]] >= p["identity"] else None
-            if heir is not None:
-                used.add(heir)
-            rest = [s for k, s in enumerate(sims) if k != heir]
-            far = max(rest) if rest else None
-            some = mine.iloc[g]
-            fresh, first = int((some["published_at"] >= cut).sum()), some["published_at"].min()
-            enough = len(g) >= p["min_members"]
-            emerging = heir is None and enough and bool(first >= cut) and (far is None or far < p["new_below"])
-            w = p["weights"]
-            score = w["distance"] * (100.0 if far is None else (1 - far) * 100) + w["growth"] * min(100.0, 100.0 * fresh / len(g) / 0.6) + w["adequacy"] * min(100.0, 100.0 * len(g) / p["min_members"]) + w["diversity"] * 100.0 * some["author_id"].nunique() / len(g)
-            rows.append((mine["topic_id"].iloc[0], mine["id"].iloc[g[0]], len(g), None if heir is None else int(old["angle_id"].iloc[heir]), far, emerging, np.floor(score * 10 + 0.5) / 10 if enough else None))
-        return pd.DataFrame(rows, columns=cols).astype({"inherited": "Int64"})
-
-    a = top.select("topic_id", "id", "v", "author_id", "published_at").groupBy("topic_id")
-    return a.cogroup(known.groupBy("topic_id")).applyInPandas(run, "topic_id long, angle long, members int, inherited long, nearest_known double, emerging boolean, novelty double")
+    p, c = NOVELTY, F.col
+    m = members.where("v is not null and topic_id is not null")
+    roots = components(edges(m.select("topic_id", "id", "v"), p["same_angle"], space="topic_id").select("a", "b"))
+    m = saved(m.join(roots, c("id") == c("node"), "left").withColumn("angle", F.coalesce("root", "id")).drop("node", "root"))
+    cut = c("published_at") >= at(now, days=p["recent_days"])
+    g = m.groupBy("topic_id", "angle").agg(F.count(F.lit(1)).alias("members"), F.count_if(cut).alias("fresh"), F.min("published_at").alias("since"), F.count_distinct("author_id").alias("authors"))
+    k = known.select(c("topic_id").alias("_t"), "angle_id", "centroid")
+    near = g.join(centroids(m, "angle").select(c("angle").alias("_a"), c("centroid").alias("_c")), c("angle") == c("_a")).join(k, c("topic_id") == c("_t"))
+    near = saved(near.select("topic_id", "angle", "members", "angle_id", cosine(c("_c").cast("array<double>"), c("centroid").cast("array<double>")).alias("sim")))
+
+    def claim(pairs: pd.DataFrame) -> pd.DataFrame:
+        used, rows = set(), []
+        for (_, angle), some in pairs.assign(size=-pairs["members"]).groupby(["size", "angle"]):
+            free = some[~some["angle_id"].isin(used)].sort_values(["sim", "angle_id"], ascending=[False, True])
+            if len(free):
+                used.add(int(free["angle_id"].iloc[0]))
+                rows.append((angle, int(free["angle_id"].iloc[0])))
+        return pd.DataFrame(rows, columns=["_angle", "inherited"]).astype("int64")
+
+    # what a topic's task holds are its pairs of an angle and a known one that may be the same, not its members
+    heirs = near.where(c("sim") >= p["identity"]).groupBy("topic_id").applyInPandas(claim, "_angle long, inherited long")
+    g = g.join(heirs, c("angle") == c("_angle"), "left").drop("_angle")
+    others = near.join(heirs, c("angle") == c("_angle"), "left").where(c("inherited").isNull() | (c("angle_id") != c("inherited")))
+    g = g.join(others.groupBy(c("angle").alias("_o")).agg(F.max("sim").alias("nearest_known")), c("angle") == c("_o"), "left")
+    enough, far, w = c("members") >= p["min_members"], c("nearest_known"), p["weights"]
+    emerging = c("inherited").isNull() & enough & F.coalesce(c("since") >= at(now, days=p["recent_days"]), F.lit(False)) & (far.isNull() | (far < p["new_below"]))
+    score = w["distance"] * F.when(far.isNull(), 100.0).otherwise((1 - far) * 100) + w["growth"] * F.least(F.lit(100.0), 100.0 * c("fresh") / c("members") / 0.6)
+    score = score + w["adequacy"] * F.least(F.lit(100.0), 100.0 * c("members") / p["min_members"]) + w["diversity"] * 100.0 * c("authors") / c("members")
+    return g.select("topic_id", "angle", c("members").cast("int").alias("members"), "inherited", "nearest_known", emerging.alias("emerging"), F.when(enough, half_up(score, 1)).alias("novelty"))
+
+
+def topic_novelty(found: DataFrame) -> DataFrame:
+    """(topic_id, novelty, emerging_angles, novelty_confidence) from angles: the best emerging one, else 0. Confidence
+    is high with ten members in angles, medium with three, else low."""
+    n = F.sum("members")
+    return found.groupBy("topic_id").agg(F.coalesce(F.max(F.when(F.col("emerging"), F.col("novelty"))), F.lit(0.0)).alias("novelty"), F.count_if("emerging").alias("emerging_angles"), F.when(n >= 10, "high").when(n >= 3, "medium").otherwise("low").alias("novelty_confidence"))
+
+
+def persisted_angles(stored: DataFrame, found: DataFrame) -> DataFrame:
+    """The stored angles after a run: (angle_id, topic_id, label, status, members) from stored (angle_id, topic_id, label)
+    and found (angle, topic_id, inherited, members). An inherited one is updated and keeps its label, one that nothing
+    inherits turns inactive, a found one without an heir's place is new."""
+    f = found.select(F.col("topic_id").alias("_t"), "angle", "inherited", F.col("members").alias("_m"))
+    j = stored.select("angle_id", "topic_id", "label").join(f, F.col("angle_id") == F.col("inherited"), "full")
+    status = F.when(F.col("angle_id").isNull(), "new").when(F.col("angle").isNull(), "inactive").otherwise("active")
+    return j.select(F.coalesce("angle_id", "angle").alias("angle_id"), F.coalesce("topic_id", "_t").alias("topic_id"), "label", status.alias("status"), F.coalesce("_m", F.lit(0)).cast("long").alias("members"))
 
 
 def burst_opportunity(scores: DataFrame, now: dt.datetime) -> DataFrame:
-    """(topic_id, burst, coverage, recent_bursts, density) from (topic_id, score, published_at)."""
+    """(topic_id, burst, coverage, recent_bursts, density) from (topic_id, score, published_at); a topic with nothing
+    scored has nulls for all four."""
     m = OPPORTUNITY["burst_mix"]
     hot = (F.col("score") >= 80) & (F.col("published_at") >= at(now, days=7))
-    g = scores.groupBy("topic_id").agg(F.count("score").alias("scored"), F.count(F.lit(1)).alias("all"), F.count_if(F.col("score") >= 80).alias("bursting"), low_quantile("score", 0.75).alias("p75"), F.count_if(hot).alias("recent_bursts"))
-    density = F.least(F.lit(100.0), F.lit(100.0) * (F.col("bursting") / F.nullif(F.col("scored"), F.lit(0))) / 0.3)
+    g = scores.groupBy("topic_id").agg(F.count("score").alias("scored"), F.count(F.lit(1)).alias("all"), F.count_if(F.col("score") >= 80).alias("bursting"), F.count_if(hot).alias("recent_bursts"))
+    g = same_keys(g, order_statistics(scores, ["topic_id"], {"p75": ("score", low_quantile_at(0.75))}), ["topic_id"])
+    some = lambda x: F.when(F.col("scored") > 0, x)
+    density = some(F.least(F.lit(100.0), F.lit(100.0) * (F.col("bursting") / F.nullif(F.col("scored"), F.lit(0))) / 0.3))
     score = clamp(m["density"] * density + m["p75"] * F.col("p75") + m["recent"] * F.least(F.lit(100.0), F.col("recent_bursts") * 20.0))
-    return g.select("topic_id", half_up(score, 1).alias("burst"), half_up(F.col("scored") / F.col("all"), 6).alias("coverage"), "recent_bursts", half_up(density, 6).alias("density"))
+    return g.select("topic_id", half_up(score, 1).alias("burst"), some(half_up(F.col("scored") / F.col("all"), 6)).alias("coverage"), some(F.col("recent_bursts")).alias("recent_bursts"), half_up(density, 6).alias("density"))
 
 
 def pattern_strength(patterns: DataFrame, most: int = 40) -> DataFrame:
@@ -187,31 +199,43 @@ def pattern_strength(patterns: DataFrame, most: int = 40) -> DataFrame:
 
 
 def opportunity(topics: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """topics (topic_id, members, trend, state, burst, coverage, novelty, saturation, pattern, trend_confidence, ...)
-    with score or reason, level, confidence, and reason codes in a fixed order."""
-    w, c = weights or OPPORTUNITY["balanced"], F.col
+    """topics (topic_id, members, trend, state, burst, density, coverage, novelty, emerging_angles, saturation, pattern,
+    high_patterns, quality_mode, trend_age_hours, intel_age_hours and the *_confidence columns; those that are missing
+    are unknown) with score or reason, level, confidence, and reason codes in a fixed order."""
+    kinds = {"state": "string", "quality_mode": "string", "trend_confidence": "string", "novelty_confidence": "string", "saturation_confidence": "string"}
+    for name in ("members", "trend", "state", "burst", "density", "coverage", "novelty", "emerging_angles", "saturation", "pattern", "high_patterns", "quality_mode", "trend_age_hours", "intel_age_hours", "trend_confidence", "novelty_confidence", "saturation_confidence"):
+        if name not in topics.columns:
+            topics = topics.withColumn(name, F.lit(None).cast(kinds.get(name, "double")))
+    w, c, o = weights or OPPORTUNITY["balanced"], F.col, OPPORTUNITY
+    yes = lambda x: F.coalesce(x, F.lit(False))
     fit = F.lit(None).cast("double")
-    for state, value in OPPORTUNITY["lifecycle_fit"].items():
+    for state, value in o["lifecycle_fit"].items():
         fit = F.when(c("state") == state, F.lit(float(value))).otherwise(fit)
     raw = {"trend": c("trend"), "burst": c("burst"), "novelty": c("novelty"), "whitespace": clamp(100.0 - c("saturation")), "pattern": c("pattern"), "lifecycle": fit}
     n = sum((x.isNotNull().cast("int") for x in raw.values()), F.lit(0))
     score, _ = weighted({k: (x, w[k]) for k, x in raw.items()})
-    reason = F.when(n < OPPORTUNITY["min_components"], "INSUFFICIENT_COMPONENTS").when(c("trend").isNull() & c("novelty").isNull(), "NO_CORE_EVIDENCE")
+    reason = F.when(n < o["min_components"], "INSUFFICIENT_COMPONENTS").when(c("trend").isNull() & c("novelty").isNull(), "NO_CORE_EVIDENCE")
     worth = lambda x: F.when(x == "high", 1.0).when(x == "medium", 0.7).when(x == "low", 0.4).otherwise(0.55)
     upstream = [(c("trend"), c("trend_confidence")), (c("novelty"), c("novelty_confidence")), (raw["whitespace"], c("saturation_confidence"))]
     k = sum((x.isNotNull().cast("int") for x, _ in upstream), F.lit(0))
     mean = sum((F.when(x.isNotNull(), worth(said)).otherwise(0.0) for x, said in upstream), F.lit(0.0)) / F.nullif(k, F.lit(0))
-    few = F.coalesce("members", F.lit(0)) < OPPORTUNITY["few_members"]
-    conf = F.coalesce(mean, F.lit(1.0)) - F.when(few, 0.2).otherwise(0.0) - F.when(F.coalesce(c("coverage") < OPPORTUNITY["low_coverage"], F.lit(False)), 0.1).otherwise(0.0)
+    few = F.coalesce("members", F.lit(0)) < o["few_members"]
+    lexical, thin = yes(c("quality_mode") == "lexical_baseline"), yes(c("coverage") < o["low_coverage"])
+    old_trend, old_intel = yes(c("trend_age_hours") > o["trend_max_age_hours"]), yes(c("intel_age_hours") > o["intel_max_age_hours"])
+    conf = F.coalesce(mean, F.lit(1.0)) - F.when(few, 0.2).otherwise(0.0)
+    for lacks in (lexical, thin, old_trend, old_intel):
+        conf = conf - F.when(lacks, 0.1).otherwise(0.0)
     conf = clamp(conf, 0.0, 1.0)
     codes = [
         (c("trend") >= 60, "HIGH_TREND"), (c("state") == "rising", "RISING_LIFECYCLE"), (c("state") == "emerging", "EMERGING_LIFECYCLE"), (c("novelty") >= 60, "HIGH_NOVELTY"),
-        (c("saturation") < 40, "LOW_SATURATION"), (c("saturation") >= 67, "HIGH_SATURATION"), (few, "LOW_TOPIC_HISTORY"), (c("coverage") < OPPORTUNITY["low_coverage"], "LOW_BURST_COVERAGE"),
+        (c("emerging_angles") > 0, "EMERGING_ANGLES"), (c("saturation") < 40, "LOW_SATURATION"), (c("saturation") >= 67, "HIGH_SATURATION"), (c("density") >= 25, "STRONG_BURST_DENSITY"),
+        (c("high_patterns") > 0, "CLEAR_VIRAL_PATTERNS"), (c("pattern").isNull(), "PATTERN_SAMPLE_INSUFFICIENT"), (few, "LOW_TOPIC_HISTORY"), (lexical, "LEXICAL_BASELINE_ONLY"), (thin, "LOW_BURST_COVERAGE"),
+        (old_trend, "STALE_TREND"), (old_intel, "STALE_INTELLIGENCE"),
     ]
     said = F.array_join(F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in codes])), ",")
     ok, final = reason.isNull(), half_up(score, 1)
-    level = F.when(score >= OPPORTUNITY["high"], "high").when(score >= OPPORTUNITY["medium"], "medium").otherwise("low")
-    return topics.select("topic_id", *[half_up(x, 6).alias(f"c_{key}") for key, x in raw.items()], reason.alias("reason"), F.when(ok, final).alias("score"), F.when(ok, level).alias("level"), F.when(ok, half_up(conf, 2)).alias("confidence_score"), F.when(ok, label(conf)).alias("confidence"), said.alias("codes"))
+    level = F.when(score >= o["high"], "high").when(score >= o["medium"], "medium").otherwise("low")
+    return topics.select("topic_id", *[half_up(x, 6).alias(f"c_{key}") for key, x in raw.items()], reason.alias("reason"), F.when(ok, final).alias("score"), F.when(ok, level).alias("level"), F.when(ok, half_up(conf + F.lit(1e-9), 2)).alias("confidence_score"), F.when(ok, label(conf)).alias("confidence"), F.when(ok, said).otherwise("").alias("codes"))
 
 
 def why_changed(before: DataFrame, after: DataFrame, parts: list[str]) -> DataFrame:

@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.stats import clamp, growth, half_up, label, percentiles_of, upper_median, weighted
+from tidewell.functions.stats import clamp, growth, half_up, label, order_statistics, percentiles_of, upper_median_at, weighted
+from tidewell.operators.graph import saved
 from tidewell.operators.momentum import METRICS, WEIGHTS, at, point
 from tidewell.profiles import BURST, LIFECYCLE, TREND
 
@@ -21,21 +22,28 @@ def age_bucket(published: Column, now: dt.datetime, scale: float = 1.0) -> Colum
     return out
 
 
+def same_keys(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with other's further columns on keys, a null being equal to a null."""
+    right = other.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in other.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(right, same).drop(*[f"_k_{k}" for k in keys])
+
+
 def cohorts(items: DataFrame, now: dt.datetime, scale: float = 1.0, min_sample: int = BURST["min_sample"], floor_sample: int = BURST["floor_sample"]) -> DataFrame:
     """items with age, cohort, level, cohort_size, insufficient: the finest of four keys that enough items share.
 
-    Sizes count all items of a key. Each level's sizes are aggregated and joined back, so that a platform which
-    holds most items doesn't meet in one window partition.
+    Sizes count all items of a key. The items are counted once, by the finest key; the coarser keys' sizes are sums of
+    these counts, so that one small table is joined back and no platform's items meet in one task.
     """
     base = items.withColumn("age", age_bucket(F.col("published_at"), now, scale))
-    rows = base
     levels = [["platform", "content_type", "age", "topic_id"], ["platform", "content_type", "age"], ["platform", "age"], ["platform"]]
-    for i, keys in enumerate(levels):
-        n = base.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"_n{i}")).select(*[F.col(k).alias(f"_{i}{k}") for k in keys], f"_n{i}")
-        same = F.lit(True)
-        for k in keys:
-            same = same & F.col(k).eqNullSafe(F.col(f"_{i}{k}"))
-        rows = rows.join(n, same).drop(*[f"_{i}{k}" for k in keys])
+    sizes = base.groupBy(*levels[0]).agg(F.count(F.lit(1)).alias("_n0"))
+    for i, keys in enumerate(levels[1:], 1):
+        n = sizes.groupBy(*keys).agg(F.sum("_n0").alias(f"_n{i}"))
+        sizes = same_keys(sizes, n, keys)
+    rows = same_keys(base, sizes, levels[0])
     topic = F.concat(F.lit("topic:"), F.coalesce(F.col("topic_id").cast("string"), F.lit("-")))
     names = [F.concat_ws("|", "platform", "content_type", "age", topic), F.concat_ws("|", "platform", "content_type", "age"), F.concat_ws("|", "platform", "age"), F.col("platform")]
     level = F.when(F.col("_n0") >= min_sample, 0).when(F.col("_n1") >= min_sample, 1).when(F.col("_n2") >= min_sample, 2).otherwise(3)
@@ -104,7 +112,7 @@ def creator_percentile(rows: DataFrame) -> DataFrame:
 
 def burst_components(items: DataFrame, snapshots: DataFrame, now: dt.datetime, upvoting: str, scale: float = 1.0, **how) -> DataFrame:
     """Items with their five components; the distribution of a cohort holds the items resolved to it."""
-    rows = observations(cohorts(items, now, scale, **how), snapshots, now, upvoting, scale)
+    rows = saved(observations(cohorts(items, now, scale, **how), snapshots, now, upvoting, scale))  # read by each ranking
     rows = percentiles_of(rows, "item_id", ["cohort"], ["velocity", "views", "ratio", "total", "main", "comments", "shares", "favorites"])
     rows = creator_percentile(rows)
     four = [F.col(f"p_{m}") for m in ("main", "comments", "shares", "favorites")]
@@ -160,8 +168,9 @@ def topic_windows(days: DataFrame, now: dt.datetime, hours: int = TREND["window_
         F.count_if(cur).alias("_c"), F.count_if(base).alias("_b"), F.count(F.lit(1)).alias("days"),
         *[F.sum(F.when(cur, F.col(x))).alias(f"c_{x}") for x in ("new", "creators")], F.avg(F.when(cur, F.col("level"))).alias("c_level"),
         *[F.sum(F.when(base, F.col(x))).alias(f"b_{x}") for x in ("new", "creators")], F.avg(F.when(base, F.col("level"))).alias("b_level"),
-        *[upper_median(F.when(old, F.col(x))).alias(f"o_{x}") for x in ("new", "creators", "level")],
     )
+    middle = order_statistics(d.where(old), ["topic_id"], {f"o_{x}": (x, upper_median_at()) for x in ("new", "creators", "level")})
+    g = g.join(middle, "topic_id", "left")
     pick = lambda x: F.when(F.col("_b") > 0, F.col(f"b_{x}")).otherwise(F.col(f"o_{x}"))
     return g.select("topic_id", "days", F.when(F.col("_c") > 0, F.col("c_new")).alias("c_new"), pick("new").alias("b_new"), "c_creators", pick("creators").alias("b_creators"), "c_level", F.coalesce("b_level", "o_level").alias("b_level"))
 

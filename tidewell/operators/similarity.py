@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from tidewell.operators.graph import components
+from tidewell.operators.graph import components, saved
 
 # Fixed values of the text hash: offsets and the prime of FNV-1a, and the words of templates, which are left out.
 FNV_START, FNV_SIGN, FNV_PRIME = 0x811C9DC5, 0x9DC5B117, 0x01000193
@@ -64,32 +64,46 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.when(size > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / size))).otherwise(F.lit(0.0)))
 
 
-def edges(vectors: DataFrame, threshold: float, block: int = 2000, space: str | None = None) -> DataFrame:
-    """(a, b, sim), a < b: all pairs of vectors (id, v) with cosine >= threshold, exactly.
+def edges(vectors: DataFrame, threshold: float, block: int = 2000, space: str | None = None, most: int | None = None) -> DataFrame:
+    """(a, b, sim), a < b: all pairs of vectors (id, v) with cosine >= threshold, exactly; with `space`, a column of
+    vectors, only pairs of equal spaces. Null vectors and vectors of unlike lengths link with nothing.
 
-    The rows are dealt into blocks; each pair of blocks is one task that multiplies two matrices. Every row goes to
-    as many tasks as there are blocks, and a task holds two blocks at most, whatever the table's size.
+    The rows of a space are dealt into blocks; each pair of blocks is one task that multiplies two matrices. Every row
+    goes to as many tasks as its space has blocks, and a task holds two blocks at most, whatever the table's size. With
+    `most`, a task gives only the best `most` of each row among the other block: what is left out cannot be among the
+    `most` best of either end.
     """
-    n = max(1, -(-vectors.count() // block))
-    rows = vectors.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("id", "v", "k", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"))
+    rows = vectors.where(F.col("v").isNotNull() & F.col("id").isNotNull()).select("id", "v", (F.col(space).cast("string") if space else F.lit("")).alias("s"))
+    rows = rows.where("s is not null")
+    blocks = rows.groupBy(F.col("s").alias("_s")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
+    rows = rows.join(blocks, F.col("s") == F.col("_s")).withColumn("k", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("s", "id", "v", "k", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf[pdf["k"] == pdf["i"].iloc[0]]
-        other = pdf[pdf["k"] == pdf["j"].iloc[0]]
-        out = []
-        if len(first) and len(other):
+        out = [pd.DataFrame({"a": [], "b": [], "sim": []}).astype({"a": "int64", "b": "int64", "sim": "float64"})]
+        one = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        for _, same in pdf.groupby(pdf["v"].map(len)):
+            first, other = same[same["k"] == same["i"]], same[same["k"] == same["j"]]
+            if not len(first) or not len(other) or not len(first["v"].iloc[0]):
+                continue
             unit = [m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (np.stack(p["v"].to_numpy()).astype(np.float64) for p in (first, other))]
             ids = [p["id"].to_numpy() for p in (first, other)]
             for at in range(0, len(first), 512):
                 sim = unit[0][at : at + 512] @ unit[1].T
                 x, y = np.nonzero(sim >= threshold)
                 a, b = ids[0][x + at], ids[1][y]
-                keep = (a < b) if pdf["i"].iloc[0] == pdf["j"].iloc[0] else a != b
+                keep = (a < b) if one else a != b
                 out.append(pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "sim": np.clip(sim[x, y][keep], -1, 1)}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "sim": []}).astype({"a": "int64", "b": "int64"})
+        found = pd.concat(out)
+        if most is not None and len(found):
+            good = np.zeros(len(found), bool)
+            for me, it in (("a", "b"), ("b", "a")):
+                ranked = found.assign(row=np.arange(len(found))).sort_values([me, "sim", it], ascending=[True, False, True])
+                good[ranked["row"].to_numpy()[ranked.groupby(me).cumcount().to_numpy() < most]] = True
+            found = found[good]
+        return found
 
-    return rows.groupBy("i", "j").applyInPandas(meet, "a long, b long, sim double")
+    return rows.groupBy("s", "i", "j").applyInPandas(meet, "a long, b long, sim double")
 
 
 def neighbours(pairs: DataFrame, most: int) -> DataFrame:
@@ -100,35 +114,42 @@ def neighbours(pairs: DataFrame, most: int) -> DataFrame:
     return top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").distinct()
 
 
-def similar(vectors: DataFrame, queries: DataFrame, top: int = 10, chunk: int = 256) -> DataFrame:
-    """(q, id, sim, r): for each query vector (q, qv), a stated set, its nearest rows among all vectors (id, v).
+def similar(vectors: DataFrame, queries: DataFrame, top: int = 10, least: float = -1.0, block: int = 4000) -> DataFrame:
+    """(q, id, sim, r): for each query vector (q, qv), a stated set of any size, its `top` nearest rows of cosine `least`
+    or more among all vectors (id, v), itself left out. Filter vectors beforehand (by platform, say).
 
-    Each task keeps the best of its own rows per query, so that what is shuffled is tasks x queries x top rows.
-    The queries must be few enough to broadcast: at most 100,000 are taken.
+    Queries are dealt into blocks, and each partition of vectors meets each block in a task of Arrow batches; a task
+    keeps the best `top` of its rows for each query, which are then ranked together.
     """
-    asked = queries.limit(100_001).toPandas()
-    if len(asked) > 100_000:
-        raise ValueError("more queries than a broadcast should hold; use edges()")
-    if not len(asked):
-        return vectors.select(F.lit(0).cast("long").alias("q"), "id", F.lit(0.0).alias("sim"), F.lit(0).alias("r")).where("false")
-    q = np.stack(asked["qv"].to_numpy()).astype(np.float64)
-    sent = vectors.sparkSession.sparkContext.broadcast((asked["q"].to_numpy(), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, unit = sent.value
-        for pdf in batches:
-            v = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            ids = pdf["id"].to_numpy()
-            for at in range(0, len(names), chunk):
-                sim = unit[at : at + chunk] @ v.T
-                sim[names[at : at + chunk, None] == ids[None, :]] = -2.0
-                k = np.argsort(-sim, axis=1, kind="stable")[:, : top + 1]
+    asked = queries.where("qv is not null").withColumn("k", F.lit(0))
+    n = max(1, -(-asked.count() // block))
+    asked = asked.withColumn("k", F.pmod(F.xxhash64("q"), F.lit(n)).cast("int"))
+    parts = max(1, -(-vectors.count() // block))
+    rows = vectors.where("v is not null").withColumn("p", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    left = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).groupBy("p", "k")
+    right = asked.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).groupBy("p", "k")
+
+    def best(mine: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"q": [], "id": [], "sim": []}).astype({"q": "int64", "id": "int64", "sim": "float64"})]
+        for size, some in questions.groupby(questions["qv"].map(len)) if len(questions) else ():
+            near = mine[mine["v"].map(len) == size]
+            if not len(near) or not size:
+                continue
+            v, u = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (np.stack(x.to_numpy()).astype(np.float64) for x in (near["v"], some["qv"])))
+            ids, names = near["id"].to_numpy(), some["q"].to_numpy()
+            by = np.argsort(ids, kind="stable")
+            ids, v = ids[by], v[by]
+            for at in range(0, len(names), 256):
+                sim = np.clip(u[at : at + 256] @ v.T, -1, 1)
+                sim[names[at : at + 256, None] == ids[None, :]] = -2.0
+                k = np.argsort(-np.round(sim, 9), axis=1, kind="stable")[:, :top]
                 row = np.repeat(np.arange(len(k)), k.shape[1])
-                yield pd.DataFrame({"q": names[at + row], "id": ids[k.ravel()], "sim": sim[row, k.ravel()]})
+                got = pd.DataFrame({"q": names[at + row], "id": ids[k.ravel()], "sim": sim[row, k.ravel()]})
+                out.append(got[got["sim"] >= least])
+        return pd.concat(out)
 
     w = Window.partitionBy("q").orderBy(F.desc(F.round("sim", 9)), "id")
-    found = vectors.mapInPandas(best, "q long, id long, sim double").where("sim > -2")
+    found = left.cogroup(right).applyInPandas(best, "q long, id long, sim double")
     return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top)
 
 
@@ -150,13 +171,15 @@ def cohesion(vectors: DataFrame, group: str) -> DataFrame:
 def clusters(vectors: DataFrame, threshold: float = 0.3, most: int = 24, smallest: int = 3, largest: int = 400, least_cohesion: float = 0.55, step: float = 0.15) -> DataFrame:
     """(id, cluster, status): components of the neighbour graph; too few are noise; a giant or an incohesive one is
     cut once more at a higher threshold, and kept for review if that leaves no cluster."""
-    pairs = neighbours(edges(vectors, threshold), most)
+    pairs = saved(neighbours(edges(vectors, threshold, most=most), most))
     first = vectors.join(components(pairs.select("a", "b")), F.col("id") == F.col("node"), "left").select("id", "v", F.coalesce("root", "id").alias("cluster"))
     state = cohesion(first, "cluster").withColumn("bad", (F.col("members") > largest) | (F.col("cohesion") < least_cohesion))
     first = first.join(state.withColumnRenamed("cluster", "_c"), F.col("cluster") == F.col("_c"))
     again = first.where((F.col("members") >= smallest) & F.col("bad"))
     inner = pairs.where(F.col("sim") >= threshold + step).join(again.select(F.col("id").alias("a"), F.col("cluster").alias("_ca")), "a").join(again.select(F.col("id").alias("b"), F.col("cluster").alias("_cb")), "b").where("_ca = _cb")
-    second = components(inner.select("a", "b")).groupBy("root").agg(F.collect_list("node").alias("nodes"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= smallest).select(F.explode("nodes").alias("_n"), F.col("root").alias("_root"))
+    parts = components(inner.select("a", "b"))
+    sizes = parts.groupBy(F.col("root").alias("_r")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= smallest)
+    second = parts.join(sizes, F.col("root") == F.col("_r")).select(F.col("node").alias("_n"), F.col("root").alias("_root"))
     out = first.join(second, F.col("id") == F.col("_n"), "left")
     split = out.where(F.col("_root").isNotNull()).select("cluster").distinct().withColumnRenamed("cluster", "_s")
     out = out.join(split, F.col("cluster") == F.col("_s"), "left")
@@ -180,6 +203,7 @@ def agreement(rows: DataFrame, cluster: str, label: str) -> DataFrame:
 def reconcile(old: DataFrame, new: DataFrame, least: float = 0.3) -> DataFrame:
     """(cluster, topic, overlap): the old topic (topic, id) each new cluster (cluster, id) continues, by the largest
     Jaccard overlap of `least` or more. The larger overlap claims a topic; later claimers have none (they are new)."""
+    new = saved(new)
     both = old.join(new, "id").groupBy("topic", "cluster").agg(F.count(F.lit(1)).alias("k"))
     a = old.groupBy("topic").agg(F.count(F.lit(1)).alias("na"))
     b = new.groupBy("cluster").agg(F.count(F.lit(1)).alias("nb"))

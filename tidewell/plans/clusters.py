@@ -38,7 +38,7 @@ def similarity_edges(spark, sf_dir):
 
 @query(f"{_E} SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r FROM both_ways) WHERE r <= 3")
 def neighbor_topk(spark, sf_dir):
-    return V.neighbours(V.edges(_vectors(spark, sf_dir).select("id", "v"), 0.3), 3).select("a", "b")
+    return V.neighbours(V.edges(_vectors(spark, sf_dir).select("id", "v"), 0.3, most=3), 3).select("a", "b")
 
 
 @query(f"{_E}, reach AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT both_ways.b, reach.root FROM reach JOIN both_ways ON both_ways.a = reach.id) SELECT id, min(root) AS component FROM reach GROUP BY 1")
@@ -82,15 +82,15 @@ def cluster_agreement(spark, sf_dir):
     return V.agreement(k, "component", "label").select(*[half_up(F.col(c), 6).alias(c) for c in ("purity", "precision", "recall", "f1")])
 
 
-_R = "WITH o AS (SELECT vec_id AS id, label AS topic FROM embeddings WHERE vec_id % 5 > 0), n AS (SELECT vec_id AS id, (label + CASE WHEN vec_id % 7 = 0 THEN 1 ELSE 0 END) % 8 AS cluster FROM embeddings WHERE vec_id % 4 > 0), k AS (SELECT topic, cluster, count(*) AS k FROM o JOIN n USING (id) GROUP BY 1, 2), na AS (SELECT topic, count(*) AS na FROM o GROUP BY 1), nb AS (SELECT cluster, count(*) AS nb FROM n GROUP BY 1), j AS (SELECT *, k / CAST(na + nb - k AS DOUBLE) AS overlap FROM k JOIN na USING (topic) JOIN nb USING (cluster)), m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY overlap DESC, topic) AS r FROM j WHERE overlap >= 0.3) WHERE r = 1), z AS (SELECT cluster AS c, topic, overlap, row_number() OVER (PARTITION BY topic ORDER BY overlap DESC, nb DESC, cluster) AS r FROM m)"
+_R = f"{_E}, reach AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT both_ways.b, reach.root FROM reach JOIN both_ways ON both_ways.a = reach.id), o AS (SELECT vec_id AS id, label AS topic FROM embeddings), n AS (SELECT id, min(root) AS cluster FROM reach GROUP BY 1), k AS (SELECT topic, cluster, count(*) AS k FROM o JOIN n USING (id) GROUP BY 1, 2), na AS (SELECT topic, count(*) AS na FROM o GROUP BY 1), nb AS (SELECT cluster, count(*) AS nb FROM n GROUP BY 1), j AS (SELECT *, k / CAST(na + nb - k AS DOUBLE) AS overlap FROM k JOIN na USING (topic) JOIN nb USING (cluster)), m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY overlap DESC, topic) AS r FROM j WHERE overlap >= 0.01) WHERE r = 1), z AS (SELECT cluster AS c, topic, overlap, row_number() OVER (PARTITION BY topic ORDER BY overlap DESC, nb DESC, cluster) AS r FROM m)"
 
 
 @query(f"{_R} SELECT cluster, CASE WHEN r = 1 THEN topic END AS topic, floor(overlap * 1e6 + 0.5) / 1e6 AS overlap, CASE WHEN c IS NULL THEN 'new' WHEN r = 1 THEN 'kept' ELSE 'split' END AS status FROM nb LEFT JOIN z ON c = cluster")
 def topic_reconcile_jaccard(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    old = v.where("id % 5 > 0").select("id", F.col("label").alias("topic"))
-    new = v.where("id % 4 > 0").select("id", F.expr("(label + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END) % 8").alias("cluster"))
-    return V.reconcile(old, new).select("cluster", "topic", half_up(F.col("overlap"), 6).alias("overlap"), "status")
+    """The given labels as old topics, the components of all vectors as new clusters; these hardly overlap, hence 0.01."""
+    old = _vectors(spark, sf_dir).select("id", F.col("label").alias("topic"))
+    new = connected_components(spark, sf_dir).select("id", F.col("component").alias("cluster"))
+    return V.reconcile(old, new, 0.01).select("cluster", "topic", half_up(F.col("overlap"), 6).alias("overlap"), "status")
 
 
 @query()

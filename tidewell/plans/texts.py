@@ -86,12 +86,12 @@ def snapshot_suppression(spark, sf_dir):
     return D.suppress(s, ["item_id", "batch"]).agg(F.count(F.lit(1)).alias("snapshots"), F.count_distinct("item_id").alias("items"))
 
 
-@query("""WITH a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS title, CAST(o_custkey AS BIGINT) AS likes FROM orders WHERE o_orderkey % 5 < 4),
-b AS (SELECT l_orderkey AS k, max(l_returnflag) AS title, CASE WHEN l_orderkey % 4 = 0 THEN NULL ELSE count(*) END AS likes FROM lineitem WHERE l_orderkey % 5 > 0 GROUP BY l_orderkey)
+@query("""WITH a AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS title, CAST(o_custkey AS BIGINT) AS likes FROM orders),
+b AS (SELECT l_orderkey AS k, max(l_returnflag) AS title, CASE WHEN l_orderkey % 4 = 0 THEN NULL ELSE count(*) END AS likes FROM lineitem GROUP BY l_orderkey)
 SELECT coalesce(a.k, b.k) AS k, coalesce(a.title, b.title) AS title, coalesce(b.likes, a.likes) AS likes, CASE WHEN a.k IS NULL THEN 'new' WHEN b.k IS NULL THEN 'kept' ELSE 'merged' END AS status FROM a FULL JOIN b ON a.k = b.k""")
 def merge_fill_null(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 5 < 4").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("title"), F.col("o_custkey").alias("likes"))
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 5 > 0").groupBy(F.col("l_orderkey").alias("k")).agg(F.max("l_returnflag").alias("title"), F.count(F.lit(1)).alias("n"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("title"), F.col("o_custkey").alias("likes"))
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.max("l_returnflag").alias("title"), F.count(F.lit(1)).alias("n"))
     return D.merge(o, li.select("k", "title", F.when(F.col("k") % 4 != 0, F.col("n")).alias("likes")), "k", ["title"], ["likes"])
 
 

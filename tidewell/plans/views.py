@@ -39,6 +39,11 @@ def event_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def seen_by(items: DataFrame, snapshots: DataFrame, now: dt.datetime) -> tuple[DataFrame, DataFrame]:
+    """What a run at a clock may know: items published and snapshots captured by then; items without a time stay."""
+    return items.where(F.col("published_at").isNull() | (F.col("published_at") <= F.lit(now).cast("timestamp"))), snapshots.where(F.col("captured_at") <= F.lit(now).cast("timestamp"))
+
+
 def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from orders: an item per order, its region as platform."""
     o, c, n, r = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
@@ -85,3 +90,20 @@ m1_snapshots AS (SELECT user_id AS item_id, captured_at, CASE WHEN user_id % 5 <
   s AS comments, CASE WHEN user_id % 7 <> 0 THEN p END AS shares, e AS favorites, CASE WHEN user_id % 4 = 3 THEN c END AS upvotes
   FROM m1_sums)
 """
+
+#: The same of the order views.
+ORDERS_SQL = """
+m1_items AS (SELECT o_orderkey AS item_id, r_name AS platform, o_orderpriority AS content_type, o_custkey AS author_id, o_custkey % 40 AS topic_id, CAST(o_orderdate AS TIMESTAMP) AS published_at
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+m1_days AS (SELECT l_orderkey, CAST(l_shipdate AS TIMESTAMP) AS captured_at, sum(CAST(floor(l_quantity + 0.5) AS BIGINT)) AS q, sum(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS x, count(*) AS n,
+  count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS rf, count(CASE WHEN l_linestatus = 'F' THEN 1 END) AS ls FROM lineitem GROUP BY 1, 2),
+m1_sums AS (SELECT l_orderkey, captured_at, CAST(sum(q) OVER w AS BIGINT) AS q, CAST(sum(x) OVER w AS BIGINT) AS x, CAST(sum(n) OVER w AS BIGINT) AS n, CAST(sum(rf) OVER w AS BIGINT) AS rf, CAST(sum(ls) OVER w AS BIGINT) AS ls
+  FROM m1_days WINDOW w AS (PARTITION BY l_orderkey ORDER BY captured_at ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+m1_snapshots AS (SELECT l_orderkey AS item_id, captured_at, CASE WHEN l_orderkey % 5 <> 0 THEN x END AS views, q AS likes, n AS comments, CASE WHEN l_orderkey % 7 <> 0 THEN rf END AS shares, ls AS favorites, CAST(NULL AS BIGINT) AS upvotes FROM m1_sums)
+"""
+
+
+def clocked_sql(now: str) -> str:
+    """The event views as a run at a clock may see them."""
+    all_ = EVENTS_SQL.replace("m1_items AS (", "all_items AS (").replace("m1_snapshots AS (", "all_snapshots AS (")
+    return f"{all_}, m1_items AS (SELECT * FROM all_items WHERE published_at IS NULL OR published_at <= TIMESTAMP '{now}'), m1_snapshots AS (SELECT * FROM all_snapshots WHERE captured_at <= TIMESTAMP '{now}')"

@@ -41,5 +41,5 @@ OPPORTUNITY = {
     "early_discovery": {"trend": 0.25, "burst": 0.15, "novelty": 0.25, "whitespace": 0.20, "pattern": 0.05, "lifecycle": 0.10},
     "lifecycle_fit": {"emerging": 65, "rising": 85, "peak": 70, "saturated": 45, "declining": 25, "evergreen": 55},
     "burst_mix": {"density": 0.5, "p75": 0.3, "recent": 0.2},
-    "min_components": 3, "high": 70, "medium": 40, "few_members": 10, "low_coverage": 0.5,
+    "min_components": 3, "high": 70, "medium": 40, "few_members": 10, "low_coverage": 0.5, "trend_max_age_hours": 24, "intel_max_age_hours": 48,
 }
