@@ -39,13 +39,13 @@ def percentiles_of(df: DataFrame, row: str, keys: list[str], values: list[str])
     The values are laid out one below the other, ranked together and turned back into columns, so that one
     aggregation, one window and two joins do for any number of them.
     """
-    long = df.select(row, *keys, F.explode(F.array(*[F.struct(F.lit(v).alias("m"), F.col(v).cast("double").alias("v")) for v in values])).alias("_x"))
+    long = df.select(row, *keys, F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(v).cast("double").alias("v")) for i, v in enumerate(values)])).alias("_x"))
     long = long.select(row, *keys, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v")).where("_v is not null")
     hist = long.groupBy(*keys, "_m", "_v").agg(F.count(F.lit(1)).alias("_equal"))
     w = Window.partitionBy(*keys, "_m")
     below = F.coalesce(F.sum("_equal").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     hist = hist.withColumn("_p", F.lit(100.0) * (below + F.lit(0.5) * F.col("_equal")) / F.sum("_equal").over(w)).drop("_equal")
-    wide = long.join(hist, [*keys, "_m", "_v"]).groupBy(F.col(row).alias("_row")).agg(*[F.max(F.when(F.col("_m") == v, F.col("_p"))).alias(f"p_{v}") for v in values])
+    wide = long.join(hist, [*keys, "_m", "_v"]).groupBy(F.col(row).alias("_row")).agg(*[F.max(F.when(F.col("_m") == i, F.col("_p"))).alias(f"p_{v}") for i, v in enumerate(values)])
     return df.join(wide, F.col(row) == F.col("_row"), "left").drop("_row")
 
 

@@ -52,12 +52,11 @@ def cohorts(items: DataFrame, now: dt.datetime, scale: float = 1.0, min_sample:
     return out.withColumn("cohort_size", size).withColumn("insufficient", (level == 3) & (F.col("_n3") < floor_sample)).drop("_n0", "_n1", "_n2", "_n3")
 
 
-def _gain(base: Column, last: Column, upvoting: Column) -> Column:
-    """The momentum between two snapshot structs; null if no delta is known."""
-    parts = {"likes": F.when(upvoting, last["upvotes"] - base["upvotes"]).otherwise(last["likes"] - base["likes"])}
-    parts |= {m: (last[m] - base[m]) * w for m, w in WEIGHTS.items() if m != "likes"}
-    total = sum((F.coalesce(p, F.lit(0)) for p in parts.values()), F.lit(0))
-    return F.when(F.coalesce(*parts.values()).isNotNull(), half_up(total.cast("double")))
+def _gain(base: Column, last: Column, main: str) -> Column:
+    """The momentum between two snapshot structs, main being the main reaction; null if no delta is known."""
+    parts = [last[main] - base[main]] + [(last[m] - base[m]) * w for m, w in WEIGHTS.items() if m != "likes"]
+    total = sum((F.coalesce(p, F.lit(0)) for p in parts), F.lit(0))
+    return F.when(F.coalesce(*parts).isNotNull(), half_up(total.cast("double")))
 
 
 def observations(items: DataFrame, snapshots: DataFrame, now: dt.datetime, upvoting: str, scale: float = 1.0) -> DataFrame:
@@ -67,16 +66,22 @@ def observations(items: DataFrame, snapshots: DataFrame, now: dt.datetime, upvot
     """
     inside = snapshots.where(F.col("captured_at") <= at(now))
     cuts = {k: F.col("captured_at") >= at(now, hours=h * scale) for k, h in BURST["windows_hours"].items()}
+    # every window that holds a snapshot ends with the latest of all, so only the first of each is looked for
     aggs = [F.max_by(point(), "captured_at").alias("latest"), F.min("captured_at").alias("since"), F.count(F.lit(1)).alias("snapshots")]
     for k, cut in cuts.items():
-        aggs += [F.min_by(point(), F.when(cut, F.col("captured_at"))).alias(f"b_{k}"), F.max_by(point(), F.when(cut, F.col("captured_at"))).alias(f"l_{k}"), F.count_if(cut).alias(f"n_{k}")]
+        aggs += [F.min_by(point(), F.when(cut, F.col("captured_at"))).alias(f"b_{k}"), F.count_if(cut).alias(f"n_{k}")]
     per = inside.groupBy("item_id").agg(*aggs).withColumnRenamed("item_id", "_item")
+    # both main reactions' velocities are made before the join, which keeps the expressions after it small
+    speeds = []
+    for k in cuts:
+        base, last = F.col(f"b_{k}"), F.col("latest")
+        hours = (F.unix_seconds(last["captured_at"]) - F.unix_seconds(base["captured_at"])) / 3600.0
+        speeds += [F.when((F.col(f"n_{k}") >= 2) & (hours > 0), _gain(base, last, main) / hours).alias(f"{main}_{k}") for main in ("likes", "upvotes")]
+    per = per.select("_item", "latest", "since", "snapshots", *speeds)
     j = items.join(per, F.col("item_id") == F.col("_item"), "left").drop("_item")
     up = F.col("platform") == upvoting
     for k in cuts:
-        b, last = F.col(f"b_{k}"), F.col(f"l_{k}")
-        hours = (F.unix_seconds(last["captured_at"]) - F.unix_seconds(b["captured_at"])) / 3600.0
-        j = j.withColumn(f"v_{k}", F.when((F.col(f"n_{k}") >= 2) & (hours > 0), _gain(b, last, up) / hours))
+        j = j.withColumn(f"v_{k}", F.when(up, F.col(f"upvotes_{k}")).otherwise(F.col(f"likes_{k}")))
     latest = F.col("latest")
     main = F.when(up, latest["upvotes"]).otherwise(latest["likes"])
     deep = latest["comments"] + latest["shares"] + latest["favorites"]
@@ -91,7 +96,7 @@ def observations(items: DataFrame, snapshots: DataFrame, now: dt.datetime, upvot
     j = j.withColumn("main", main).withColumn("comments", latest["comments"]).withColumn("shares", latest["shares"]).withColumn("favorites", latest["favorites"])
     span = F.when(F.col("snapshots") >= 2, (F.unix_seconds(latest["captured_at"]) - F.unix_seconds("since")) / 3600.0)
     j = j.withColumn("span_hours", span).withColumn("snapshots", F.coalesce("snapshots", F.lit(0)))
-    return j.drop("latest", "since", *[f"{x}_{k}" for k in cuts for x in "bln"])
+    return j.drop("latest", "since", *[f"{x}_{k}" for k in cuts for x in ("likes", "upvotes")])
 
 
 def creator_percentile(rows: DataFrame) -> DataFrame:

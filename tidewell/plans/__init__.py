@@ -1,5 +1,5 @@
 """Registered queries by subject; each module has QUERIES and ORACLES by name."""
 
-from . import clusters, feeds, intelligence, lists, scores, texts, trend
+from . import catalog, clusters, content, feeds, intelligence, lists, scores, texts, trend
 
-ALL = [trend, scores, texts, clusters, intelligence, feeds, lists]
+ALL = [trend, scores, texts, content, clusters, intelligence, feeds, lists, catalog]
