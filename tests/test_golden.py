@@ -218,6 +218,49 @@ def test_paged_source(spark, tmp_path):
     assert sorted((r.id or 0, r.title) for r in df.collect() if r.title) == [(1, "t1"), (2, "t2")] and df.count() == 4
 
 
+def test_paged_source_by_cursor_and_as_stream(spark, tmp_path):
+    from tidewell.sources.paged import PagedJson
+
+    spark.dataSource.register(PagedJson)
+    for k, after in (("", "b"), ("b", "c"), ("c", None)):
+        (tmp_path / f"c{k}.json").write_text(json.dumps({"list": [{"id": ord(k or "a")}], "next": after}))
+    for k in range(1, 31):
+        (tmp_path / f"p{k}.json").write_text(json.dumps({"list": [{"id": k}]}))
+    by = lambda r, name, **o: r.format("paged_json").options(url=f"file://{tmp_path}/{name}.json", items="list", **o).schema("id long").load()
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(by(spark.read, "c{cursor}", next="next")) == [97, 98, 99]
+    assert ids(by(spark.read, "c{cursor}", next="next", pages="2")) == [97, 98]
+    assert ids(by(spark.read, "p{page}", pages="30")) == list(range(1, 31))
+    for name, opts, want in (("c{cursor}", {"next": "next"}, [97, 98, 99]), ("p{page}", {"pages": "3"}, [1, 2, 3])):
+        out, done = str(tmp_path / f"out{len(name)}"), str(tmp_path / f"done{len(name)}")
+        q = by(spark.readStream, name, **opts).writeStream.format("parquet").option("path", out).option("checkpointLocation", done).start()
+        for _ in range(60):
+            q.processAllAvailable()
+            if ids(spark.read.schema("id long").parquet(out)) == want:
+                break
+        q.stop()
+        assert ids(spark.read.parquet(out)) == want
+
+
+def test_streams_go_on_after_a_restart(spark, tmp_path):
+    from tidewell.streaming import jobs
+
+    src, place = str(tmp_path / "in.parquet"), str(tmp_path / "place")
+    rows = lambda *r: spark.createDataFrame(r, "k long, t long").coalesce(1).write.mode("append").parquet(src)
+    got = lambda: {r.k: r.t for r in jobs.upsert_stream(jobs.stream(spark, src), ["k"], ["t"], place).collect()}
+    rows((1, 1), (2, 5))
+    assert got() == {1: 1, 2: 5} == got()
+    rows((1, 3), (2, 4), (3, 1))
+    assert got() == {1: 3, 2: 5, 3: 1}
+    counts = lambda: {r.k: r.n for r in jobs.run_to_end(jobs.stream(spark, src).groupBy("k").agg(F.count(F.lit(1)).alias("n")), ["k"], place=place + "2").collect()}
+    assert counts() == {1: 2, 2: 2, 3: 1}
+    rows((3, 9))
+    assert counts() == {1: 2, 2: 2, 3: 2}
+    none = str(tmp_path / "none.parquet")
+    spark.createDataFrame([], "k long, t long").write.parquet(none)
+    assert jobs.upsert_stream(jobs.stream(spark, none), ["k"], ["t"]).count() == 0
+
+
 def test_stream_equals_batch(spark):
     from tidewell.plans import feeds
     from tidewell.streaming import jobs

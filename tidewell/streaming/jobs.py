@@ -12,8 +12,10 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidewell.operators.graph import checkpoint_dir
 from tidewell.operators.silver import latest_by
@@ -25,21 +27,30 @@ def stream(spark: SparkSession, path: str, files_a_batch: int = 64) -> DataFrame
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def landed(df: DataFrame, mode: str = "append") -> DataFrame:
-    """All rows that a streaming frame gives, with the number of their batch (_batch)."""
+def landed(df: DataFrame, mode: str = "append", place: str | None = None) -> DataFrame:
+    """All rows that a streaming frame has given, with the number of their batch (_batch). With `place`, a shared folder,
+    a later call goes on where this one stopped, and gives what it found, too."""
     spark = df.sparkSession
-    place = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    place = place or f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{place}/rows/_b={number}")  # the same batch again replaces itself
 
     df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.option("basePath", f"{place}/rows").parquet(f"{place}/rows").drop("_b")
+    return _stored(spark, f"{place}/rows", df.select("*", F.lit(0).alias("_batch")).schema).drop("_b")
 
 
-def run_to_end(df: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
+def _stored(spark: SparkSession, place: str, schema: StructType) -> DataFrame:
+    """What is stored in a folder; no rows if nothing was ever written."""
+    try:
+        return spark.read.option("basePath", place).parquet(place)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def run_to_end(df: DataFrame, keys: list[str], mode: str = "update", place: str | None = None) -> DataFrame:
     """All that a streaming frame has to say now: the last row of each key."""
-    return latest_by(landed(df, mode), keys, ["_batch"]).drop("_batch")
+    return latest_by(landed(df, mode, place), keys, ["_batch"]).drop("_batch")
 
 
 def _timed(events: DataFrame, late: str | None) -> DataFrame:
@@ -116,16 +127,23 @@ def moods(events: DataFrame) -> DataFrame:
     return moods_of(landed(events.select("user_id", "event_id", "ts", "event_type")))
 
 
-def upsert_stream(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The current table of a stream of versions: the newest row of each key, each batch folded into the table before."""
+def upsert_stream(rows: DataFrame, keys: list[str], order: list[str], place: str | None = None) -> DataFrame:
+    """The current table of a stream of versions: the newest row of each key, each batch folded into the table before.
+
+    With `place`, a shared folder, a later call goes on where this one stopped. Each batch writes the table anew from
+    the last version of an earlier batch, so a batch that is repeated gives the same; versions before the last may be
+    deleted. A stream without rows gives an empty table.
+    """
     spark = rows.sparkSession
-    place = f"{checkpoint_dir(spark)}/current-{uuid.uuid4().hex}"
-    done: list[int] = []
+    place = place or f"{checkpoint_dir(spark)}/current-{uuid.uuid4().hex}"
+    schema = rows.select("*", F.lit(0).alias("_v")).schema
+
+    def before(number: int) -> DataFrame:
+        kept = _stored(spark, f"{place}/v", schema).where(F.col("_v") < number)
+        return kept.where(F.col("_v") == F.lit(kept.agg(F.max("_v")).first()[0])).drop("_v")
 
     def fold(batch: DataFrame, number: int) -> None:
-        now = batch if not done else batch.unionByName(spark.read.parquet(f"{place}/v{done[-1]}"))
-        latest_by(now, keys, order).write.mode("overwrite").parquet(f"{place}/v{number}")
-        done.append(number)
+        latest_by(before(number).unionByName(batch), keys, order).write.mode("overwrite").parquet(f"{place}/v/_v={number}")
 
     rows.writeStream.foreachBatch(fold).option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{place}/v{done[-1]}")
+    return before(1 << 62)
