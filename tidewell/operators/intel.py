@@ -17,12 +17,13 @@ from tidewell.operators.similarity import centroids, cosine, edges
 from tidewell.profiles import NOVELTY, OPPORTUNITY, PATTERN, SATURATION
 
 
-def control_ladder(items: DataFrame, group: str, viral: str, attributes: list[str]) -> DataFrame:
+def control_ladder(items: DataFrame, group: str, viral: str, attributes: list[str], everywhere: str | None = None, min_viral: int = PATTERN["min_viral"], min_control: int = PATTERN["min_control"]) -> DataFrame:
     """Rows (group, item_id, level): the controls of each group with enough viral items, at the finest level that has
     enough: sharing all attributes' values with some viral item of the group, then one attribute less from the left
-    to right order given, then any of the group. Groups without enough are left out."""
+    to right order given, then any of the group. A group without enough there takes, given the attribute `everywhere`,
+    the items of all groups that share its value with a viral item of the group, if they are enough; else it is left out."""
     hot = items.where(viral)
-    enough = hot.groupBy(group).agg(F.count(F.lit(1)).alias("_nv")).where(F.col("_nv") >= PATTERN["min_viral"]).select(F.col(group).alias("_g"))
+    enough = hot.groupBy(group).agg(F.count(F.lit(1)).alias("_nv")).where(F.col("_nv") >= min_viral).select(F.col(group).alias("_g"))
     pool = items.where(f"not {viral}").join(enough, F.col(group) == F.col("_g")).drop("_g")
     for a in attributes:
         values = hot.select(F.col(group).alias("_g"), F.col(a).alias("_v")).distinct()
@@ -37,9 +38,17 @@ def control_ladder(items: DataFrame, group: str, viral: str, attributes: list[st
     sizes = pool.groupBy(F.col(group).alias("_g")).agg(*[F.count_if(F.col("_level") <= n).alias(f"_n{n}") for n in range(len(attributes) + 1)])
     pick = F.lit(None).cast("int")
     for n in reversed(range(len(attributes) + 1)):
-        pick = F.when(F.col(f"_n{n}") >= PATTERN["min_control"], F.lit(n)).otherwise(pick)
+        pick = F.when(F.col(f"_n{n}") >= min_control, F.lit(n)).otherwise(pick)
     chosen = sizes.select("_g", pick.alias("level")).where("level is not null")
-    return pool.join(chosen, F.col(group) == F.col("_g")).where("_level <= level").select(group, "item_id", "level")
+    out = pool.join(chosen, F.col(group) == F.col("_g")).where("_level <= level").select(group, "item_id", "level")
+    if everywhere is None:
+        return out
+    poor = enough.join(chosen.select("_g"), "_g", "left_anti")
+    values = hot.join(poor, F.col(group) == F.col("_g")).select("_g", F.col(everywhere).alias("_v")).distinct()
+    mine = hot.select(F.col(group).alias("_g"), "item_id")
+    wide = saved(items.select("item_id", F.col(everywhere).alias("_x")).join(values, F.col("_x") == F.col("_v")).select("_g", "item_id").distinct().join(mine, ["_g", "item_id"], "left_anti"))
+    some = wide.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_control).select(F.col("_g").alias("_h"))
+    return out.union(wide.join(some, F.col("_g") == F.col("_h")).select("_g", "item_id", F.lit(len(attributes) + 1)))
 
 
 def boolean_lift(rows: DataFrame, group: str, side: str, features: list[str]) -> DataFrame:

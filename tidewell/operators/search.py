@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,3 +73,19 @@ def keywords(docs: DataFrame, group: str, words: str = "words", key: str = "item
     score = F.floor(F.col("tf") / F.col("m") * F.log(1 + F.col("n") / (1 + F.col("df"))) * 1e6 + 0.5) / 1e6
     w = Window.partitionBy(group).orderBy(F.desc("score"), "word")
     return j.withColumn("score", score).withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).select(group, "word", "score", F.col("r").cast("long").alias("r"))
+
+
+def snippet(text, terms: list[str], around: int = 30):
+    """What stands around the first of the terms within its line, `around` characters at most on each side, with every
+    term in brackets, in any case; empty if none is there."""
+    one = "|".join(re.escape(t) for t in terms)
+    part = F.regexp_extract(text, f"[^\\n]{{0,{around}}}(?i:{one})[^\\n]{{0,{around}}}", 0)
+    return F.regexp_replace(part, f"(?i)({one})", "[$1]")
+
+
+def search(index: DataFrame, docs: DataFrame, terms: list[str], fields: list[str], key: str = "item_id") -> DataFrame:
+    """(item_id, mode): matches of the index (fts), or, if it has none, rows with the words as plain text (like)."""
+    found = matches(index, terms, key).select(key, F.lit("fts").alias("mode"))
+    some = found.select(F.lit(1).alias("_one")).limit(1)
+    plain = like(docs, " ".join(t.rstrip("*") for t in terms), fields).select(key, F.lit("like").alias("mode"))
+    return found.union(plain.join(F.broadcast(some), F.col("_one") == 1, "left_anti"))

@@ -52,8 +52,7 @@ def source_envelope(spark, sf_dir):
     place = _place(spark, "envelope")
     d = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("name"), F.floor(F.col("doc_id") / 1000).alias("part"))
     d.agg(F.first("lang").alias("platform"), F.collect_list(F.struct("doc_id", "n_chars")).alias("rows")).drop("part").write.json(place)
-    rows = spark.read.json(place).select(F.col("name").alias("envelope"), F.explode("rows").alias("r"))
-    return rows.groupBy("envelope").agg(F.count(F.lit(1)).alias("n"), F.sum("r.n_chars").alias("chars"))
+    return S.read_envelope(spark, place, lines=True).groupBy("envelope").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @query("SELECT page_id, 'https://example.org/p/' || page_id AS url, 'Page ' || page_id AS title FROM pages")

@@ -81,6 +81,15 @@ def control_ladder(spark, sf_dir):
     return I.control_ladder(_sides(spark, sf_dir), "lang", "viral", ["source", "size"])
 
 
+@query(f"""{_S}, e AS (SELECT source AS g FROM s WHERE viral GROUP BY 1 HAVING count(*) >= 1), p AS (SELECT s.*, EXISTS (SELECT 1 FROM s v WHERE v.viral AND v.source = s.source AND v.size = s.size) AS h FROM s JOIN e ON g = source WHERE NOT viral),
+n AS (SELECT source, count(CASE WHEN h THEN 1 END) AS n0, count(*) AS n1 FROM p GROUP BY 1), c AS (SELECT source, CASE WHEN n0 >= 6 THEN 0 WHEN n1 >= 6 THEN 1 END AS level FROM n), poor AS (SELECT g FROM e WHERE g NOT IN (SELECT source FROM c WHERE level IS NOT NULL)),
+wide AS (SELECT DISTINCT poor.g AS source, s.item_id FROM poor JOIN s v ON v.source = poor.g AND v.viral JOIN s ON s.lang = v.lang WHERE NOT (s.viral AND s.source = poor.g)), w AS (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM wide)
+SELECT source, item_id, level FROM p JOIN c USING (source) WHERE level = 1 OR (level = 0 AND h) UNION ALL SELECT source, item_id, 2 FROM w WHERE n >= 6""")
+def control_ladder_everywhere(spark, sf_dir):
+    """Controls of each source with a viral item; where it has fewer than six, those of all sources in its languages."""
+    return I.control_ladder(_sides(spark, sf_dir), "source", "viral", ["size"], "lang", 1, 6)
+
+
 @query(f"WITH {EVENTS_SQL}, c AS (SELECT topic_id, CASE WHEN author_id % 3 > 0 THEN author_id END AS owner, count(*) AS c FROM m1_items GROUP BY 1, 2), g AS (SELECT topic_id, CAST(sum(c) AS DOUBLE) AS n, sum(CASE WHEN owner IS NOT NULL THEN c * c END) AS q FROM c GROUP BY 1) SELECT topic_id, {_R6.format('CASE WHEN q IS NULL THEN NULL WHEN n = 1 THEN 1 ELSE greatest(0, least(1, (q / (n * n) - 1 / n) / (1 - 1 / nullif(n, 1)))) END')} AS concentration FROM g")
 def hhi_concentration(spark, sf_dir):
     items = event_items(spark, sf_dir).select("topic_id", F.when(F.col("author_id") % 3 > 0, F.col("author_id")).alias("owner"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text as T
 from tidewell.functions.stats import half_up
+from tidewell.operators import search as X
 from tidewell.operators import silver as D
 
 from .texts import _FP, _printed
@@ -46,26 +47,46 @@ def lineage_detail(spark, sf_dir):
     return j.select(F.col("o_orderkey").alias("item_id"), F.col("c_name").alias("author"), F.coalesce("n", F.lit(0)).alias("snapshots"), "first_day", "last_day")
 
 
-@query("SELECT source, count(*) AS n, floor(count(CASE WHEN n_chars BETWEEN 400 AND 20000 THEN 1 END) / CAST(count(*) AS DOUBLE) * 1e6 + 0.5) / 1e6 AS valid, count(CASE WHEN n_chars BETWEEN 400 AND 20000 THEN 1 END) * 2 >= count(*) AS accepted FROM documents GROUP BY 1")
+@query("WITH d AS (SELECT doc_id // 50 AS page, CASE WHEN text IS NOT NULL AND length(trim(text)) > 0 AND lang IS NOT NULL AND source IS NOT NULL AND n_chars = length(text) AND doc_id % 7 > doc_id // 50 % 7 THEN 1 ELSE 0 END AS fits FROM documents) SELECT page, count(*) AS n, floor(avg(fits) * 1e6 + 0.5) / 1e6 AS valid, avg(fits) >= 0.5 AS accepted FROM d GROUP BY 1")
 def schema_drift_gate(spark, sf_dir):
-    """A batch is taken only if at least half of its rows fit."""
-    fits = F.avg(F.col("n_chars").between(400, 20000).cast("double"))
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), half_up(fits, 6).alias("valid"), (fits >= 0.5).alias("accepted"))
+    """A page of fifty records is taken only if at least half of them fit their schema: text, language, source, and the
+    length as told; some ids are taken as drifted."""
+    c = F.col
+    ok = c("text").isNotNull() & (F.length(F.trim("text")) > 0) & c("lang").isNotNull() & c("source").isNotNull() & (c("n_chars") == F.length("text")) & (c("doc_id") % 7 > F.floor(c("doc_id") / 50) % 7)
+    fits = F.avg(F.coalesce(ok, F.lit(False)).cast("double"))
+    return table(spark, sf_dir, "documents").groupBy(F.floor(c("doc_id") / 50).alias("page")).agg(F.count(F.lit(1)).alias("n"), half_up(fits, 6).alias("valid"), (fits >= 0.5).alias("accepted"))
 
 
-@query("SELECT doc_id AS item_id, regexp_replace(regexp_extract(text, '[^\\n]{0,30}(?i:license)[^\\n]{0,30}'), '((?i:license))', '[\\1]') AS snippet FROM documents WHERE contains(lower(text), 'license')")
+@query(f"{_PAIRS}, c AS (SELECT item_a, count(*) AS n FROM p GROUP BY 1), b AS (SELECT item_id // 100 AS batch, count(*) AS n FROM fp GROUP BY 1) SELECT fp.item_id, fp.item_id // 100 AS batch, b.n AS batch_rows, fp.fingerprint, p.item_a AS merged_into, coalesce(c.n, 0) AS candidates FROM fp JOIN b ON b.batch = fp.item_id // 100 LEFT JOIN p ON p.item_b = fp.item_id LEFT JOIN c ON c.item_a = fp.item_id")
+def lineage_chain(spark, sf_dir):
+    """Each item with the batch it came by, its fingerprint, the item it was merged into and its candidates."""
+    items = _printed(spark, sf_dir).withColumn("batch", F.floor(F.col("item_id") / 100))
+    batches = items.groupBy(F.col("batch").alias("_b")).agg(F.count(F.lit(1)).alias("batch_rows"))
+    pairs = D.candidates(items)
+    n = pairs.groupBy(F.col("item_a").alias("_a")).agg(F.count(F.lit(1)).alias("n"))
+    j = items.join(batches, F.col("batch") == F.col("_b")).join(pairs.select(F.col("item_b").alias("_i"), F.col("item_a").alias("merged_into")), F.col("item_id") == F.col("_i"), "left").join(n, F.col("item_id") == F.col("_a"), "left")
+    return j.select("item_id", "batch", "batch_rows", "fingerprint", "merged_into", F.coalesce("n", F.lit(0)).alias("candidates"))
+
+
+_TERMS = ["license", "version", "secret"]
+
+
+@query("SELECT item_id, regexp_replace(part, '(?i)({0})', '[\\1]', 'g') AS snippet FROM (SELECT doc_id AS item_id, regexp_extract(text, '[^\\n]{{0,30}}(?i:{0})[^\\n]{{0,30}}') AS part FROM documents) WHERE part <> ''".format("|".join(_TERMS)))
 def search_snippets(spark, sf_dir):
-    d = text_items(spark, sf_dir).where(F.contains(F.lower("text"), F.lit("license")))
-    part = F.regexp_extract("text", r"[^\n]{0,30}(?i:license)[^\n]{0,30}", 0)
-    return d.select("item_id", F.regexp_replace(part, "^(.*?)((?i:license))", "$1[$2]").alias("snippet"))
+    """Where the first of three words stands, with all of them marked."""
+    return text_items(spark, sf_dir).select("item_id", X.snippet("text", _TERMS).alias("snippet")).where("snippet <> ''")
 
 
-@query(f"WITH {EVENTS_SQL}, l AS (SELECT item_id, max_by(CASE WHEN item_id % 4 = 3 THEN coalesce(upvotes, likes) ELSE likes END, captured_at) AS level FROM m1_snapshots GROUP BY 1) SELECT topic_id, count(*) AS members, count(CASE WHEN published_at >= TIMESTAMP '2024-01-03' THEN 1 END) AS fresh, count(DISTINCT author_id) AS creators, string_agg(DISTINCT platform, ',' ORDER BY platform) AS platforms, floor(avg(level) * 1e6 + 0.5) / 1e6 AS level FROM m1_items LEFT JOIN l USING (item_id) GROUP BY 1")
+@query(f"WITH {EVENTS_SQL}, l AS (SELECT item_id, max_by(CASE WHEN item_id % 4 = 3 THEN coalesce(upvotes, likes) ELSE likes END, captured_at) AS level FROM m1_snapshots GROUP BY 1), j AS (SELECT *, coalesce('id:' || CASE WHEN item_id % 3 > 0 THEN author_id END, 'name:' || CASE WHEN item_id % 2 = 0 THEN author_id END, 'item:' || item_id) AS who FROM m1_items LEFT JOIN l USING (item_id)), p AS (SELECT topic_id, string_agg(platform || ':' || n, ',' ORDER BY platform) AS platforms FROM (SELECT topic_id, platform, count(*) AS n FROM j GROUP BY 1, 2) GROUP BY 1) SELECT topic_id, count(*) AS members, count(CASE WHEN published_at >= TIMESTAMP '2024-01-03' THEN 1 END) AS fresh, count(DISTINCT who) AS creators, any_value(platforms) AS platforms, floor(avg(level) * 1e6 + 0.5) / 1e6 AS level FROM j JOIN p USING (topic_id) GROUP BY 1")
 def topic_snapshot(spark, sf_dir):
+    """Members, new ones, different creators (by id, else by name, else each item its own), members by platform, level."""
     main = F.when(F.col("platform") == UPVOTING, F.coalesce("upvotes", "likes")).otherwise(F.col("likes"))
     last = event_snapshots(spark, sf_dir).groupBy("item_id").agg(F.max_by("upvotes", "captured_at").alias("upvotes"), F.max_by("likes", "captured_at").alias("likes"))
     j = event_items(spark, sf_dir).join(last, "item_id", "left")
-    return j.groupBy("topic_id").agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col("published_at") >= "2024-01-03").alias("fresh"), F.count_distinct("author_id").alias("creators"), F.array_join(F.array_sort(F.collect_set("platform")), ",").alias("platforms"), half_up(F.avg(main), 6).alias("level"))
+    who = F.coalesce(F.concat(F.lit("id:"), F.when(F.col("item_id") % 3 > 0, F.col("author_id")).cast("string")), F.concat(F.lit("name:"), F.when(F.col("item_id") % 2 == 0, F.col("author_id")).cast("string")), F.concat(F.lit("item:"), F.col("item_id").cast("string")))
+    n = j.groupBy("topic_id", "platform").agg(F.count(F.lit(1)).alias("n")).groupBy("topic_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "platform", "n"))), ",").alias("platforms"))
+    g = j.groupBy("topic_id").agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col("published_at") >= "2024-01-03").alias("fresh"), F.count_distinct(who).alias("creators"), half_up(F.avg(main), 6).alias("level"))
+    return g.join(n, "topic_id").select("topic_id", "members", "fresh", "creators", "platforms", "level")
 
 
 @query(f"WITH {EVENTS_SQL}, d AS (SELECT topic_id, CAST(captured_at AS DATE) AS day, count(DISTINCT item_id) AS seen FROM m1_snapshots JOIN m1_items USING (item_id) GROUP BY 1, 2) SELECT topic_id, day, seen, greatest(0, seen - lag(seen) OVER (PARTITION BY topic_id ORDER BY day)) AS gained FROM d")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import text as T
 from tidewell.operators import search as X
 from tidewell.operators import silver as D
+from tidewell.operators.graph import saved
 
 from .views import EVENTS_SQL, event_items, event_snapshots, table, text_items
 
@@ -121,11 +122,14 @@ def data_quality(spark, sf_dir):
     return d.select(F.col("doc_id").alias("item_id"), q.alias("quality"), F.array_join(why, ",").alias("reasons"))
 
 
-@query("SELECT event_type AS written, count(*) AS n, CASE event_type WHEN 'view' THEN 'video' WHEN 'click' THEN 'image_post' WHEN 'purchase' THEN 'article' END AS kind FROM events GROUP BY 1")
+_KINDS = [(alias, kind) for kind, aliases in T.CONTENT_TYPES.items() for alias in aliases.split()] + [("else", None), ("未知", None)]
+
+
+@query("SELECT p_partkey, CASE p_partkey %% %d %s END AS kind FROM part" % (len(_KINDS), " ".join(f"WHEN {i} THEN {'NULL' if k is None else chr(39) + k + chr(39)}" for i, (_, k) in enumerate(_KINDS))))
 def content_type(spark, sf_dir):
-    alias = F.when(F.col("event_type") == "view", "短视频").when(F.col("event_type") == "click", " Photo ").when(F.col("event_type") == "purchase", "专栏").otherwise("-")
-    e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("written"), alias.alias("alias")).agg(F.count(F.lit(1)).alias("n"))
-    return e.select("written", "n", T.content_type(F.col("alias")).alias("kind"))
+    """Every alias of a content type, and two words that are none."""
+    alias = F.element_at(F.array(*[F.lit(f" {a.title()} ") for a, _ in _KINDS]), (F.col("p_partkey") % len(_KINDS) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.content_type(alias).alias("kind"))
 
 
 @query("SELECT p_partkey, p_brand || ',' || lower(p_brand) || ',' || p_type AS tags FROM part")
@@ -231,6 +235,15 @@ def search_like_fallback(spark, sf_dir):
     return X.like(text_items(spark, sf_dir), "MIT License", ["text"]).select("item_id")
 
 
+@query(f"WITH {_TOK}, a AS (SELECT item_id FROM tok WHERE token IN ('mit', 'license') GROUP BY 1 HAVING count(DISTINCT token) = 2), b AS (SELECT doc_id FROM documents WHERE contains(lower(text), 'ense. ')) SELECT 1 AS asked, item_id, 'fts' AS mode FROM a UNION ALL SELECT 2, doc_id, 'like' FROM b")
+def search_with_fallback(spark, sf_dir):
+    """Two searches: one that the index answers, and one for part of a word, which falls back to plain text."""
+    index, docs, out = saved(_index(spark, sf_dir)), text_items(spark, sf_dir), []
+    for k, terms in enumerate((["mit", "license"], ["ense. "]), 1):
+        out.append(X.search(index, docs, terms, ["text"]).select(F.lit(k).alias("asked"), "item_id", "mode"))
+    return out[0].union(out[1])
+
+
 @query("""WITH w AS (SELECT DISTINCT doc_id, source, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9''+.-]{1,23}'), lambda x: x NOT IN (%s))) AS word FROM documents), tf AS (SELECT source, word, count(*) AS tf FROM w GROUP BY 1, 2), df AS (SELECT word, sum(tf) AS df FROM tf GROUP BY 1),
 m AS (SELECT source, count(*) AS m FROM documents GROUP BY 1), r AS (SELECT source AS author_id, word, floor(CAST(tf AS DOUBLE) / m * ln(1 + CAST((SELECT count(*) FROM documents) AS DOUBLE) / (1 + df)) * 1e6 + 0.5) / 1e6 AS score FROM tf JOIN df USING (word) JOIN m USING (source))
 SELECT author_id, word, score, r FROM (SELECT *, row_number() OVER (PARTITION BY author_id ORDER BY score DESC, word) AS r FROM r) WHERE r <= 8""" % ", ".join("'{}'".format(w.replace("'", "''")) for w in T.STOP_WORDS))

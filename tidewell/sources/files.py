@@ -46,9 +46,10 @@ def read_json(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
     return spark.read.option("multiLine", not lines).json(path)
 
 
-def read_envelope(spark: SparkSession, path: str) -> DataFrame:
-    """Files of the form {name, platform, rows: [...]}: a row per element, with the envelope's name and platform."""
-    df = spark.read.option("multiLine", True).json(path)
+def read_envelope(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Files of the form {name, platform, rows: [...]}, or with such a value a line: a row per element, with the
+    envelope's name and platform."""
+    df = spark.read.option("multiLine", not lines).json(path)
     return df.select(F.col("name").alias("envelope"), F.col("platform").alias("envelope_platform"), F.explode("rows").alias("row")).select("envelope", "envelope_platform", "row.*")
 
 
