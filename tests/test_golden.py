@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
+from tidewell.functions import content as C
 from tidewell.functions import stats as A
 from tidewell.functions import text as T
+from tidewell.operators import catalog as O
 from tidewell.operators import intel as I
 from tidewell.operators import momentum as M
 from tidewell.operators import scoring as S
@@ -261,6 +263,62 @@ def test_streams_go_on_after_a_restart(spark, tmp_path):
     assert jobs.upsert_stream(jobs.stream(spark, none), ["k"], ["t"]).count() == 0
 
 
+def test_refresh_after_a_collection(spark, tmp_path):
+    from tidewell.streaming import jobs
+
+    src, seen = str(tmp_path / "in.parquet"), []
+    again = lambda: jobs.refresh_after(jobs.stream(spark, src), lambda df: seen.append(df.count()), str(tmp_path / "place"))
+    spark.range(3).coalesce(1).write.mode("append").parquet(src)
+    again()
+    again()
+    spark.range(2).coalesce(1).write.mode("append").parquet(src)
+    again()
+    assert seen == [3, 5]
+
+
+def test_manual_records(spark):
+    from tidewell.sources import files
+
+    kind = "title string, likes long"
+    assert files.manual_record(spark, {"title": "t"}, kind).collect() == [("t", None)]
+    for bad in ({"other": 1}, {"likes": "many"}):
+        with pytest.raises(Exception):
+            files.manual_record(spark, bad, kind).collect()
+
+
+def test_han_texts(spark):
+    assert one(spark, C.collapsed, "好!!!! 。。。。 ok....") == "好! 。 ok."
+    assert one(spark, C.han_spaced, "探店vlog2好") == "探 店 vlog2 好"
+    assert one(spark, C.match_query, ' 探店 "vlog* -- ') == '"探 店" AND "vlog"*' and one(spark, C.match_query, "--") is None
+    assert one(spark, C.tokens, "北京的美食攻略 Good food") == ["北京", "美食", "食攻", "good", "food"]
+    assert one(spark, C.platform, "小红书") == one(spark, C.platform, "RedNote") == "xiaohongshu" and one(spark, C.platform, "nope") is None
+    assert one(spark, C.clean_id, " 123.00 ") == "123" and one(spark, C.clean_id, "N/A") is None
+    assert one(spark, C.hot_phrase, "【热】今天吃什么好呢?") == "热 今天吃什么好呢" and one(spark, C.hot_phrase, "abc def") is None
+    tags = F.array(F.lit("a"), F.lit("#b"), F.lit("c"), F.lit("d"))
+    assert one(spark, lambda c: C.angle_text(F.lit(" "), c, tags), "第一句!第二句") == "第一句! #a #b #c"
+    said = one(spark, lambda c: C.semantic_text(F.lit("article"), F.lit("Title"), c, F.lit("left out"), F.array(F.lit("x"))), "ti tle")
+    assert said == "Title\n#x"
+    long = one(spark, lambda c: C.semantic_text(F.lit("video"), F.lit("T"), c, F.lit("more"), F.array(F.lit("x")), 64), "w" * 100)
+    assert long == "T\n" + "w" * 59 + "…\n#x"
+    assert one(spark, lambda c: C.data_block("d", c), "a【/DATA·d】b").count("【/DATA·d】") == 1
+
+
+def test_evidence_keeps_to_its_budget(spark):
+    rows = lambda n, size: spark.createDataFrame([(1, f"{k}" * size, (k,)) for k in range(n)], "topic_id long, line string, k struct<a: int>")
+    got = {r.ref_id: r.kept for r in O.evidence({"burst": (rows(3, 10), 2), "pattern": (rows(4, 10), 4)}, 45).collect()}
+    assert got == {"burst-1": True, "burst-2": True, "pattern-1": True, "pattern-2": True, "pattern-3": False, "pattern-4": False}
+    assert all(r.kept for r in O.evidence({"burst": (rows(3, 10), 3)}, 30).collect())
+
+
+def test_import_of_a_chain(spark):
+    """Two rows that share an id, of which one shares its URL with a third, are one item; a stored id comes before a URL."""
+    existing = spark.createDataFrame([(7, "p", "1", "u1"), (8, "p", "2", "u2")], "item_id long, platform string, content_id string, canonical string")
+    rows = [(0, "p", "1", "u2", "t"), (1, "p", None, "u2", "t"), (2, "p", "9", "a", "t"), (3, "p", "9", "b", "t"), (4, "p", None, "b", "t"), (5, None, "1", "u1", "t"), (6, "p", "1", "u1", " "), (7, "q", None, None, "t")]
+    inc = spark.createDataFrame(rows, "row_no long, platform string, content_id string, canonical string, title string").withColumn("text", F.lit(None).cast("string"))
+    got = {r.row_no: (r.status, r.target, r.leader) for r in O.resolve_incoming(existing, inc).collect()}
+    assert got == {0: ("merged", 7, None), 1: ("merged", 8, None), 2: ("new", None, 2), 3: ("duplicate", None, 2), 4: ("duplicate", None, 2), 5: ("invalid", None, None), 6: ("invalid", None, None), 7: ("new", None, 7)}
+
+
 def test_stream_equals_batch(spark):
     from tidewell.plans import feeds
     from tidewell.streaming import jobs

@@ -77,6 +77,15 @@ def continuous_compare(rows: DataFrame, group: str, side: str, values: list[str]
     return g.select(group, "feature", half_up(v, 6).alias("viral_median"), half_up(c, 6).alias("control_median"), half_up(F.col("v")[0], 6).alias("viral_p25"), half_up(F.col("v")[2], 6).alias("viral_p75"), half_up(v - c, 6).alias("delta"), direction.alias("direction"))
 
 
+def semantic_compare(rows: DataFrame, group: str, side: str, values: list[str], least: int = 3) -> DataFrame:
+    """(group, feature, viral_median, control_median, delta, direction) of semantic numbers from 0 to 1; a feature needs
+    `least` known values on each side, and a difference of medians over 0.1 to have a direction."""
+    long = rows.select(group, side, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in values])).alias("y")).select(group, side, "y.feature", "y.x").where("x is not null")
+    g = long.groupBy(group, "feature").agg(F.median(F.when(F.col(side), F.col("x"))).alias("v"), F.median(F.when(~F.col(side), F.col("x"))).alias("c"), F.count_if(side).alias("nv"), F.count_if(~F.col(side)).alias("nc")).where((F.col("nv") >= least) & (F.col("nc") >= least))
+    d = half_up(F.col("v") - F.col("c"), 6)
+    return g.select(group, "feature", half_up(F.col("v"), 6).alias("viral_median"), half_up(F.col("c"), 6).alias("control_median"), d.alias("delta"), F.when(d > 0.1, "positive").when(d < -0.1, "negative").otherwise("none").alias("direction"))
+
+
 def categorical_share(rows: DataFrame, group: str, side: str, value: str) -> DataFrame:
     """(group, top, delta): the value whose share differs most between the sides; ties by value."""
     n = rows.groupBy(F.col(group).alias("_g")).agg(F.count_if(side).alias("nv"), F.count_if(~F.col(side)).alias("nc")).where("nv > 0 and nc > 0")

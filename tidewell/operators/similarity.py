@@ -187,17 +187,18 @@ def clusters(vectors: DataFrame, threshold: float = 0.3, most: int = 24, smalles
     return out.select("id", F.coalesce("_root", "cluster").alias("cluster"), status.alias("status"))
 
 
-def agreement(rows: DataFrame, cluster: str, label: str) -> DataFrame:
-    """One row: purity, pairwise precision, recall and F1 of clusters against labels, from the table of both."""
+def agreement(rows: DataFrame, cluster: str, label: str, smallest: int = 3) -> DataFrame:
+    """One row: purity, pairwise precision, recall and F1 of clusters against labels, from the table of both, and the
+    share of rows that are noise (in clusters under `smallest`)."""
     t = rows.groupBy(cluster, label).agg(F.count(F.lit(1)).alias("n"))
     two = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
     best = t.groupBy(cluster).agg(F.max("n").alias("best"), F.sum("n").alias("n"))
-    a = best.agg(two("n").alias("together"), F.sum("best").alias("best"), F.sum("n").alias("all"))
+    a = best.agg(two("n").alias("together"), F.sum("best").alias("best"), F.sum("n").alias("all"), F.sum(F.when(F.col("n") < smallest, F.col("n")).otherwise(0)).alias("noise"))
     b = t.groupBy(label).agg(F.sum("n").alias("n")).agg(two("n").alias("labelled"))
     c = t.agg(two("n").alias("right"))
     j = a.join(F.broadcast(b)).join(F.broadcast(c))  # one row each
     p, r = F.col("right") / F.nullif(F.col("together"), F.lit(0)), F.col("right") / F.nullif(F.col("labelled"), F.lit(0))
-    return j.select((F.col("best") / F.col("all")).alias("purity"), p.alias("precision"), r.alias("recall"), (2 * p * r / F.nullif(p + r, F.lit(0.0))).alias("f1"))
+    return j.select((F.col("best") / F.col("all")).alias("purity"), p.alias("precision"), r.alias("recall"), (2 * p * r / F.nullif(p + r, F.lit(0.0))).alias("f1"), (F.col("noise") / F.col("all")).alias("noise"))
 
 
 def reconcile(old: DataFrame, new: DataFrame, least: float = 0.3) -> DataFrame:

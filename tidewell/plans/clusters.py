@@ -56,6 +56,14 @@ def similar_topk(spark, sf_dir):
     return V.similar(v, asked).select("q", "id", half_up(F.col("sim"), 6).alias("sim"), F.col("r").cast("long").alias("r"))
 
 
+@query("SELECT q, id, floor(sim * 1e6 + 0.5) / 1e6 AS sim, r FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sim, 9) DESC, id) AS r FROM (SELECT a.vec_id AS q, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND b.label % 2 = 0) WHERE sim >= 0.15) WHERE r <= 5")
+def similar_on_platforms(spark, sf_dir):
+    """The five nearest of every hundredth vector among those of some labels, at a cosine of 0.15 or more."""
+    v = _vectors(spark, sf_dir)
+    asked = v.where("id % 100 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    return V.similar(v.where("label % 2 = 0").select("id", "v"), asked, 5, 0.15).select("q", "id", half_up(F.col("sim"), 6).alias("sim"), F.col("r").cast("long").alias("r"))
+
+
 _C = "WITH x AS (SELECT label, pos, avg(embedding[pos]::DOUBLE) AS x FROM embeddings, range(1, 65) t(pos) GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY pos) AS centroid FROM x GROUP BY 1)"
 
 
@@ -76,10 +84,10 @@ def topic_clusters(spark, sf_dir):
     return V.clusters(_vectors(spark, sf_dir).select("id", "v"))
 
 
-@query(f"{_E}, reach AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT both_ways.b, reach.root FROM reach JOIN both_ways ON both_ways.a = reach.id), k AS (SELECT id, min(root) AS k FROM reach GROUP BY 1), t AS (SELECT k, label, count(*) AS n FROM k JOIN embeddings ON vec_id = id GROUP BY 1, 2), p AS (SELECT CAST((SELECT sum(n * (n - 1) / 2) FROM t) AS DOUBLE) AS r, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY k)) AS tog, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY label)) AS lab, (SELECT sum(m) / CAST(sum(n) AS DOUBLE) FROM (SELECT max(n) AS m, sum(n) AS n FROM t GROUP BY k)) AS purity) SELECT floor(purity * 1e6 + 0.5) / 1e6 AS purity, floor(r / tog * 1e6 + 0.5) / 1e6 AS precision, floor(r / lab * 1e6 + 0.5) / 1e6 AS recall, floor(2 * (r / tog) * (r / lab) / (r / tog + r / lab) * 1e6 + 0.5) / 1e6 AS f1 FROM p")
+@query(f"{_E}, reach AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT both_ways.b, reach.root FROM reach JOIN both_ways ON both_ways.a = reach.id), k AS (SELECT id, min(root) AS k FROM reach GROUP BY 1), t AS (SELECT k, label, count(*) AS n FROM k JOIN embeddings ON vec_id = id GROUP BY 1, 2), p AS (SELECT CAST((SELECT sum(n * (n - 1) / 2) FROM t) AS DOUBLE) AS r, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY k)) AS tog, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM t GROUP BY label)) AS lab, (SELECT sum(m) / CAST(sum(n) AS DOUBLE) FROM (SELECT max(n) AS m, sum(n) AS n FROM t GROUP BY k)) AS purity, (SELECT sum(CASE WHEN n < 3 THEN n ELSE 0 END) / CAST(sum(n) AS DOUBLE) FROM (SELECT sum(n) AS n FROM t GROUP BY k)) AS noise) SELECT floor(purity * 1e6 + 0.5) / 1e6 AS purity, floor(r / tog * 1e6 + 0.5) / 1e6 AS precision, floor(r / lab * 1e6 + 0.5) / 1e6 AS recall, floor(2 * (r / tog) * (r / lab) / (r / tog + r / lab) * 1e6 + 0.5) / 1e6 AS f1, floor(noise * 1e6 + 0.5) / 1e6 AS noise FROM p")
 def cluster_agreement(spark, sf_dir):
     k = connected_components(spark, sf_dir).join(_vectors(spark, sf_dir).select("id", "label"), "id")
-    return V.agreement(k, "component", "label").select(*[half_up(F.col(c), 6).alias(c) for c in ("purity", "precision", "recall", "f1")])
+    return V.agreement(k, "component", "label").select(*[half_up(F.col(c), 6).alias(c) for c in ("purity", "precision", "recall", "f1", "noise")])
 
 
 _R = f"{_E}, reach AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT both_ways.b, reach.root FROM reach JOIN both_ways ON both_ways.a = reach.id), o AS (SELECT vec_id AS id, label AS topic FROM embeddings), n AS (SELECT id, min(root) AS cluster FROM reach GROUP BY 1), k AS (SELECT topic, cluster, count(*) AS k FROM o JOIN n USING (id) GROUP BY 1, 2), na AS (SELECT topic, count(*) AS na FROM o GROUP BY 1), nb AS (SELECT cluster, count(*) AS nb FROM n GROUP BY 1), j AS (SELECT *, k / CAST(na + nb - k AS DOUBLE) AS overlap FROM k JOIN na USING (topic) JOIN nb USING (cluster)), m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY overlap DESC, topic) AS r FROM j WHERE overlap >= 0.01) WHERE r = 1), z AS (SELECT cluster AS c, topic, overlap, row_number() OVER (PARTITION BY topic ORDER BY overlap DESC, nb DESC, cluster) AS r FROM m)"

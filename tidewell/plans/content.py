@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import content as C
 from tidewell.functions import text as T
 from tidewell.functions.stats import half_up
+from tidewell.operators import intel as I
 from tidewell.operators import search as X
 
 from .views import table
@@ -175,3 +177,44 @@ def hot_phrases_han(spark, sf_dir):
     """Titles as search phrases with Han signs, the first per first eight characters."""
     h = _han(spark, sf_dir).select("item_id", C.hot_phrase(F.concat("title", "extra")).alias("phrase")).where("phrase is not null")
     return h.groupBy(F.left("phrase", F.lit(8)).alias("k")).agg(F.min_by(F.struct("item_id", "phrase"), "item_id").alias("r")).select("r.item_id", "r.phrase")
+
+
+_SIDED = f"{_SQL_H}, x AS (SELECT lang AS grp, toxic = 1 AS viral, title || chr(10) || extra AS t FROM h JOIN labels ON doc_id = item_id)"
+_NUMBERS = [k for k in C.SEMANTIC if k != "participation_threshold"]
+_LONG = " UNION ALL ".join(f"SELECT grp, viral, '{k}' AS feature, {_density(k)} AS v FROM x" for k in _NUMBERS)
+
+
+@query(f"WITH {_SIDED}, l AS ({_LONG}), g AS (SELECT grp, feature, median(CASE WHEN viral THEN v END) AS a, median(CASE WHEN NOT viral THEN v END) AS b FROM l GROUP BY 1, 2 HAVING count(CASE WHEN viral THEN 1 END) >= 3 AND count(CASE WHEN NOT viral THEN 1 END) >= 3), d AS (SELECT *, {_R6.format('a - b')} AS delta FROM g) SELECT grp AS lang, feature, {_R6.format('a')} AS viral_median, {_R6.format('b')} AS control_median, delta, CASE WHEN delta > 0.1 THEN 'positive' WHEN delta < -0.1 THEN 'negative' ELSE 'none' END AS direction FROM d")
+def semantic_compare(spark, sf_dir):
+    """The semantic numbers of toxic and other documents, by language."""
+    f = C.semantic_features(F.col("title"), F.col("extra"))
+    h = _han(spark, sf_dir).join(table(spark, sf_dir, "labels"), F.col("item_id") == F.col("doc_id"))
+    return I.semantic_compare(h.select("lang", (F.col("toxic") == 1).alias("viral"), *[f[k].alias(k) for k in _NUMBERS]), "lang", "viral", _NUMBERS)
+
+
+@query(f"WITH {_SIDED}, k AS (SELECT grp, viral, {_HOOK} AS hook FROM x), n AS (SELECT grp, count(CASE WHEN viral THEN 1 END) AS nv, count(CASE WHEN NOT viral THEN 1 END) AS nc FROM k GROUP BY 1), t AS (SELECT grp, hook AS top, {_R6.format('count(CASE WHEN viral THEN 1 END) / CAST(max(nv) AS DOUBLE) - count(CASE WHEN NOT viral THEN 1 END) / CAST(max(nc) AS DOUBLE)')} AS delta FROM k JOIN n USING (grp) WHERE nv > 0 AND nc > 0 GROUP BY 1, 2) SELECT grp AS lang, top, delta FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY abs(delta) DESC, top) AS r FROM t) WHERE r = 1")
+def hook_shares(spark, sf_dir):
+    """The kind of hook whose share differs most between toxic and other documents, by language."""
+    hook = C.semantic_features(F.col("title"), F.col("extra"))["hook_type"]
+    h = _han(spark, sf_dir).join(table(spark, sf_dir, "labels"), F.col("item_id") == F.col("doc_id"))
+    return I.categorical_share(h.select("lang", (F.col("toxic") == 1).alias("viral"), hook.alias("hook")), "lang", "viral", "hook")
+
+
+@query("SELECT doc_id AS item_id, CASE WHEN doc_id % 3 > 0 THEN CAST(doc_id AS VARCHAR) END AS first, CASE WHEN doc_id % 3 = 0 THEN 0 WHEN doc_id % 3 = 1 THEN 2 ELSE 0 END AS n FROM documents")
+def json_paths(spark, sf_dir):
+    """A value at a dotted path, and an array, out of JSON that may be broken or hold something else: null and nothing then."""
+    k, c = F.col("doc_id").cast("string"), F.col("doc_id")
+    written = F.when(c % 3 == 0, F.lit('{"a": {"b": [')).when(c % 3 == 1, F.concat(F.lit('{"a": {"b": ['), k, F.lit(', 2]}}'))).otherwise(F.concat(F.lit('{"a": {"b": "'), k, F.lit('"}}')))
+    rows = table(spark, sf_dir, "documents").select(c.alias("item_id"), written.alias("j"))
+    first = F.coalesce(F.get_json_object("j", "$.a.b[0]"), F.get_json_object("j", "$.a.b"))
+    return rows.select("item_id", first.alias("first"), F.coalesce(F.size(F.from_json(F.get_json_object("j", "$.a.b"), "array<string>")), F.lit(0)).alias("n"))
+
+
+@query(f"WITH {_SQL_H}, t AS (SELECT source, unnest(regexp_extract_all(extra || ' #' || lang || ' #' || upper(lang), '#([^#\\s，,、。;；！!？?]+)', 1)) AS tag FROM h), l AS (SELECT source, lower(tag) AS tag, count(*) AS n FROM t GROUP BY 1, 2) SELECT source, tag, n, r FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, tag) AS r FROM l) WHERE r <= 5")
+def top_hashtags(spark, sf_dir):
+    """The five commonest tags of each source, in any case."""
+    written = F.concat("extra", F.lit(" #"), "lang", F.lit(" #"), F.upper("lang"))
+    tags = F.regexp_extract_all(written, F.lit(r"#([^#\s，,、。;；！!？?]+)"), F.lit(1))
+    g = _han(spark, sf_dir).select("source", F.explode(tags).alias("tag")).groupBy("source", F.lower("tag").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("source").orderBy(F.desc("n"), "tag")
+    return g.withColumn("r", F.row_number().over(w).cast("long")).where("r <= 5")

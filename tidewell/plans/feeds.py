@@ -11,6 +11,7 @@ from tidewell.operators.graph import checkpoint_dir
 from tidewell.sources import files as S
 from tidewell.streaming import jobs as J
 
+from .texts import _CANON
 from .views import table
 
 QUERIES, ORACLES = {}, {}
@@ -55,20 +56,48 @@ def source_envelope(spark, sf_dir):
     return S.read_envelope(spark, place, lines=True).groupBy("envelope").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("SELECT page_id, 'https://example.org/p/' || page_id AS url, 'Page ' || page_id AS title FROM pages")
+@query(f"SELECT page_id, canonical AS url, 'Page ' || page_id AS title, CASE WHEN page_id % 2 = 0 THEN TIMESTAMP '2024-01-05 10:00:00' ELSE TIMESTAMP '2024-01-05 08:30:00' END AS published_at FROM ({_CANON})")
 def source_feed(spark, sf_dir):
-    """pages written as XML feed items and read again."""
-    place = _place(spark, "feed")
-    p = table(spark, sf_dir, "pages").select(F.concat(F.lit("Page "), "page_id").alias("title"), F.concat(F.lit("https://Example.org/p/"), "page_id", F.lit("?utm_source=x#top")).alias("link"), F.lit("<p>text</p>").alias("description"), F.lit("2024-01-05T10:00:00Z").alias("pubDate"))
-    p.write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(place)
-    f = S.read_feed(spark, place)
-    return f.select(F.regexp_extract("title", r"(\d+)", 1).cast("long").alias("page_id"), "url", "title")
-
-
-@query("SELECT lang, count(*) AS n, count(CASE WHEN length(trim(text)) > 0 THEN 1 END) AS filled, max(length(text)) AS longest FROM documents GROUP BY 1")
+    """Pages written as items of an RSS feed (even ids) and as entries of an Atom feed (odd ones), and read again."""
+    p, out = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("Page "), "page_id").alias("title"), "url"), []
+    rss, atom = _place(spark, "feed"), _place(spark, "atom")
+    p.where("page_id % 2 = 0").select("title", F.col("url").alias("link"), F.lit("<p>text</p>").alias("description"), F.lit("2024-01-05T10:00:00Z").alias("pubDate")).write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(rss)
+    p.where("page_id % 2 = 1").select("title", F.struct(F.col("url").alias("_href")).alias("link"), F.lit("text").alias("summary"), F.lit("2024-01-05T10:30:00+02:00").alias("updated")).write.format("xml").option("rootTag", "feed").option("rowTag", "entry").save(atom)
+    for place, tag in ((rss, "item"), (atom, "entry")):
+        f = S.read_feed(spark, place, tag)
+        out.append(f.select(F.regexp_extract("title", r"(\d+)", 1).cast("long").alias("page_id"), "url", "title", "published_at"))
+    return out[0].union(out[1])
+
+
+@query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'answer:' ELSE 'question:' END || doc_id AS content_id, source AS title, CASE WHEN doc_id % 2 = 0 THEN n_chars END AS upvotes, CASE WHEN doc_id % 2 = 1 THEN n_chars * 10000 END AS heat FROM documents")
+def source_two_shapes(spark, sf_dir):
+    """Documents as search results and as hot-list entries of one platform, in text, read as one table."""
+    place, k, n = _place(spark, "shapes"), F.col("doc_id").cast("string"), F.col("n_chars").cast("string")
+    found = F.to_json(F.struct(F.lit("answer").alias("type"), k.alias("id"), F.col("source").alias("title"), n.alias("voteup_count")))
+    hot = F.to_json(F.struct(F.struct(F.lit("question").alias("type"), k.alias("id"), F.col("source").alias("title")).alias("target"), F.concat(n, F.lit(" 万热度")).alias("detail_text")))
+    table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 2 == 0, found).otherwise(hot).alias("value")).write.text(place)
+    return S.two_shapes(spark.read.text(place).select(F.col("value").alias("raw")))
+
+
+@query("SELECT count(*) AS total, count(CASE WHEN ts >= TIMESTAMP '2024-01-30' AND ts < TIMESTAMP '2024-01-31' THEN 1 END) AS today, count(CASE WHEN event_type = 'error' AND ts >= TIMESTAMP '2024-01-30' THEN 1 END) AS failed_today, (SELECT count(*) FROM (SELECT user_id, max_by(event_type, (ts, event_id)) AS last FROM events GROUP BY 1) WHERE last = 'view') AS running FROM events")
+def collection_stats(spark, sf_dir):
+    """Runs in all, today's (a UTC day) and failed ones, and how many run now: users whose last event is a view."""
+    e, c = table(spark, sf_dir, "events"), F.col
+    today = (c("ts") >= "2024-01-30") & (c("ts") < "2024-01-31")
+    last = e.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last")).agg(F.count_if(c("last") == "view").alias("running"))
+    g = e.agg(F.count(F.lit(1)).alias("total"), F.count_if(today).alias("today"), F.count_if((c("event_type") == "error") & (c("ts") >= "2024-01-30")).alias("failed_today"))
+    return g.join(F.broadcast(last))  # one row each
+
+
+@query("WITH m AS (SELECT 'doc_id' AS c, 'content_id' AS field UNION ALL SELECT 'lang', 'platform' UNION ALL SELECT 'source', 'author_name' UNION ALL SELECT 'text', 'text' UNION ALL SELECT 'n_chars', 'likes'), r AS (SELECT * FROM documents ORDER BY doc_id LIMIT 25) SELECT 25 AS shown, c AS column_name, field, (SELECT CASE c WHEN 'doc_id' THEN max(doc_id)::VARCHAR WHEN 'lang' THEN max(lang) WHEN 'source' THEN max(source) WHEN 'text' THEN max(left(text, 20)) ELSE max(n_chars)::VARCHAR END FROM r WHERE doc_id = (SELECT min(doc_id) FROM r)) AS sample FROM m")
 def import_preview(spark, sf_dir):
+    """What an import would take: of the first 25 rows the detected field and a sample of each column; nothing is written."""
     d = table(spark, sf_dir, "documents")
-    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length(F.trim("text")) > 0).alias("filled"), F.max(F.length("text")).cast("long").alias("longest"))
+    first = d.orderBy("doc_id").limit(25)
+    fields = {c: f for f, c in S.mapping(d.columns).items()}
+    row = first.orderBy("doc_id").limit(1)
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(fields.get(c)).alias("field"), F.left(F.col(c).cast("string"), F.lit(20)).alias("sample")) for c in d.columns])).alias("x")
+    return row.select(F.lit(25).alias("shown"), each).select("shown", "x.*")
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS events, CAST(sum(CAST(floor(value * 100 + 0.5) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")

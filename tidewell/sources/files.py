@@ -53,10 +53,31 @@ def read_envelope(spark: SparkSession, path: str, lines: bool = False) -> DataFr
     return df.select(F.col("name").alias("envelope"), F.col("platform").alias("envelope_platform"), F.explode("rows").alias("row")).select("envelope", "envelope_platform", "row.*")
 
 
+def manual_record(spark: SparkSession, record: dict, schema: str) -> DataFrame:
+    """One record that somebody typed in, as a frame of the schema; names outside it and values of other types raise."""
+    kind = StructType.fromDDL(schema)
+    if bad := set(record) - set(kind.names):
+        raise ValueError(f"fields not known: {sorted(bad)}")
+    return spark.createDataFrame([tuple(record.get(n) for n in kind.names)], kind)
+
+
+def two_shapes(rows: DataFrame) -> DataFrame:
+    """Rows of JSON (raw) of two shapes, search results {type, id, title, voteup_count} and hot lists {target: {type, id,
+    title}, detail_text}, as content_id (type:id), title, upvotes and heat; what a shape lacks is null."""
+    at = lambda path: F.get_json_object("raw", path)
+    both = lambda name: F.coalesce(at(f"$.target.{name}"), at(f"$.{name}"))
+    key = F.when(both("id").isNotNull(), F.concat_ws(":", F.coalesce(both("type"), F.lit("unknown")), both("id")))
+    return rows.select(key.alias("content_id"), both("title").alias("title"), T.parse_metric(at("$.voteup_count")).alias("upvotes"), T.parse_metric(F.regexp_replace(at("$.detail_text"), r"\s*热度$", "")).alias("heat"))
+
+
 def read_feed(spark: SparkSession, path: str, tag: str = "item") -> DataFrame:
-    """Items of XML feeds: title, link, description, pubDate; items without a title and a link are left out."""
-    schema = "title string, link string, description string, pubDate string, guid string"
-    df = spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    """Items of XML feeds, or entries of Atom ones (tag="entry"): title, link, description, pubDate; those without a title
+    and a link are left out."""
+    if tag == "entry":
+        df = spark.read.format("xml").option("rowTag", tag).schema("title string, link struct<_href: string>, summary string, content string, published string, updated string").load(path)
+        df = df.select("title", F.col("link._href").alias("link"), F.coalesce("summary", "content").alias("description"), F.coalesce("published", "updated").alias("pubDate"))
+    else:
+        df = spark.read.format("xml").option("rowTag", tag).schema("title string, link string, description string, pubDate string, guid string").load(path)
     return df.where(F.coalesce("title", "link").isNotNull()).select("title", T.canonical_url(F.col("link")).alias("url"), T.strip_html(F.col("description")).alias("text"), T.utc_time(F.col("pubDate")).alias("published_at"))
 
 

@@ -9,7 +9,7 @@ bound its state, and rows later than that are then left out.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -147,3 +147,17 @@ def upsert_stream(rows: DataFrame, keys: list[str], order: list[str], place: str
 
     rows.writeStream.foreachBatch(fold).option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).start().awaitTermination()
     return before(1 << 62)
+
+
+def refresh_after(rows: DataFrame, refresh: Callable[[DataFrame], None], place: str) -> None:
+    """Stores a stream's rows in `place` and calls refresh with all stored ones once after each batch that brought any.
+    One query runs its batches one after the other, so refreshes never overlap or queue; a repeated batch refreshes again."""
+    spark = rows.sparkSession
+
+    def accept(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
+        batch.write.mode("overwrite").parquet(f"{place}/rows/_b={number}")
+        refresh(spark.read.option("basePath", f"{place}/rows").parquet(f"{place}/rows").drop("_b"))
+
+    rows.writeStream.foreachBatch(accept).option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).start().awaitTermination()
