@@ -349,6 +349,15 @@ def test_language_model_score_by_brute_force(spark):
         assert got[k] == pytest.approx(said, abs=1e-4)
 
 
+def test_sums_of_runs():
+    rng = np.random.default_rng(0)
+    for most in (1, 3, 8, 9, 200):
+        n = rng.integers(1, most + 1, 300)
+        first = np.cumsum(n) - n
+        x = rng.normal(size=(n.sum(), 5))
+        assert np.allclose(maxent_lm._sums_of_runs(x, first, n), np.add.reduceat(x, first, axis=0))
+
+
 def test_language_model_tables_grow():
     sizes = [maxent_lm.member_rows(n) for n in (0, 10**6, 10**8, 10**9, 10**13)]
     assert sizes == sorted(sizes) and sizes[2] == 1 << 15 and sizes[3] == 1 << 17 and sizes[-1] == 1 << 18

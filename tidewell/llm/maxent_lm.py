@@ -190,6 +190,23 @@ def log10_members(w: Weights, batch: Batch, step: int = 16384) -> np.ndarray:
     return out
 
 
+def _sums_of_runs(x: np.ndarray, first: np.ndarray, n: np.ndarray, near: int = 8) -> np.ndarray:
+    """The sums of runs of rows that begin at first and are n long. Most are short: their rows are added one place at a
+    time for all runs together, and only what is left of the long ones run by run."""
+    out = x[first]
+    for k in range(1, near):
+        more = np.flatnonzero(n > k)
+        if not len(more):
+            return out
+        out[more] += x[first[more] + k]
+    more = np.flatnonzero(n > near)
+    if len(more):
+        size = n[more] - near
+        start = np.cumsum(size) - size
+        out[more] += np.add.reduceat(x[np.repeat(first[more] + near - start, size) + np.arange(size.sum())], start, axis=0)
+    return out
+
+
 class Descent:
     """Gradient updates from given weights, scaled by what each row has seen (AdaGrad by row). The prior, a squared
     gradient that each row counts as seen, keeps rows of few tokens near their start."""
@@ -207,7 +224,8 @@ class Descent:
             order = order[np.argsort((rows[order] >> 16).astype(np.uint16), kind="stable")]
         rows = rows[order]
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        self._move(k, table, rows[first], np.add.reduceat(grad.take(order % len(grad), axis=0), first, axis=0), np.diff(np.concatenate([first, [len(rows)]])))
+        n = np.diff(np.concatenate([first, [len(rows)]]))
+        self._move(k, table, rows[first], _sums_of_runs(grad.take(order % len(grad), axis=0), first, n), n)
 
     def _move(self, k: int, table: np.ndarray, own: np.ndarray, total: np.ndarray, n: np.ndarray) -> None:
         self.past[k][own] += np.einsum("ij,ij->i", total, total) / total.shape[1]
