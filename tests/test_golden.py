@@ -372,6 +372,19 @@ def test_streams_over_many_unordered_files(spark, tmp_path):
     assert sorted(q("stream_lifecycle")) == want
 
 
+def test_a_stored_index_is_pruned(spark, tmp_path):
+    from tidewell.operators import search as X
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select(F.col("doc_id").alias("item_id"), "text")
+    index = X.tokens(docs, ["text"])
+    kept = X.store(index, str(tmp_path / "index"), 4)
+    asked = lambda i: {r.item_id for r in X.matches(i, ["the", "license"]).collect()}
+    assert asked(kept) == asked(index) != set() and kept.count() == index.count()
+    assert "In(token" in X.phrase(kept, ["of", "the"])._jdf.queryExecution().toString().replace("PushedFilters: [", "")
+    rank = lambda i: sorted((r.item_id, round(r.score, 9)) for r in X.bm25(i, ["license", "version"]).collect())
+    assert rank(kept) == rank(index)
+
+
 def test_plans_push_down(spark):
     df = spark.read.parquet(f"{SMALL}/events.parquet").where("user_id = 3").select("user_id", "value")
     plan = df._jdf.queryExecution().toString()

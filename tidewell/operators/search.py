@@ -17,6 +17,16 @@ def tokens(docs: DataFrame, fields: list[str], key: str = "item_id") -> DataFram
     return out
 
 
+def store(index: DataFrame, place: str, parts: int | None = None) -> DataFrame:
+    """The token table written once in the order of tokens and read back: a search for some tokens then reads the few row
+    groups that hold them, by their statistics. A token that fills many rows is spread over several parts by item."""
+    spark, key = index.sparkSession, index.columns[0]
+    many = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = index.repartitionByRange(many, "token", key).sortWithinPartitions("token", key)
+    ordered.write.mode("overwrite").parquet(place)
+    return spark.read.parquet(place)
+
+
 def matches(index: DataFrame, terms: list[str], key: str = "item_id") -> DataFrame:
     """(item_id): items that hold every term; a term that ends in * is a prefix, one with spaces a phrase."""
     singles, found = [t for t in terms if " " not in t], []
