@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from tidewell.functions.content import TEMPLATE
 from tidewell.operators.graph import components, saved
 
-# Fixed values of the text hash: offsets and the prime of FNV-1a, and the words of templates, which are left out.
+# Fixed values of the text hash: offsets and the prime of FNV-1a.
 FNV_START, FNV_SIGN, FNV_PRIME = 0x811C9DC5, 0x9DC5B117, 0x01000193
-TEMPLATE = set("讨论 内容 分享 相关 话题 问题 建议 经验 攻略 视频 分析 教程 报告 使用 解决 怎么 办法 推荐 对比 评测 指南 清单 规划 技巧 方法 情况 进行 可以 应该 大家 东西 时候 文章 帖子 一下 一些 这个 那个 有什么 不知道 觉得 感觉 真的 是不是 为什么 如何".split())
+_TEMPLATE = frozenset(TEMPLATE)
 
 
 def _fnv(text: str, start: int) -> int:
@@ -34,7 +35,7 @@ def hashed_vector(text: str | None, dim: int) -> list[float]:
         for sign in run:
             weights["u:" + sign] += 0.5
         for a, b in zip(run, run[1:]):
-            if a + b not in TEMPLATE:
+            if a + b not in _TEMPLATE:
                 weights["b:" + a + b] += 3
     for word in re.findall(r"[a-z0-9][a-z0-9'+.-]{1,31}", low):
         weights["w:" + word] += 2

@@ -203,7 +203,7 @@ states AS (SELECT *, CASE WHEN score IS NULL OR members < 3 THEN 'unknown' WHEN
 
 
 def _trend(spark, sf_dir, now=NOW):
-    items, snapshots = seen_by(event_items(spark, sf_dir), event_snapshots(spark, sf_dir), now)
+    items, snapshots = (saved(df) for df in seen_by(event_items(spark, sf_dir), event_snapshots(spark, sf_dir), now))  # each is read by several parts
     return S.topic_trend(items, snapshots, S.burst(items, snapshots, now, UPVOTING), now, UPVOTING)
 
 
