@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, lattice, maxent_lm, mixing, quality, secret_scan, sharding, simhash, spm
+from . import chat, exact_dedup, langid, lattice, maxent_lm, mixing, negatives, quality, repair, secret_scan, sharding, simhash, spm
 from .common import table
 
 
@@ -56,9 +56,21 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_report(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_report(table(spark, sf_dir, "conversations"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.negatives_report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_lattice_near_dedup, op4_simhash_near_dedup, op5_lm_scoring, op6_quality_classifier, op7_source_mixing, op8_sentencepiece, op9_sharding, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_language_id, op2_exact_dedup, op3_lattice_near_dedup, op4_simhash_near_dedup, op5_lm_scoring, op6_quality_classifier, op7_source_mixing, op8_sentencepiece, op9_sharding, op10_secret_scan, op11_chat_formatting, op12_hard_negatives, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE, "op7_source_mixing": mixing.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op7_source_mixing": mixing.ORACLE, "op11_chat_formatting": chat.ORACLE, "op12_hard_negatives": negatives.ORACLE}
