@@ -73,39 +73,60 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("_tw_base", F.concat("_tw_b0", "_tw_b1", "_tw_b2")).drop("_tw_b0", "_tw_b1", "_tw_b2", "_tw_b3", "_tw_r0")
 
 
-def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 20_000, seed: str = "secret") -> DataFrame:
-    """Labelled strings (random, value): from about `rows` documents, chosen by a hash, which bounds the fit.
+def _evenly(parts: Column, most: int) -> Column:
+    """At most `most` elements of an array, at even distances from its first to its last part."""
+    return F.when(F.size(parts) <= most, parts).otherwise(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.get(parts, F.floor(i * F.size(parts) / most).cast("int"))))
+
+
+def _names(words: Column, most: int) -> Column:
+    """Identifiers of three to six words each, as programmers write them: joined by _, - or /, in capitals by _, or
+    written together with capitals; at most `most`, from places at even distances."""
+    n = F.least(F.lit(most), F.floor(F.size(words) / 3)).cast("int")
+
+    def name(i: Column) -> Column:
+        some = F.slice(words, F.floor(i * F.size(words) / n).cast("int") + 1, 3 + F.pmod(i, F.lit(4)))
+        low, style = F.transform(some, lambda w: F.lower(w)), F.pmod(i, F.lit(5))
+        joined = F.array_join(F.transform(some, lambda w: F.initcap(w)), "")
+        for k, sign in enumerate(BREAKS):
+            joined = F.when(style == k, F.array_join(low, sign)).otherwise(joined)
+        return F.when(style == len(BREAKS), F.array_join(F.transform(some, lambda w: F.upper(w)), "_")).otherwise(joined)
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), name)).otherwise(F.array().cast("array<string>"))
+
+
+def samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 20_000, chars: int = 32_000_000, each: int = 64, seed: str = "secret") -> DataFrame:
+    """Labelled strings (random, value, n), n times each. The fit is bounded by its sample: documents are chosen by a
+    hash, about `rows` with about `chars` characters at most, and each gives at most `each` strings of a kind.
 
     random: values that the base patterns match, and two digests a document (hex and base64). ordinary: the
-    identifiers left when those matches are cut out, and what programmers make of a text's words: joined by _, - or /,
-    in capitals by _, or written together with capitals.
+    identifiers left when those matches are cut out, and names made of a text's words.
     """
-    total = docs.count()
     picked = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if total > rows:
-        picked = picked.where(id_crc(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")))) < F.lit(int(2**32 * rows / total)))
+    size = picked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    share = min(rows / max(1, size["n"]), chars / max(1, size["chars"] or 0))
+    if share < 1:
+        picked = picked.where(id_crc(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")))) < F.lit(int(2**32 * share)))
     digest = F.sha2(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"), 256)
     made = F.array(F.substring(digest, 1, 40), F.substring(F.base64(F.unhex(digest)), 1, 40))
-    picked = base_spans(picked, "text")
-    drawn = picked.select(F.lit(1).alias("random"), F.explode(F.concat(made, F.transform("_tw_base", lambda s: s["value"]))).alias("value"))
-    words = F.regexp_extract_all("_tw_rest", F.lit("[A-Za-z]{2,20}"), F.lit(0))
-    low, capital = F.transform(words, lambda w: F.lower(w)), F.transform(words, lambda w: F.initcap(w))
-    joined = F.array(*[F.array_join(low, sign) for sign in BREAKS], F.array_join(F.transform(words, lambda w: F.upper(w)), "_"), F.array_join(capital, ""))
-    plain = picked.select(F.lit(0).alias("random"), F.explode(F.concat(F.regexp_extract_all("_tw_rest", F.lit(NAME), F.lit(0)), joined)).alias("value"))
-    return drawn.union(plain)
+    picked = base_spans(picked.repartition(F.col("id")), "text").select("id", "_tw_base", "_tw_rest")
+    picked = picked.withColumn("words", F.regexp_extract_all("_tw_rest", F.lit("[A-Za-z]{2,20}"), F.lit(0))).withColumn("names", F.regexp_extract_all("_tw_rest", F.lit(NAME), F.lit(0)))
+    drawn = F.transform(F.concat(made, _evenly(F.transform("_tw_base", lambda s: s["value"]), each)), lambda v: F.struct(F.lit(1).alias("random"), v.alias("value")))
+    plain = F.transform(F.concat(_evenly(F.col("names"), each), _names(F.col("words"), each)), lambda v: F.struct(F.lit(0).alias("random"), v.alias("value")))
+    return picked.select(F.explode(F.concat(drawn, plain)).alias("x")).groupBy("x.random", "x.value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fit(labelled: DataFrame, even: float = 0.1) -> list[float]:
-    """Log-likelihood ratios of the alphabet's transitions, row by row, from strings (random, value).
+    """Log-likelihood ratios of the alphabet's transitions, row by row, from strings (random, value), n times each if there is a column n.
 
     A tenth of each model is the even distribution, which bounds what one unseen transition can say; with no samples
     every ratio is 0 and nothing is added. What comes to the driver is two counts per transition.
     """
     n = len(ALPHABET)
-    signs = labelled.where("length(value) > 1").select("random", F.split("value", "").alias("signs"))
+    labelled = labelled if "n" in labelled.columns else labelled.withColumn("n", F.lit(1))
+    signs = labelled.where("length(value) > 1").select("random", "n", F.split("value", "").alias("signs"))
     most = F.size("signs") - 1
-    pairs = signs.select("random", F.explode(F.zip_with(F.slice("signs", F.lit(1), most), F.slice("signs", F.lit(2), most), lambda a, b: F.concat(a, b))).alias("pair"))
-    counts = {(r["random"], r["pair"]): r["count"] for r in pairs.where(F.regexp_like("pair", F.lit("^[A-Za-z0-9+/_=-]{2}$"))).groupBy("random", "pair").count().collect()}
+    pairs = signs.select("random", "n", F.explode(F.zip_with(F.slice("signs", F.lit(1), most), F.slice("signs", F.lit(2), most), lambda a, b: F.concat(a, b))).alias("pair"))
+    counts = {(r["random"], r["pair"]): r["all"] for r in pairs.where(F.regexp_like("pair", F.lit("^[A-Za-z0-9+/_=-]{2}$"))).groupBy("random", "pair").agg(F.sum("n").alias("all")).collect()}
     table = []
     for a in ALPHABET:
         logs = []

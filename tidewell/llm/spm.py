@@ -409,27 +409,28 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", into: str =
     Null and empty texts have no tokens; a null text's round_trip is true. A text that holds the mark U+2581 itself
     decodes with spaces, so its round_trip is false. Rows that repeat are encoded each, ids may be null or repeat. Very
     long texts are encoded whole, in time that grows with their length; an empty table gives no rows. Columns of docs
-    with the names of the new ones are replaced; others stay.
+    with the names of the new ones, in any case, are replaced; others stay, whatever their names.
     """
     bounded_batches(docs.sparkSession, 2 << 20)
     model = docs.sparkSession.sparkContext.broadcast(Model.load(model_path))  # a vocabulary: below a few MB
     added = [StructField(into, ArrayType(IntegerType(), False)), StructField("n_tokens", LongType())] + [StructField("round_trip", BooleanType())] * check
-    kept = [c for c in docs.columns if c not in {f.name for f in added} and (keep_text or c != text_col)]
-    rows = docs.select([F.col(f"`{c}`") for c in kept] + [F.col(text_col).alias("_tw_text")])
+    new = {f.name.lower() for f in added}
+    kept = [f for f in docs.schema if f.name.lower() not in new and (keep_text or f.name.lower() != text_col.lower())]
+    rows = docs.select([F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)] + [F.col(text_col).alias("x")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model.value)
         for batch in batches:
-            texts = batch.column("_tw_text").to_pylist()
+            texts = batch.column("x").to_pylist()
             ids, n = encoder.encode(texts)
             offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             out = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids)), pa.array(n.astype(np.int64))]
             if check:
                 ends = offsets.tolist()  # lists of ids are made text by text, which bounds their memory
                 out.append(pa.array([decode_ids(ids[a:b].tolist(), model.value) == (t or "") for a, b, t in zip(ends[:-1], ends[1:], texts)]))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + out, names=kept + [f.name for f in added])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + out, names=[f.name for f in kept + added])
 
-    return rows.mapInArrow(run, StructType([f for f in rows.schema if f.name in kept] + added))
+    return rows.mapInArrow(run, StructType(kept + added))
 
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "token_ids", into: str = "text") -> DataFrame:
