@@ -263,19 +263,6 @@ def test_streams_go_on_after_a_restart(spark, tmp_path):
     assert jobs.upsert_stream(jobs.stream(spark, none), ["k"], ["t"]).count() == 0
 
 
-def test_refresh_after_a_collection(spark, tmp_path):
-    from tidewell.streaming import jobs
-
-    src, seen = str(tmp_path / "in.parquet"), []
-    again = lambda: jobs.refresh_after(jobs.stream(spark, src), lambda df: seen.append(df.count()), str(tmp_path / "place"))
-    spark.range(3).coalesce(1).write.mode("append").parquet(src)
-    again()
-    again()
-    spark.range(2).coalesce(1).write.mode("append").parquet(src)
-    again()
-    assert seen == [3, 5]
-
-
 def test_manual_records(spark):
     from tidewell.sources import files
 

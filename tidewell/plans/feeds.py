@@ -10,6 +10,7 @@ from tidewell.functions import text as T
 from tidewell.operators.graph import checkpoint_dir
 from tidewell.sources import files as S
 from tidewell.streaming import jobs as J
+from tidewell.streaming.state import lateness
 
 from .texts import _CANON
 from .views import table
@@ -124,10 +125,56 @@ def stream_current(spark, sf_dir):
     return J.upsert_stream(rows, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
-@query()
+_MOODS_SQL = """
+WITH RECURSIVE e AS (
+  SELECT user_id, ts, CASE WHEN event_type IN ('purchase', 'signup') THEN 'buying' WHEN event_type = 'error' THEN 'troubled' ELSE 'looking' END AS want,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k
+  FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+s AS (
+  SELECT user_id, k, want AS mood, CAST(NULL AS VARCHAR) AS pending, 0 AS changes FROM e WHERE k = 1
+  UNION ALL
+  SELECT user_id, k, CASE WHEN settles THEN want ELSE mood END, CASE WHEN want <> mood AND NOT settles THEN want END,
+    changes + CASE WHEN want <> mood AND settles THEN 1 ELSE 0 END
+  FROM (SELECT s.*, e.want, want = 'troubled' OR coalesce(want = pending, false) AS settles FROM (SELECT user_id, k + 1 AS k, mood, pending, changes FROM s) s JOIN e USING (user_id, k)))
+SELECT user_id, mood AS state, changes, last FROM s JOIN (SELECT user_id, max(k) AS k, max(ts) AS last FROM e GROUP BY 1) USING (user_id, k)
+"""
+
+
+@query(_MOODS_SQL)
 def stream_lifecycle(spark, sf_dir):
-    """Moods with hysteresis; the tests hold them against the batch form."""
-    return J.moods(J.stream(spark, f"{sf_dir}/events.parquet"))
+    """Each user's mood with hysteresis, in state that is kept between batches. The watermark's delay is what the stored
+    files need, so that no event is late."""
+    path = f"{sf_dir}/events.parquet"
+    return J.moods(J.stream(spark, path).select("user_id", "event_id", "ts", "event_type"), lateness(spark, path))
+
+
+_STATES_SQL = """
+d AS (SELECT user_id % 10 AS topic_id, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT topic_id, day, n, CASE WHEN n < 3 THEN 'unknown' WHEN n % 4 = 0 THEN 'peak' WHEN n % 4 = 1 THEN 'declining' ELSE 'rising' END AS raw,
+  CASE WHEN n >= 3 THEN n % 50 * 1.0::DOUBLE END AS score, row_number() OVER (PARTITION BY topic_id ORDER BY day) AS k FROM d)"""
+
+
+@query(f"""
+WITH RECURSIVE {_STATES_SQL},
+f AS (
+  SELECT topic_id, k, raw AS state, CAST(NULL AS VARCHAR) AS pending, 0 AS n, score, 0 AS changes FROM r WHERE k = 1
+  UNION ALL
+  SELECT topic_id, k, CASE WHEN unscored THEN state WHEN waits THEN state ELSE raw END, CASE WHEN waits THEN raw END, CASE WHEN waits THEN seen ELSE 0 END,
+    CASE WHEN unscored THEN score ELSE new_score END, changes + CASE WHEN NOT unscored AND NOT waits AND state <> 'unknown' AND state <> raw THEN 1 ELSE 0 END
+  FROM (SELECT *, raw = 'unknown' AS unscored, CASE WHEN raw = pending THEN n + 1 ELSE 1 END AS seen,
+      raw <> 'unknown' AND state <> 'unknown' AND state <> raw AND NOT coalesce(abs(new_score - score) >= 25, false) AND CASE WHEN raw = pending THEN n + 1 ELSE 1 END < 2 AS waits
+    FROM (SELECT f.topic_id, r.k, f.state, f.pending, f.n, f.score, f.changes, r.raw, r.score AS new_score FROM f JOIN r ON r.topic_id = f.topic_id AND r.k = f.k + 1)))
+SELECT topic_id, state, pending, n AS confirmations, score, changes FROM f JOIN (SELECT topic_id, max(k) AS k FROM r GROUP BY 1) USING (topic_id, k)
+""")
+def stream_topic_lifecycle(spark, sf_dir):
+    """The lifecycle of topics after a run a day, each a row of a stream: the hysteresis of lifecycle_hysteresis in
+    keyed state. A day's raw state and score come from the topic's number of events."""
+    place, e = _place(spark, "runs"), table(spark, sf_dir, "events").where("user_id is not null and ts is not null")
+    d = e.groupBy((F.col("user_id") % 10).alias("topic_id"), F.date_trunc("day", "ts").cast("timestamp").alias("run_at")).agg(F.count(F.lit(1)).alias("n"))
+    state = F.when(F.col("n") < 3, "unknown").when(F.col("n") % 4 == 0, "peak").when(F.col("n") % 4 == 1, "declining").otherwise("rising")
+    d = d.select("topic_id", "run_at", F.unix_date(F.to_date("run_at")).cast("long").alias("run_id"), state.alias("state"), F.when(F.col("n") >= 3, (F.col("n") % 50).cast("double")).alias("score"))
+    d.write.parquet(place)
+    return J.settled_stream(J.stream(spark, place), lateness(spark, place, "run_at")).drop("last")
 
 
 @query("SELECT page_id, CASE WHEN length(t) > 80 THEN left(t, 80) || '…' ELSE t END AS excerpt FROM (SELECT page_id, trim(regexp_replace(url, '\\s+', ' ', 'g')) AS t FROM pages)")

@@ -19,6 +19,9 @@ from pyspark.sql.types import StructType
 
 from tidewell.operators.graph import checkpoint_dir
 from tidewell.operators.silver import latest_by
+from tidewell.profiles import LIFECYCLE
+from tidewell.streaming.state import ordered, rocks
+from tidewell.streaming.store import Store
 
 
 def stream(spark: SparkSession, path: str, files_a_batch: int = 64) -> DataFrame:
@@ -76,26 +79,24 @@ def once(events: DataFrame, keys: list[str], late: str | None = None) -> DataFra
 
 
 STATE = "user_id long, state string, changes int, last timestamp"
+_MOODS = {"purchase": "buying", "signup": "buying", "error": "troubled"}
 
 
-def _advance(state: tuple, kinds: pd.Series) -> tuple:
+def _advance(state: tuple, kind: str | None) -> tuple:
     """(mood, pending, confirmations, changes): a new mood counts from its second event in a row, errors at once."""
     mood, pending, n, changes = state
-    for kind in kinds:
-        want = {"purchase": "buying", "signup": "buying", "error": "troubled"}.get(kind, "looking")
-        if mood is None or want == mood:
-            mood, pending, n = want, None, 0
-            continue
-        n = n + 1 if want == pending else 1
-        pending = want
-        if n >= 2 or want == "troubled":
-            mood, pending, n, changes = want, None, 0, changes + 1
-    return mood, pending, n, changes
+    want = _MOODS.get(kind, "looking")
+    if mood is None or want == mood:
+        return want, None, 0, changes
+    n = n + 1 if want == pending else 1
+    if n >= 2 or want == "troubled":
+        return want, None, 0, changes + 1
+    return mood, want, n, changes
 
 
 def moods_of(events: DataFrame) -> DataFrame:
     """The batch form: each user's mood after all events, with hysteresis. A task goes over its users' events in the
-    order of time and holds one Arrow batch, however many events a user has."""
+    order of time and holds one Arrow batch, however many events a user has. Events without a user or time are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         user, state, last = None, (None, None, 0, 0), None
@@ -107,7 +108,8 @@ def moods_of(events: DataFrame) -> DataFrame:
                     if user is not None:
                         done.append(said())
                     user, state, last = key, (None, None, 0, 0), None
-                state = _advance(state, rows["event_type"])
+                for kind in rows["event_type"]:
+                    state = _advance(state, kind)
                 new = rows["ts"].max()
                 last = new if last is None or pd.isna(last) else last if pd.isna(new) else max(last, new)
             if done:
@@ -115,49 +117,81 @@ def moods_of(events: DataFrame) -> DataFrame:
         if user is not None:
             yield pd.DataFrame([said()], columns=["user_id", "state", "changes", "last"])
 
-    rows = events.select(F.coalesce(F.col("user_id").cast("string"), F.lit("")).alias("user_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    rows = rows.repartition("user_id").sortWithinPartitions("user_id", F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
-    told = rows.select("user_id", "ts", "event_type").mapInPandas(run, STATE.replace("user_id long", "user_id string"))
-    return told.withColumn("user_id", F.nullif(F.col("user_id"), F.lit("")).cast("long"))
+    rows = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type").where("user_id is not null and ts is not null")
+    rows = rows.repartition("user_id").sortWithinPartitions("user_id", "ts", F.asc_nulls_last("event_id"))
+    return rows.select("user_id", "ts", "event_type").mapInPandas(run, STATE)
 
 
-def moods(events: DataFrame) -> DataFrame:
-    """The streaming form. A mood depends on the order of time, which files need not keep: the stream's rows are
-    stored batch by batch, then each user's are replayed."""
-    return moods_of(landed(events.select("user_id", "event_id", "ts", "event_type")))
+def _fold_mood(state: tuple, row: tuple) -> tuple:
+    return *_advance(state[:4], row[2]), row[0]
 
 
-def upsert_stream(rows: DataFrame, keys: list[str], order: list[str], place: str | None = None) -> DataFrame:
-    """The current table of a stream of versions: the newest row of each key, each batch folded into the table before.
+def moods(events: DataFrame, late: str, place: str | None = None) -> DataFrame:
+    """The streaming form: each user's state stays between batches (see tidewell.streaming.state), and what users say is
+    upserted batch by batch. `late` is the watermark's delay. With `place`, a shared folder, a later call goes on where
+    this one stopped."""
+    say = lambda s: (s[0], s[3], pd.Timestamp(s[4], unit="us"))
+    told = ordered(events, "user_id", "ts", "event_id", {"event_type": "string"}, _fold_mood, (None, None, 0, 0, 0), "mood string, pending string, n int, changes int, last long", say, STATE, late)
+    with rocks(events.sparkSession):
+        return upsert_stream(told, ["user_id"], ["last", "changes"], place, mode="update", arrival=True)
 
-    With `place`, a shared folder, a later call goes on where this one stopped. Each batch writes the table anew from
-    the last version of an earlier batch, so a batch that is repeated gives the same; versions before the last may be
-    deleted. A stream without rows gives an empty table.
+
+def settled_stream(states: DataFrame, late: str, place: str | None = None) -> DataFrame:
+    """The lifecycle of each topic after a stream of runs (topic_id, run_at, run_id, state, score), as settle folds them
+    run by run in batch: a new state is current once it is seen in two runs in a row, or at once if the score jumps."""
+    told = ordered(states, "topic_id", "run_at", "run_id", {"state": "string", "score": "double"}, _fold_run, (None, None, 0, None, 0, 0), "state string, pending string, confirmations int, score double, changes int, last long", lambda s: s, "topic_id long, state string, pending string, confirmations int, score double, changes int, last long", late)
+    with rocks(states.sparkSession):
+        return upsert_stream(told, ["topic_id"], ["last"], place, mode="update", arrival=True)
+
+
+def _fold_run(now: tuple, row: tuple) -> tuple:
+    was, pending, n, held, changes, _ = now
+    at, _, state, score = row
+    if state == "unknown":
+        return was or state, None, 0, held, changes, at
+    if was is None or was == "unknown" or state == was:
+        return state, None, 0, score, changes, at
+    n = n + 1 if state == pending else 1
+    jump = score is not None and held is not None and abs(score - held) >= LIFECYCLE["strong_jump"]
+    if jump or n >= LIFECYCLE["confirmations"]:
+        return state, None, 0, score, changes + 1, at
+    return was, state, n, score, changes, at
+
+
+def upsert_stream(rows: DataFrame, keys: list[str], order: list[str], place: str | None = None, mode: str = "append", arrival: bool = False, buckets: int = 16) -> DataFrame:
+    """The current table of a stream of versions, the newest row of each key, in a Store: a batch writes about what it
+    brings. With `arrival` a row of a later batch is newer than one of an earlier, whatever `order` says.
+
+    With `place`, a shared folder, a later call goes on where this one stopped; a batch that is repeated gives the same.
+    A stream without rows gives an empty table.
     """
     spark = rows.sparkSession
     place = place or f"{checkpoint_dir(spark)}/current-{uuid.uuid4().hex}"
-    schema = rows.select("*", F.lit(0).alias("_v")).schema
-
-    def before(number: int) -> DataFrame:
-        kept = _stored(spark, f"{place}/v", schema).where(F.col("_v") < number)
-        return kept.where(F.col("_v") == F.lit(kept.agg(F.max("_v")).first()[0])).drop("_v")
+    store = stored(rows, keys, order, place, arrival, buckets)
 
     def fold(batch: DataFrame, number: int) -> None:
-        latest_by(before(number).unionByName(batch), keys, order).write.mode("overwrite").parquet(f"{place}/v/_v={number}")
+        store.upsert(batch.withColumn("_batch", F.lit(number)) if arrival else batch, number)
 
-    rows.writeStream.foreachBatch(fold).option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).start().awaitTermination()
-    return before(1 << 62)
+    rows.writeStream.outputMode(mode).foreachBatch(fold).option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).start().awaitTermination()
+    return store.current().drop("_batch")
 
 
-def refresh_after(rows: DataFrame, refresh: Callable[[DataFrame], None], place: str) -> None:
-    """Stores a stream's rows in `place` and calls refresh with all stored ones once after each batch that brought any.
-    One query runs its batches one after the other, so refreshes never overlap or queue; a repeated batch refreshes again."""
-    spark = rows.sparkSession
+def stored(rows: DataFrame, keys: list[str], order: list[str], place: str, arrival: bool = False, buckets: int = 16) -> Store:
+    """The store that upsert_stream keeps for such rows in `place`."""
+    schema = rows.select("*", F.lit(0).alias("_batch")).schema if arrival else rows.schema
+    return Store(rows.sparkSession, f"{place}/store", keys, ["_batch"] * arrival + order, schema, buckets)
+
+
+def refresh_after(rows: DataFrame, refresh: Callable[[DataFrame, DataFrame], None], place: str, keys: list[str], order: list[str], buckets: int = 16) -> None:
+    """Upserts a stream's rows into a Store in `place` and calls refresh(batch, touched) once after each batch that
+    brought any: its rows, and the current rows of the buckets it touched, which are all that can have changed.
+
+    One query runs its batches one after the other, so refreshes never overlap or queue; a repeated batch refreshes again.
+    """
+    store = stored(rows, keys, order, place, buckets=buckets)
 
     def accept(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
-            return
-        batch.write.mode("overwrite").parquet(f"{place}/rows/_b={number}")
-        refresh(spark.read.option("basePath", f"{place}/rows").parquet(f"{place}/rows").drop("_b"))
+        if touched := store.upsert(batch, number):
+            refresh(batch, store.current(touched))
 
     rows.writeStream.foreachBatch(accept).option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).start().awaitTermination()
