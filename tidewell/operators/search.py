@@ -52,9 +52,10 @@ def phrase(index: DataFrame, words: list[str], key: str = "item_id") -> DataFram
     return starts.groupBy(key, "field").agg(F.count(F.lit(1)).alias("n"))
 
 
-def bm25(index: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75, key: str = "item_id") -> DataFrame:
-    """(item_id, score) of the items that hold any of the terms, all fields as one; larger is better."""
-    sizes = index.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
+def bm25(index: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75, key: str = "item_id", sizes: DataFrame | None = None) -> DataFrame:
+    """(item_id, score) of the items that hold any of the terms, all fields as one; larger is better. sizes: (item_id,
+    size), each item's number of tokens, if it is stored; counted from the index otherwise."""
+    sizes = index.groupBy(key).agg(F.count(F.lit(1)).alias("size")) if sizes is None else sizes.where("size > 0")
     tf = index.where(F.col("token").isin(terms)).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
     all_ = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))  # one row
     df = tf.groupBy(F.col("token").alias("_t")).agg(F.count(F.lit(1)).alias("df"))  # as many rows as terms
@@ -93,6 +94,23 @@ def snippet(text, terms: list[str], around: int = 30):
     return F.regexp_replace(part, f"(?i)({one})", "[$1]")
 
 
+def best_snippets(index: DataFrame, docs: DataFrame, terms: list[str], field: str, size: int = 20, key: str = "item_id") -> DataFrame:
+    """(item_id, start, hits, snippet) of the items that hold any of the terms: the `size` tokens with the most different
+    terms among them, the first of such windows, as they stand in the text, terms in brackets, cut ends as …
+
+    Windows start at hits, which come from the index; texts are read for the items found only.
+    """
+    hits = index.where((F.col("field") == field) & F.col("token").isin(terms)).select(key, "pos", "token")
+    ahead = Window.partitionBy(key).orderBy("pos").rangeBetween(0, size - 1)  # a text's hits
+    seen = hits.select(key, "pos", F.size(F.collect_set("token").over(ahead)).alias("n"))
+    best = seen.groupBy(F.col(key).alias("_k")).agg(F.max_by("pos", F.struct("n", -F.col("pos"))).alias("start"), F.max("n").alias("hits"))
+    said = F.filter(F.split(F.col(field), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    rows = docs.select(key, field).join(best, F.col(key) == F.col("_k")).withColumn("_said", said)
+    window = F.transform(F.slice("_said", F.col("start") + 1, size), lambda t: F.when(F.lower(t).isin(terms), F.concat(F.lit("["), t, F.lit("]"))).otherwise(t))
+    cut = F.concat(F.when(F.col("start") > 0, "…").otherwise(""), F.array_join(window, " "), F.when(F.size("_said") > F.col("start") + size, "…").otherwise(""))
+    return rows.select(key, "start", "hits", cut.alias("snippet"))
+
+
 def search(index: DataFrame, docs: DataFrame, terms: list[str], fields: list[str], key: str = "item_id") -> DataFrame:
     """(item_id, mode): matches of the index (fts), or, if it has none, rows with the words as plain text (like)."""
     found = matches(index, terms, key).select(key, F.lit("fts").alias("mode"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as T
 from tidewell.operators import search as X
 from tidewell.operators import silver as D
-from tidewell.operators.graph import saved
+from tidewell.operators.graph import checkpoint_dir
+from tidewell.operators.index import Index
 
 from .views import EVENTS_SQL, event_items, event_snapshots, table, text_items
 
@@ -200,8 +203,21 @@ def semi_join_platform(spark, sf_dir):
 _TOK = "tok AS (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) AS token, generate_subscripts(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> ''), 1) - 1 AS pos FROM (SELECT doc_id AS item_id, text FROM documents))"
 
 
+_STORED: dict = {}
+
+
+def stored_index(spark, sf_dir) -> Index:
+    """The stored index of documents, made by the first search of a session and read by all others."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _STORED:
+        index = Index(spark, f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}", ["text"])
+        index.update(text_items(spark, sf_dir).select("item_id", "text"), 0)
+        _STORED[at] = index
+    return _STORED[at]
+
+
 def _index(spark, sf_dir):
-    return X.tokens(text_items(spark, sf_dir), ["text"])
+    return stored_index(spark, sf_dir).postings()
 
 
 @query(f"WITH {_TOK} SELECT item_id, count(*) AS tokens, count(DISTINCT token) AS different, max(pos) AS last_pos FROM tok GROUP BY 1")
@@ -227,7 +243,42 @@ def search_prefix(spark, sf_dir):
 @query(f"""WITH {_TOK}, s AS (SELECT item_id, count(*) AS size FROM tok GROUP BY 1), f AS (SELECT item_id, token, count(*) AS tf FROM tok WHERE token IN ('license', 'version', 'apache') GROUP BY 1, 2), d AS (SELECT token, count(*) AS df FROM f GROUP BY 1), a AS (SELECT count(*) AS n, avg(size) AS mean FROM s)
 SELECT item_id, floor(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) * 1e6 + 0.5) / 1e6 AS score FROM f JOIN d USING (token) JOIN s USING (item_id), a GROUP BY 1""")
 def search_bm25(spark, sf_dir):
-    return X.bm25(_index(spark, sf_dir), ["license", "version", "apache"]).select("item_id", (F.floor(F.col("score") * 1e6 + 0.5) / 1e6).alias("score"))
+    index = stored_index(spark, sf_dir)
+    return X.bm25(index.postings(), ["license", "version", "apache"], sizes=index.sizes()).select("item_id", (F.floor(F.col("score") * 1e6 + 0.5) / 1e6).alias("score"))
+
+
+_SNIPPET = ["license", "version", "secret"]
+_ASKED = ", ".join(f"'{t}'" for t in _SNIPPET)
+
+
+@query(f"""WITH {_TOK}, said AS (SELECT doc_id AS item_id, list_filter(string_split_regex(text, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS words FROM documents), h AS (SELECT item_id, pos, token FROM tok WHERE token IN ({_ASKED})),
+w AS (SELECT a.item_id, a.pos AS start, count(DISTINCT b.token) AS n FROM h a JOIN h b ON a.item_id = b.item_id AND b.pos BETWEEN a.pos AND a.pos + 19 GROUP BY 1, 2),
+best AS (SELECT item_id, start, n FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, start) AS r FROM w) WHERE r = 1)
+SELECT item_id, start::INTEGER AS start, n::INTEGER AS hits, CASE WHEN start > 0 THEN '…' ELSE '' END || list_aggregate(list_transform(words[start + 1:start + 20], lambda t: CASE WHEN lower(t) IN ({_ASKED}) THEN '[' || t || ']' ELSE t END), 'string_agg', ' ') || CASE WHEN len(words) > start + 20 THEN '…' ELSE '' END AS snippet FROM best JOIN said USING (item_id)""")
+def search_best_snippets(spark, sf_dir):
+    """The twenty tokens of each text that hold the most of three words."""
+    return X.best_snippets(_index(spark, sf_dir), text_items(spark, sf_dir), _SNIPPET, "text")
+
+
+_EDITED = "SELECT doc_id, CASE WHEN lang = 'fr' THEN text || ' Revised license.' ELSE text END AS text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r > 1)"
+
+
+@query(f"WITH {_TOK.replace('FROM documents', f'FROM ({_EDITED})')} SELECT item_id, count(*) AS tokens, count(CASE WHEN token = 'revised' THEN 1 END) AS revised FROM tok WHERE item_id IN (SELECT item_id FROM tok WHERE token = 'license') GROUP BY 1")
+def search_after_updates(spark, sf_dir):
+    """A search in an index of its own after two updates: texts of one language are edited, and of equal texts all but the
+    first item go, as when duplicates are merged."""
+    index = Index(spark, f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}", ["text"])
+    docs = text_items(spark, sf_dir)
+    index.update(docs.select("item_id", "text"), 0)
+    first = docs.groupBy("text").agg(F.min("item_id").alias("_first"))
+    again = docs.join(first.withColumnRenamed("text", "_t"), F.col("text").eqNullSafe(F.col("_t")))
+    edited = docs.where("platform = 'fr'").select("item_id", F.concat("text", F.lit(" Revised license.")).alias("text"))
+    index.update(edited, 1, again.where("item_id <> _first").select("item_id"))
+    gone = again.where("item_id <> _first").select("item_id")
+    index.update(docs.limit(0).select("item_id", "text"), 2, gone)
+    found = X.matches(index.postings(), ["license"]).withColumnRenamed("item_id", "_i")
+    rows = index.postings().join(found, F.col("item_id") == F.col("_i"), "left_semi")
+    return rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("token") == "revised").alias("revised"))
 
 
 @query("SELECT doc_id AS item_id FROM documents WHERE contains(lower(text), 'mit license')")
@@ -238,7 +289,7 @@ def search_like_fallback(spark, sf_dir):
 @query(f"WITH {_TOK}, a AS (SELECT item_id FROM tok WHERE token IN ('mit', 'license') GROUP BY 1 HAVING count(DISTINCT token) = 2), b AS (SELECT doc_id FROM documents WHERE contains(lower(text), 'ense. ')) SELECT 1 AS asked, item_id, 'fts' AS mode FROM a UNION ALL SELECT 2, doc_id, 'like' FROM b")
 def search_with_fallback(spark, sf_dir):
     """Two searches: one that the index answers, and one for part of a word, which falls back to plain text."""
-    index, docs, out = saved(_index(spark, sf_dir)), text_items(spark, sf_dir), []
+    index, docs, out = _index(spark, sf_dir), text_items(spark, sf_dir), []
     for k, terms in enumerate((["mit", "license"], ["ense. "]), 1):
         out.append(X.search(index, docs, terms, ["text"]).select(F.lit(k).alias("asked"), "item_id", "mode"))
     return out[0].union(out[1])

@@ -78,8 +78,8 @@ class Store:
         self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("overwrite").json(f"{self.place}/manifest/m={version}")
         return touched
 
-    def current(self, buckets: list[int] | None = None) -> DataFrame:
-        """The current rows; of some buckets only, if they are given."""
-        live = self.live()
+    def current(self, buckets: list[int] | None = None, before: int = 1 << 29) -> DataFrame:
+        """The current rows; of some buckets only, if they are given; as they were before a batch."""
+        live = self.live(2 * before)
         rows = self._newest(self._read(live if buckets is None else {b: live[b] for b in buckets if b in live}))
         return rows.where(~F.coalesce(F.col(self.removed), F.lit(False))) if self.removed else rows
