@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.stats import clamp, concentration, half_up, label, low_quantile_at, order_statistics, weighted
 from tidewell.operators.graph import components, saved
+from tidewell.operators.identity import claims
 from tidewell.operators.momentum import at
 from tidewell.operators.scoring import same_keys
 from tidewell.operators.similarity import centroids, cosine, edges
@@ -154,17 +155,7 @@ def angles(members: DataFrame, known: DataFrame, now: dt.datetime) -> DataFrame:
     near = g.join(centroids(m, "angle").select(c("angle").alias("_a"), c("centroid").alias("_c")), c("angle") == c("_a")).join(k, c("topic_id") == c("_t"))
     near = saved(near.select("topic_id", "angle", "members", "angle_id", cosine(c("_c").cast("array<double>"), c("centroid").cast("array<double>")).alias("sim")))
 
-    def claim(pairs: pd.DataFrame) -> pd.DataFrame:
-        used, rows = set(), []
-        for (_, angle), some in pairs.assign(size=-pairs["members"]).groupby(["size", "angle"]):
-            free = some[~some["angle_id"].isin(used)].sort_values(["sim", "angle_id"], ascending=[False, True])
-            if len(free):
-                used.add(int(free["angle_id"].iloc[0]))
-                rows.append((angle, int(free["angle_id"].iloc[0])))
-        return pd.DataFrame(rows, columns=["_angle", "inherited"]).astype("int64")
-
-    # what a topic's task holds are its pairs of an angle and a known one that may be the same, not its members
-    heirs = near.where(c("sim") >= p["identity"]).groupBy("topic_id").applyInPandas(claim, "_angle long, inherited long")
+    heirs = claims(near.where(c("sim") >= p["identity"]), "topic_id", "angle", "angle_id", "members", "sim").toDF("_angle", "inherited")
     g = g.join(heirs, c("angle") == c("_angle"), "left").drop("_angle")
     others = near.join(heirs, c("angle") == c("_angle"), "left").where(c("inherited").isNull() | (c("angle_id") != c("inherited")))
     g = g.join(others.groupBy(c("angle").alias("_o")).agg(F.max("sim").alias("nearest_known")), c("angle") == c("_o"), "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.functions.stats import half_up
+from tidewell.operators import identity as N
 from tidewell.operators import similarity as V
 from tidewell.operators.graph import components
 
@@ -101,6 +102,68 @@ def topic_reconcile_jaccard(spark, sf_dir):
     return V.reconcile(old, new, 0.01).select("cluster", "topic", half_up(F.col("overlap"), 6).alias("overlap"), "status")
 
 
+def _identity(spark, sf_dir):
+    """Memberships before a run, and its clusters. Before: users seen in the first half of the month, by user_id % 10,
+    those divisible by 25 locked (the ones divisible by 50 in topic 3). The run: users of the whole month, those of
+    topic 9 by user_id % 7, all others by topic and whether views are over half of their events."""
+    e = table(spark, sf_dir, "events").where("user_id is not null")
+    u = F.col("user_id")
+    old = e.where("ts < timestamp '2024-01-16'").select("user_id").distinct()
+    old = old.select(F.when(u % 50 == 0, 3).otherwise(u % 10).cast("long").alias("topic"), u.alias("id"), (u % 25 == 0).alias("locked"))
+    new = e.groupBy("user_id").agg((F.count_if(F.col("event_type") == "view") * 2 > F.count(F.lit(1))).alias("views"))
+    return old, new.select(u.alias("id"), F.when(u % 10 == 9, 300 + u % 7).otherwise(100 + u % 10 + F.when(F.col("views"), 0).otherwise(100)).cast("long").alias("cluster"))
+
+
+_IDENTITY = """WITH o AS (SELECT CASE WHEN user_id % 50 = 0 THEN 3 ELSE user_id % 10 END AS topic, user_id AS id, user_id % 25 = 0 AS locked FROM (SELECT DISTINCT user_id FROM events WHERE ts < TIMESTAMP '2024-01-16')),
+n AS (SELECT user_id AS id, CASE WHEN user_id % 10 = 9 THEN 300 + user_id % 7 ELSE 100 + user_id % 10 + CASE WHEN count(CASE WHEN event_type = 'view' THEN 1 END) * 2 > count(*) THEN 0 ELSE 100 END END AS cluster FROM events GROUP BY user_id),
+na AS (SELECT topic, count(*) AS na FROM o GROUP BY 1), nb AS (SELECT cluster, count(*) AS nb FROM n GROUP BY 1),
+j AS (SELECT topic, cluster, nb, count(*) / CAST(na + nb - count(*) AS DOUBLE) AS overlap FROM o JOIN n USING (id) JOIN na USING (topic) JOIN nb USING (cluster) GROUP BY topic, cluster, na, nb),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY overlap DESC, topic) AS r FROM j) WHERE r = 1 AND overlap >= 0.3),
+told AS (SELECT nb.cluster, nb.nb, b.topic, b.overlap, b.k FROM nb LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY nb DESC, cluster) AS k FROM best) b USING (cluster)),
+clusters AS (SELECT cluster, CASE WHEN k = 1 THEN topic ELSE (SELECT max(topic) FROM o) + row_number() OVER (PARTITION BY coalesce(k = 1, false) ORDER BY nb DESC, cluster) END AS topic, overlap, CASE WHEN k = 1 THEN 'kept' WHEN topic IS NOT NULL THEN 'split' ELSE 'new' END AS status FROM told)"""
+
+
+@query(f"{_IDENTITY} SELECT cluster, topic, floor(overlap * 1e6 + 0.5) / 1e6 AS overlap, status FROM clusters")
+def topic_identity(spark, sf_dir):
+    """Which topic each cluster of a run is: kept, split off or new."""
+    clusters, _, _ = N.identities(*_identity(spark, sf_dir))
+    return clusters.withColumn("overlap", half_up(F.col("overlap"), 6))
+
+
+@query(f"{_IDENTITY}, l AS (SELECT id, topic FROM o WHERE locked), a AS (SELECT n.id, c.topic FROM n JOIN clusters c USING (cluster)) SELECT coalesce(l.id, a.id) AS id, coalesce(l.topic, a.topic) AS topic, CASE WHEN l.id IS NULL THEN 'automatic' ELSE 'manual' END AS method FROM a FULL JOIN l ON a.id = l.id")
+def topic_identity_members(spark, sf_dir):
+    """The memberships after the run, locked ones unmoved."""
+    return N.identities(*_identity(spark, sf_dir))[1]
+
+
+@query(f"{_IDENTITY} SELECT topic, CASE WHEN topic IN (SELECT topic FROM clusters) THEN 'active' ELSE 'inactive' END AS status FROM (SELECT topic FROM o UNION SELECT topic FROM clusters)")
+def topic_identity_topics(spark, sf_dir):
+    """Topics that a cluster continues or founds are active, all others inactive."""
+    return N.identities(*_identity(spark, sf_dir))[2]
+
+
+@query("""WITH RECURSIVE flat AS (SELECT vec_id, label, pos, embedding[pos]::DOUBLE AS x FROM embeddings, range(1, 65) t(pos)),
+a AS (SELECT label, min(first) AS angle, max(size) AS members, list(x ORDER BY pos) AS c FROM (SELECT label, vec_id % 13 AS g, pos, avg(x) AS x, count(*) AS size, min(vec_id) AS first FROM flat GROUP BY 1, 2, 3) GROUP BY label, g),
+k AS (SELECT label, label * 10 + g AS angle_id, list(x ORDER BY pos) AS c FROM (SELECT label, vec_id % 7 AS g, pos, avg(x) AS x FROM flat GROUP BY 1, 2, 3) GROUP BY label, g),
+p AS (SELECT a.label, angle, members, angle_id, round(list_cosine_similarity(a.c, k.c), 9) AS sim FROM a JOIN k USING (label)),
+w AS (SELECT label, angle, members, list(angle_id ORDER BY sim DESC, angle_id) AS likes, row_number() OVER (PARTITION BY label ORDER BY members DESC, angle) AS i FROM p WHERE sim >= 0.2 GROUP BY 1, 2, 3),
+f AS (SELECT label, i, angle, likes[1] AS took, [likes[1]] AS used FROM w WHERE i = 1
+  UNION ALL
+  SELECT label, i, angle, took, CASE WHEN took IS NULL THEN used ELSE list_append(used, took) END FROM (SELECT w.label, w.i, w.angle, list_filter(w.likes, lambda x: NOT list_contains(f.used, x))[1] AS took, f.used FROM f JOIN w ON w.label = f.label AND w.i = f.i + 1))
+SELECT angle, took AS angle_id FROM f WHERE took IS NOT NULL""")
+def angle_claims(spark, sf_dir):
+    """Drafts of angles (a label's vectors by vec_id % 13) claim its stored ones (by vec_id % 7) one after the other, from
+    cosine 0.2 up: several on each side, so that claims collide."""
+    v = _vectors(spark, sf_dir)
+    part = lambda n: v.withColumn("g", F.concat_ws(":", "label", F.col("id") % n))
+    names = lambda n: part(n).groupBy(F.col("g").alias("_g")).agg(F.first("label").alias("label"), F.min("id").alias("angle"), F.min(F.col("id") % n).alias("k"))
+    made = lambda n: V.centroids(part(n), "g").join(names(n), F.col("g") == F.col("_g"))
+    a = made(13).select("label", "angle", "members", F.col("centroid").alias("ca"))
+    k = made(7).select(F.col("label").alias("_l"), (F.col("label") * 10 + F.col("k")).cast("long").alias("angle_id"), F.col("centroid").alias("ck"))
+    pairs = a.join(k, F.col("label") == F.col("_l")).withColumn("sim", F.round(V.cosine(F.col("ca"), F.col("ck")), 9)).where("sim >= 0.2")
+    return N.claims(pairs, "label", "angle", "angle_id", "members", "sim")
+
+
 @query()
 def lexical_embedding(spark, sf_dir):
     return text_items(spark, sf_dir).select("item_id", V.lexical_vectors(F.col("text"), 512).alias("v"))
