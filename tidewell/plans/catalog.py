@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from tidewell.operators import intel as I
 from tidewell.operators import scoring as S
 from tidewell.operators import silver as D
 from tidewell.operators import similarity as V
-from tidewell.operators.graph import saved
+from tidewell.operators.graph import checkpoint_dir, saved
+from tidewell.operators.ingest import Imports
 from tidewell.profiles import TREND
 
 from .intelligence import _TOPIC_LIFT, _F, _angles, _angles_sql, _members
@@ -78,6 +80,77 @@ def import_batches(spark, sf_dir):
     return g.select("batch", "n", "failed", "fresh", status.alias("status"), F.nullif(notes, F.lit("")).alias("notes"))
 
 
+def _records(page):
+    """The columns that imports take, from pages (page_id, canonical, title...) as SQL expressions of both engines."""
+    c = F.col("page_id")
+    return page.withColumn("views", F.when(c % 4 > 0, c * 7 % 1000)).withColumn("likes", F.when(c % 9 > 0, c % 50)).withColumn("content_type", F.when(c % 3 == 0, "article").when(c % 3 == 1, "unknown")).drop("page_id")
+
+
+_TAKEN: dict = {}
+
+
+def _imported(spark, sf_dir) -> Imports:
+    """Two batches taken in, once a session: https pages first, then all pages."""
+    at, c = (spark.sparkContext.applicationId, sf_dir), F.col
+    if at in _TAKEN:
+        return _TAKEN[at]
+    p = table(spark, sf_dir, "pages").select("page_id", T.canonical_url(c("url")).alias("canonical"))
+    none = F.lit(None).cast("string")
+    first = p.where(F.startswith("canonical", F.lit("https"))).select("page_id", c("page_id").alias("row_no"), F.lit("weibo").alias("platform"), F.floor(c("page_id") / 60).cast("string").alias("content_id"), "canonical", F.when(c("page_id") % 2 == 0, F.concat(F.lit("stored "), c("page_id").cast("string"))).alias("title"), F.lit("body").alias("text"))
+    then = _incoming(spark, sf_dir)[1].select(c("row_no").alias("page_id"), "row_no", "platform", "content_id", "canonical", "title", none.alias("text"))
+    imports = Imports(spark, f"{checkpoint_dir(spark)}/imports-{uuid.uuid4().hex}", ["views", "likes"])
+    for batch in (first, then):
+        imports.run(_records(batch))
+    _TAKEN[at] = imports
+    return imports
+
+
+def _import_sql() -> str:
+    """WITH ... items1, raw, snapshots, merges: two batches b0 and b1, resolved one after the other."""
+    extra = "CASE WHEN row_no % 4 > 0 THEN row_no * 7 % 1000 END AS views, CASE WHEN row_no % 9 > 0 THEN row_no % 50 END AS likes, CASE row_no % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'unknown' END AS content_type"
+    out = [f"""{_INCOMING}, b0 AS (SELECT *, {extra} FROM (SELECT page_id AS row_no, 'weibo' AS platform, CAST(page_id // 60 AS VARCHAR) AS content_id, canonical, CASE WHEN page_id % 2 = 0 THEN 'stored ' || page_id END AS title, 'body' AS text FROM cn WHERE canonical LIKE 'https%')),
+b1 AS (SELECT *, {extra} FROM (SELECT row_no, platform, content_id, canonical, title, CAST(NULL AS VARCHAR) AS text FROM inc)),
+items_ AS (SELECT -1::BIGINT AS item_id, '' AS platform, '' AS content_id, '' AS canonical, '' AS title, '' AS text, '' AS content_type, 0::BIGINT AS views, 0::BIGINT AS likes, 0 AS first_batch, 0 AS last_batch WHERE false)"""]
+    for k, before in ((0, "items_"), (1, "items0")):
+        text = ["platform", "content_id", "canonical", "title", "text"]
+        first = ", ".join(f"arg_min({c}, row_no) FILTER ({c} IS NOT NULL) AS {c}, min(row_no) FILTER ({c} IS NOT NULL) AS by_{c}" for c in text)
+        newest = ", ".join(f"arg_max({m}, row_no) FILTER ({m} IS NOT NULL) AS {m}" for m in ("views", "likes"))
+        fill = ", ".join(f"coalesce(i.{c}, t.{c}) AS {c}" for c in text)
+        out.append(f"""noted{k} AS (SELECT *, CASE WHEN platform IS NULL THEN 'no platform' WHEN title IS NULL AND text IS NULL THEN 'no title and no text' END AS note FROM b{k}),
+found{k} AS (SELECT row_no, platform, content_id, canonical, coalesce((SELECT min(item_id) FROM {before} ex WHERE ex.platform = n.platform AND ex.content_id = n.content_id), (SELECT min(item_id) FROM {before} ex WHERE ex.canonical = n.canonical)) AS target FROM noted{k} n WHERE note IS NULL),
+free{k} AS (SELECT * FROM found{k} WHERE target IS NULL), e{k} AS (SELECT a.row_no AS a, b.row_no AS b FROM free{k} a JOIN free{k} b ON a.row_no <> b.row_no AND (a.canonical = b.canonical OR (a.platform = b.platform AND a.content_id = b.content_id))),
+reach{k} AS (SELECT row_no AS id, row_no AS root FROM free{k} UNION SELECT e{k}.b, reach{k}.root FROM reach{k} JOIN e{k} ON e{k}.a = reach{k}.id), lead{k} AS (SELECT id, min(root) AS leader FROM reach{k} GROUP BY 1),
+made{k} AS (SELECT leader AS l, (SELECT coalesce(max(item_id), -1) FROM {before}) + row_number() OVER (ORDER BY leader) AS new_id FROM (SELECT DISTINCT leader FROM lead{k})),
+r{k} AS (SELECT n.*, coalesce(f.target, m.new_id) AS item_id, CASE WHEN n.note IS NOT NULL THEN 'invalid' WHEN f.target IS NOT NULL THEN 'merged' WHEN l.leader = n.row_no THEN 'new' ELSE 'duplicate' END AS status FROM noted{k} n LEFT JOIN found{k} f USING (row_no) LEFT JOIN lead{k} l ON l.id = n.row_no LEFT JOIN made{k} m ON m.l = l.leader),
+t{k} AS (SELECT item_id, {first}, {newest}, arg_min(content_type, row_no) FILTER (content_type <> 'unknown') AS content_type FROM r{k} WHERE note IS NULL GROUP BY 1),
+items{k} AS (SELECT coalesce(t.item_id, i.item_id) AS item_id, {fill}, coalesce(nullif(i.content_type, 'unknown'), t.content_type, 'unknown') AS content_type, coalesce(t.views, i.views) AS views, coalesce(t.likes, i.likes) AS likes, coalesce(i.first_batch, {k}) AS first_batch, CASE WHEN t.item_id IS NULL THEN i.last_batch ELSE {k} END AS last_batch FROM t{k} t FULL JOIN {before} i USING (item_id)),
+m{k} AS (SELECT {k} AS batch, row_no, r.item_id, status AS kind, concat_ws(',', {', '.join(f"CASE WHEN i.{c} IS NULL AND by_{c} = row_no THEN '{c}' END" for c in text)}) AS filled FROM r{k} r JOIN t{k} USING (item_id) LEFT JOIN {before} i USING (item_id) WHERE note IS NULL AND status <> 'new')""")
+    return "WITH RECURSIVE " + ", ".join(out)
+
+
+@query(f"{_import_sql()} SELECT item_id, platform, content_id, canonical, title, text, content_type, views, likes, first_batch, last_batch FROM items1")
+def import_items(spark, sf_dir):
+    """The items after two batches: texts filled, metrics replaced, unknown types learnt."""
+    return _imported(spark, sf_dir).items()
+
+
+@query(f"{_import_sql()} SELECT 0 AS batch, row_no, status, note, item_id FROM r0 UNION ALL SELECT 1, row_no, status, note, item_id FROM r1")
+def import_raw(spark, sf_dir):
+    """Every record of both batches and what became of it."""
+    return _imported(spark, sf_dir).raw().drop("payload")
+
+
+@query(f"{_import_sql()} SELECT 0 AS batch, min(row_no) AS row_no, item_id, views, likes FROM r0 WHERE note IS NULL GROUP BY item_id, views, likes UNION ALL SELECT 1, min(row_no), item_id, views, likes FROM r1 WHERE note IS NULL GROUP BY item_id, views, likes")
+def import_snapshots(spark, sf_dir):
+    return _imported(spark, sf_dir).snapshots()
+
+
+@query(f"{_import_sql()} SELECT * FROM m0 UNION ALL SELECT * FROM m1")
+def import_merges(spark, sf_dir):
+    """Records merged into stored items or into those of their own batch, and what they filled."""
+    return _imported(spark, sf_dir).merges()
+
+
 _CAND = f"{_FP}, f1 AS (SELECT fingerprint, min(item_id) AS item_a FROM fp WHERE fingerprint IS NOT NULL GROUP BY 1 HAVING count(*) > 1), cand AS (SELECT item_id AS candidate_id, item_a, item_id AS item_b, CASE WHEN item_id % 5 = 0 THEN 'ignored' ELSE 'pending' END AS status FROM fp JOIN f1 USING (fingerprint) WHERE item_id <> item_a)"
 
 
