@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.operators.ranks import running
+
 
 def half_up(x: Column | str, digits: int = 0) -> Column:
     """x rounded with halves towards plus infinity (so -2.5 gives -2), null for null."""
@@ -16,16 +18,15 @@ def clamp(x: Column, low: float = 0.0, high: float = 100.0) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
 
 
-def percentile_of(df: DataFrame, keys: list[str], value: str, into: str) -> DataFrame:
+def percentile_of(df: DataFrame, keys: list[str], value: str, into: str, **how) -> DataFrame:
     """df with the mean-rank percentile of value among the rows of equal keys: 100 (below + equal / 2) / n.
 
-    A null value has none. The counts are taken per distinct value first, so a window orders a key's different
-    values rather than all its rows, and a key that holds most of the table stays small.
+    A null value has none. The counts are taken per distinct value first, and summed up in the order of values by
+    `running`, so that no task holds a key of many rows or values.
     """
     hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_equal"))
-    w = Window.partitionBy(*keys)
-    below = F.coalesce(F.sum("_equal").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rank = F.lit(100.0) * (below + F.lit(0.5) * F.col("_equal")) / F.sum("_equal").over(w)
+    hist = running(hist, keys, value, "_equal", **how)
+    rank = F.lit(100.0) * (F.col("_below") + F.lit(0.5) * F.col("_equal")) / F.col("_all")
     ranks = hist.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(value).alias("_v"), rank.alias(into))
     same = F.col(value) == F.col("_v")
     for i, k in enumerate(keys):
@@ -33,18 +34,16 @@ def percentile_of(df: DataFrame, keys: list[str], value: str, into: str) -> Data
     return df.join(ranks, same, "left").drop("_v", *[f"_k{i}" for i in range(len(keys))])
 
 
-def percentiles_of(df: DataFrame, row: str, keys: list[str], values: list[str]) -> DataFrame:
+def percentiles_of(df: DataFrame, row: str, keys: list[str], values: list[str], **how) -> DataFrame:
     """df with p_<value> for each of values, as percentile_of has it; row names the rows.
 
     The values are laid out one below the other, ranked together and turned back into columns, so that one
-    aggregation, one window and two joins do for any number of them.
+    aggregation, one order and two joins do for any number of them.
     """
     long = df.select(row, *keys, F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col(v).cast("double").alias("v")) for i, v in enumerate(values)])).alias("_x"))
     long = long.select(row, *keys, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v")).where("_v is not null")
-    hist = long.groupBy(*keys, "_m", "_v").agg(F.count(F.lit(1)).alias("_equal"))
-    w = Window.partitionBy(*keys, "_m")
-    below = F.coalesce(F.sum("_equal").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    hist = hist.withColumn("_p", F.lit(100.0) * (below + F.lit(0.5) * F.col("_equal")) / F.sum("_equal").over(w)).drop("_equal")
+    hist = running(long.groupBy(*keys, "_m", "_v").agg(F.count(F.lit(1)).alias("_equal")), [*keys, "_m"], "_v", "_equal", **how)
+    hist = hist.withColumn("_p", F.lit(100.0) * (F.col("_below") + F.lit(0.5) * F.col("_equal")) / F.col("_all")).drop("_equal", "_below", "_all")
     wide = long.join(hist, [*keys, "_m", "_v"]).groupBy(F.col(row).alias("_row")).agg(*[F.max(F.when(F.col("_m") == i, F.col("_p"))).alias(f"p_{v}") for i, v in enumerate(values)])
     return df.join(wide, F.col(row) == F.col("_row"), "left").drop("_row")
 
@@ -67,7 +66,7 @@ def growth(current: Column, baseline: Column) -> Column:
     return F.when(current.isNull() | baseline.isNull(), F.lit(None)).when(baseline <= 0, empty).otherwise(plain)
 
 
-def order_statistics(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, Column]]) -> DataFrame:
+def order_statistics(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, Column]], **how) -> DataFrame:
     """(keys, one column for each of wanted): the element at a 0-based place among a key's sorted values, nulls left out.
 
     wanted names (value column, place), the place being an expression of _n, the number of values: floor(_n / 2) is the
@@ -76,14 +75,30 @@ def order_statistics(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str
     """
     values = sorted({v for v, _ in wanted.values()})
     long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(v).alias("m"), F.col(v).cast("double").alias("v")) for v in values])).alias("_x"))
-    hist = long.groupBy(*keys, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
-    w = Window.partitionBy(*keys, "_m")
-    some = F.when(F.col("_v").isNotNull(), F.col("_k")).otherwise(0)
-    hist = hist.withColumn("_upto", F.sum(some).over(w.orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum(some).over(w))
-    at = lambda v, place: F.max(F.when((F.col("_m") == v) & F.col("_v").isNotNull() & (F.col("_upto") > place) & (F.col("_upto") - F.col("_k") <= place), F.col("_v")))
+    hist = long.groupBy(*keys, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v")).agg(F.count(F.lit(1)).alias("_rows"))
+    hist = hist.withColumn("_k", F.when(F.col("_v").isNotNull(), F.col("_rows")).otherwise(0))
+    hist = running(hist, [*keys, "_m"], "_v", "_k", **how).withColumnRenamed("_all", "_n")
+    at = lambda v, place: F.max(F.when((F.col("_m") == v) & F.col("_v").isNotNull() & (F.col("_below") <= place) & (F.col("_below") + F.col("_k") > place), F.col("_v")))
     return hist.groupBy(*keys).agg(*[at(v, place).alias(name) for name, (v, place) in wanted.items()])
 
 
+def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], **how) -> DataFrame:
+    """(keys, one column for each of wanted): the quantile p of (value column, p), between the two values around the place
+    (n - 1) p in proportion; the median is that of 0.5. From counts, as order_statistics."""
+    places = {}
+    for name, (v, p) in wanted.items():
+        at = (F.col("_n") - 1) * F.lit(p)
+        places |= {f"_lo_{name}": (v, F.floor(at)), f"_hi_{name}": (v, F.ceil(at))}
+    found = order_statistics(df, keys, places, **how)
+    sizes = df.groupBy(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)]).agg(*[F.count(v).alias(f"_n_{v}") for v in sorted({v for v, _ in wanted.values()})])
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_s{i}"))
+    j = found.join(sizes, same)
+    part = lambda v, p: (F.col(f"_n_{v}") - 1) * F.lit(p) - F.floor((F.col(f"_n_{v}") - 1) * F.lit(p))
+    return j.select(*keys, *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * part(v, p)).alias(n) for n, (v, p) in wanted.items()])
+
+
 def upper_median_at() -> Column:
     """The place of the upper median for order_statistics."""
     return F.floor(F.col("_n") / 2)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.stats import clamp, concentration, half_up, label, low_quantile_at, order_statistics, weighted
+from tidewell.functions.stats import clamp, concentration, half_up, label, low_quantile_at, order_statistics, quantiles, weighted
 from tidewell.operators.graph import components, saved
 from tidewell.operators.identity import claims
 from tidewell.operators.momentum import at
@@ -67,22 +67,29 @@ def evidence(n: Column) -> Column:
     return F.when(n >= PATTERN["high"], "high").when(n >= PATTERN["medium"], "medium").otherwise("low")
 
 
+def _sides(long: DataFrame, group: str, side: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """(group, feature, nv, nc, wanted quantiles) of rows (group, side, feature, x): xv are the values of the side, xc the
+    others'."""
+    two = long.select(group, "feature", F.when(F.col(side), F.col("x")).alias("xv"), F.when(~F.col(side), F.col("x")).alias("xc"))
+    n = two.groupBy(F.col(group).alias("_g"), F.col("feature").alias("_f")).agg(F.count("xv").alias("nv"), F.count("xc").alias("nc"))
+    return quantiles(two, [group, "feature"], wanted).join(n, F.col(group).eqNullSafe(F.col("_g")) & (F.col("feature") == F.col("_f"))).drop("_g", "_f")
+
+
 def continuous_compare(rows: DataFrame, group: str, side: str, values: list[str]) -> DataFrame:
     """(group, feature, medians, quartiles, delta, direction) of continuous features on the two sides."""
     long = rows.select(group, side, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in values])).alias("y")).select(group, side, "y.feature", "y.x").where("x is not null")
-    q = lambda cond: F.percentile(F.when(cond, F.col("x")), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = long.groupBy(group, "feature").agg(q(F.col(side)).alias("v"), q(~F.col(side)).alias("c"), F.count_if(side).alias("nv"), F.count_if(~F.col(side)).alias("nc")).where("nv > 0 and nc > 0")
-    v, c = F.col("v")[1], F.col("c")[1]
+    g = _sides(long, group, side, {"v25": ("xv", 0.25), "v": ("xv", 0.5), "v75": ("xv", 0.75), "c": ("xc", 0.5)}).where("nv > 0 and nc > 0")
+    v, c = F.col("v"), F.col("c")
     ratio = (v - c) / F.when(F.abs(c) > 1e-9, F.abs(c)).otherwise(1.0)
     direction = F.when(ratio > 0.15, "positive").when(ratio < -0.15, "negative").otherwise("none")
-    return g.select(group, "feature", half_up(v, 6).alias("viral_median"), half_up(c, 6).alias("control_median"), half_up(F.col("v")[0], 6).alias("viral_p25"), half_up(F.col("v")[2], 6).alias("viral_p75"), half_up(v - c, 6).alias("delta"), direction.alias("direction"))
+    return g.select(group, "feature", half_up(v, 6).alias("viral_median"), half_up(c, 6).alias("control_median"), half_up(F.col("v25"), 6).alias("viral_p25"), half_up(F.col("v75"), 6).alias("viral_p75"), half_up(v - c, 6).alias("delta"), direction.alias("direction"))
 
 
 def semantic_compare(rows: DataFrame, group: str, side: str, values: list[str], least: int = 3) -> DataFrame:
     """(group, feature, viral_median, control_median, delta, direction) of semantic numbers from 0 to 1; a feature needs
     `least` known values on each side, and a difference of medians over 0.1 to have a direction."""
     long = rows.select(group, side, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in values])).alias("y")).select(group, side, "y.feature", "y.x").where("x is not null")
-    g = long.groupBy(group, "feature").agg(F.median(F.when(F.col(side), F.col("x"))).alias("v"), F.median(F.when(~F.col(side), F.col("x"))).alias("c"), F.count_if(side).alias("nv"), F.count_if(~F.col(side)).alias("nc")).where((F.col("nv") >= least) & (F.col("nc") >= least))
+    g = _sides(long, group, side, {"v": ("xv", 0.5), "c": ("xc", 0.5)}).where((F.col("nv") >= least) & (F.col("nc") >= least))
     d = half_up(F.col("v") - F.col("c"), 6)
     return g.select(group, "feature", half_up(F.col("v"), 6).alias("viral_median"), half_up(F.col("c"), 6).alias("control_median"), d.alias("delta"), F.when(d > 0.1, "positive").when(d < -0.1, "negative").otherwise("none").alias("direction"))
 

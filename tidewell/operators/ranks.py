@@ -25,3 +25,33 @@ def numbered(df: DataFrame, by: list[Column | str], into: str = "_tw_g", parts:
     starts = sizes.select("_tw_task", before.alias("_tw_before"))  # one row a task
     rows = rows.join(F.broadcast(starts), task == F.col("_tw_task"))
     return rows.withColumn(into, F.col("_tw_before") + F.col(into).bitwiseAND(F.lit((1 << _BITS) - 1))).drop("_tw_task", "_tw_before")
+
+
+def running(counts: DataFrame, keys: list[str], by: str, weight: str, few: int = 1_000_000, parts: int | None = None) -> DataFrame:
+    """counts with _below, the sum of weight over the rows of the same keys before each in the order of `by` (nulls
+    first), and _all, that over all rows of the keys. Rows that are equal in keys and `by` must not occur.
+
+    counts is saved first. A few rows are ordered in a window a key. Of more, no task holds a key: rows are dealt out by
+    ranges of keys and `by`, each task sums up its part of a key, and adds what earlier tasks have of it, which is one
+    row for each task and key. The results are the same.
+    """
+    counts = saved(counts)
+    if counts.count() <= few:
+        w = Window.partitionBy(*keys)
+        below = F.sum(weight).over(w.orderBy(F.asc_nulls_first(by)).rowsBetween(Window.unboundedPreceding, -1))
+        return counts.withColumn("_below", F.coalesce(below, F.lit(0))).withColumn("_all", F.sum(weight).over(w))
+    order = [F.asc_nulls_first(c) for c in [*keys, by]]
+    n = parts or int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = saved(counts.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_tw_at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_tw_task", F.shiftright("_tw_at", _BITS))
+    each = rows.groupBy("_tw_task", *keys).agg(F.sum(weight).alias("_tw_sum"))
+    w = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_tw_sum").over(w.orderBy("_tw_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = each.select(F.col("_tw_task").alias("_tw_t"), *[F.col(k).alias(f"_tw_k{i}") for i, k in enumerate(keys)], before.alias("_tw_before"), F.sum("_tw_sum").over(w).alias("_all"))
+    here = Window.partitionBy("_tw_task", *keys).orderBy("_tw_at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_below", F.coalesce(F.sum(weight).over(here), F.lit(0)))
+    same = F.col("_tw_task") == F.col("_tw_t")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_tw_k{i}"))
+    rows = rows.join(each, same).withColumn("_below", F.col("_tw_before") + F.col("_below"))
+    return rows.select(*counts.columns, "_below", "_all")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewell.functions.stats import clamp, growth, half_up, label, order_statistics, percentiles_of, upper_median_at, weighted
 from tidewell.operators.graph import saved
 from tidewell.operators.momentum import METRICS, WEIGHTS, at, point
+from tidewell.operators.ranks import running
 from tidewell.profiles import BURST, LIFECYCLE, TREND
 
 
@@ -106,9 +107,8 @@ def creator_percentile(rows: DataFrame) -> DataFrame:
     """
     keys = ["platform", "author_id"]
     hist = rows.where(F.col("total").isNotNull() & F.col("author_id").isNotNull()).groupBy(*keys, "total").agg(F.count(F.lit(1)).alias("_equal"))
-    w = Window.partitionBy(*keys)
-    below = F.coalesce(F.sum("_equal").over(w.orderBy("total").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    hist = hist.select(F.col("platform").alias("_p"), F.col("author_id").alias("_a"), F.col("total").alias("_t"), below.alias("_below"), "_equal", (F.sum("_equal").over(w) - 1).alias("_others"))
+    hist = running(hist, keys, "total", "_equal")
+    hist = hist.select(F.col("platform").alias("_p"), F.col("author_id").alias("_a"), F.col("total").alias("_t"), "_below", "_equal", (F.col("_all") - 1).alias("_others"))
     j = rows.join(hist, (F.col("platform") == F.col("_p")) & (F.col("author_id") == F.col("_a")) & (F.col("total") == F.col("_t")), "left")
     enough = F.col("_others") >= BURST["creator_min_history"]
     rank = F.lit(100.0) * (F.col("_below") + F.lit(0.5) * (F.col("_equal") - 1)) / F.col("_others")

@@ -98,11 +98,11 @@ def hhi_concentration(spark, sf_dir):
 
 @query("SELECT o_orderpriority AS k, floor(median(o_totalprice) * 1e6 + 0.5) / 1e6 AS middle, list_sort(list(o_totalprice))[1 + CAST(floor(count(*) / 2) AS BIGINT)] AS upper_middle, floor(quantile_cont(o_totalprice, 0.25) * 1e6 + 0.5) / 1e6 AS p25, list_sort(list(o_totalprice))[1 + CAST(floor((count(*) - 1) * 0.75) AS BIGINT)] AS low_p75, floor(stddev_samp(o_totalprice) * 100 + 0.5) / 100 AS spread FROM orders GROUP BY 1")
 def medians_and_quantiles(spark, sf_dir):
-    p = F.col("o_totalprice")
-    g = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("k"))
-    plain = g.agg(A.half_up(F.median(p), 6).alias("middle"), A.half_up(F.percentile(p, 0.25), 6).alias("p25"), A.half_up(F.stddev_samp(p), 2).alias("spread"))
-    by_place = A.order_statistics(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("k"), "o_totalprice"), ["k"], {"upper_middle": ("o_totalprice", A.upper_median_at()), "low_p75": ("o_totalprice", A.low_quantile_at(0.75))})
-    return plain.join(by_place, "k")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("k"), F.col("o_totalprice").alias("p"))
+    spread = o.groupBy("k").agg(A.half_up(F.stddev_samp("p"), 2).alias("spread"))
+    between = A.quantiles(o, ["k"], {"middle": ("p", 0.5), "p25": ("p", 0.25)}).select("k", *[A.half_up(F.col(c), 6).alias(c) for c in ("middle", "p25")])
+    by_place = A.order_statistics(o, ["k"], {"upper_middle": ("p", A.upper_median_at()), "low_p75": ("p", A.low_quantile_at(0.75))})
+    return spread.join(between, "k").join(by_place, "k")
 
 
 def _members(spark, sf_dir, now=NOW):
