@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from tidewell.functions.content import TEMPLATE
 from tidewell.operators.graph import components, saved
+from tidewell.operators.simjoin import sparse_edges
 
 # Fixed values of the text hash: offsets and the prime of FNV-1a.
 FNV_START, FNV_SIGN, FNV_PRIME = 0x811C9DC5, 0x9DC5B117, 0x01000193
@@ -169,10 +170,11 @@ def cohesion(vectors: DataFrame, group: str) -> DataFrame:
     return j.groupBy(group).agg(F.max("members").alias("members"), F.when(F.max("members") == 1, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean))).alias("cohesion"))
 
 
-def clusters(vectors: DataFrame, threshold: float = 0.3, most: int = 24, smallest: int = 3, largest: int = 400, least_cohesion: float = 0.55, step: float = 0.15) -> DataFrame:
+def clusters(vectors: DataFrame, threshold: float = 0.3, most: int = 24, smallest: int = 3, largest: int = 400, least_cohesion: float = 0.55, step: float = 0.15, sparse: bool = False) -> DataFrame:
     """(id, cluster, status): components of the neighbour graph; too few are noise; a giant or an incohesive one is
-    cut once more at a higher threshold, and kept for review if that leaves no cluster."""
-    pairs = saved(neighbours(edges(vectors, threshold, most=most), most))
+    cut once more at a higher threshold, and kept for review if that leaves no cluster. sparse: the vectors are hashed
+    texts, whose pairs are found by prefixes."""
+    pairs = saved(neighbours(sparse_edges(vectors, threshold) if sparse else edges(vectors, threshold, most=most), most))
     first = vectors.join(components(pairs.select("a", "b")), F.col("id") == F.col("node"), "left").select("id", "v", F.coalesce("root", "id").alias("cluster"))
     state = cohesion(first, "cluster").withColumn("bad", (F.col("members") > largest) | (F.col("cohesion") < least_cohesion))
     first = first.join(state.withColumnRenamed("cluster", "_c"), F.col("cluster") == F.col("_c"))

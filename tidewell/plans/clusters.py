@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewell.functions.stats import half_up
 from tidewell.operators import identity as N
 from tidewell.operators import similarity as V
-from tidewell.operators.graph import components
+from tidewell.operators.graph import checkpoint_dir, components
+from tidewell.operators.simjoin import Pivots
 
 from .views import table, text_items
 
@@ -57,6 +60,23 @@ def similar_topk(spark, sf_dir):
     return V.similar(v, asked).select("q", "id", half_up(F.col("sim"), 6).alias("sim"), F.col("r").cast("long").alias("r"))
 
 
+def _pivots(spark, sf_dir):
+    return Pivots(_vectors(spark, sf_dir).select("id", "v"), f"{checkpoint_dir(spark)}/pivots-{uuid.uuid4().hex}", rows_each=200)
+
+
+@query(f"{_E} SELECT a, b, floor(sim * 1e6 + 0.5) / 1e6 AS sim FROM e")
+def similarity_edges_by_pivots(spark, sf_dir):
+    """The same edges from vectors stored by pivot; pairs of pivots that are too far apart never meet."""
+    return _pivots(spark, sf_dir).edges(0.3).select("a", "b", half_up(F.col("sim"), 6).alias("sim"))
+
+
+@query("SELECT q, id, floor(sim * 1e6 + 0.5) / 1e6 AS sim, r FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sim, 9) DESC, id) AS r FROM (SELECT a.vec_id AS q, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)) WHERE r <= 10")
+def similar_topk_by_pivots(spark, sf_dir):
+    """The ten nearest of every hundredth vector, by pivots whose vectors may be near enough."""
+    asked = _vectors(spark, sf_dir).where("id % 100 = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    return _pivots(spark, sf_dir).nearest(asked).select("q", "id", half_up(F.col("sim"), 6).alias("sim"), F.col("r").cast("long").alias("r"))
+
+
 @query("SELECT q, id, floor(sim * 1e6 + 0.5) / 1e6 AS sim, r FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(sim, 9) DESC, id) AS r FROM (SELECT a.vec_id AS q, b.vec_id AS id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND b.label % 2 = 0) WHERE sim >= 0.15) WHERE r <= 5")
 def similar_on_platforms(spark, sf_dir):
     """The five nearest of every hundredth vector among those of some labels, at a cosine of 0.15 or more."""
@@ -173,4 +193,4 @@ def lexical_embedding(spark, sf_dir):
 def lexical_topics(spark, sf_dir):
     """Clusters of the titles' hashed vectors."""
     rows = text_items(spark, sf_dir).select(F.col("item_id").alias("id"), V.lexical_vectors(F.col("title"), 128).alias("v"))
-    return V.clusters(rows, threshold=0.72)
+    return V.clusters(rows, threshold=0.72, sparse=True)
