@@ -6,11 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tidewell.functions import text as T
 from tidewell.functions.stats import half_up
 from tidewell.operators import identity as N
 from tidewell.operators import similarity as V
 from tidewell.operators.graph import checkpoint_dir, components
 from tidewell.operators.simjoin import Pivots
+from tidewell.operators.spaces import Spaces
 
 from .views import table, text_items
 
@@ -184,6 +186,32 @@ def angle_claims(spark, sf_dir):
     return N.claims(pairs, "label", "angle", "angle_id", "members", "sim")
 
 
+_WRITES = """WITH d AS (SELECT vec_id AS id, coalesce(text, '') AS text, embedding[1]::DOUBLE AS x FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
+w AS (SELECT id, text, x, 10 AS t FROM d UNION ALL SELECT id, text || ' revised', -x, 20 FROM d WHERE id % 2 = 0 UNION ALL SELECT id, text, 2 * x, 30 FROM d WHERE id % 4 = 0 UNION ALL SELECT id, text, 3 * x, 30 FROM d WHERE id % 3 = 0 AND id % 2 = 1),
+v AS (SELECT id, text, min(t) AS created_at, max(t) AS updated_at, arg_max(x, t) AS x FROM w GROUP BY 1, 2)"""
+
+
+@query(f"{_WRITES} SELECT id AS item_id, sha256(text) AS text_hash, created_at, updated_at, (SELECT min(t) FROM w WHERE w.id = v.id AND w.t > v.updated_at) AS superseded_at, floor(x * 1e6 + 0.5) / 1e6 AS x, CASE WHEN length(said) > 80 THEN left(said, 80) || '…' ELSE said END AS preview FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS said FROM v) v")
+def vector_versions(spark, sf_dir):
+    """Every version of every vector in the active space after three writes: all items, new texts for even ones, the old
+    texts again for every fourth and new vectors of the same text for some odd ones; with a preview of the text."""
+    spaces = Spaces(spark, f"{checkpoint_dir(spark)}/spaces-{uuid.uuid4().hex}")
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_d"), "text")
+    e = _vectors(spark, sf_dir).join(d, F.col("id") == F.col("_d"), "left")
+    rows = lambda add, by: e.select("id", F.concat(F.coalesce("text", F.lit("")), F.lit(add)).alias("text"), F.transform("v", lambda x: x * F.lit(by).cast("float")).alias("v"))
+    back = rows("", 2).where("id % 4 = 0").union(rows("", 3).where("id % 3 = 0 and id % 2 = 1"))
+    writes = [rows("", 1), rows(" revised", -1).where("id % 2 = 0"), back]
+    digest = F.sha2("text", 256).alias("text_hash")
+    at = spaces.ensure("local", "given", "v1", sample=e.select("v"))
+    spaces.activate(at)
+    for k, w in enumerate(writes):
+        spaces.write(spaces.active(), w.select(F.col("id").alias("item_id"), digest, "v"), 10 * (k + 1))
+    texts = writes[0].union(writes[1]).select(F.col("id").alias("_i"), F.sha2("text", 256).alias("_h"), T.excerpt(F.col("text")).alias("preview"))
+    v = spaces.all().where(F.col("space_id") == at).join(texts, (F.col("item_id") == F.col("_i")) & (F.col("text_hash") == F.col("_h")))
+    when = [F.col(c).cast("int").alias(c) for c in ("created_at", "updated_at", "superseded_at")]
+    return v.select("item_id", "text_hash", *when, half_up(F.get("v", F.lit(0)).cast("double"), 6).alias("x"), "preview")
+
+
 @query()
 def lexical_embedding(spark, sf_dir):
     return text_items(spark, sf_dir).select("item_id", V.lexical_vectors(F.col("text"), 512).alias("v"))

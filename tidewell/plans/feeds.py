@@ -10,6 +10,7 @@ from tidewell.functions import text as T
 from tidewell.operators.graph import checkpoint_dir
 from tidewell.sources import files as S
 from tidewell.streaming import jobs as J
+from tidewell.streaming.collect import Collection
 from tidewell.streaming.state import lateness
 
 from .texts import _CANON
@@ -177,6 +178,25 @@ def stream_topic_lifecycle(spark, sf_dir):
     return J.settled_stream(J.stream(spark, place), lateness(spark, place, "run_at")).drop("last")
 
 
+_PAGED = "WITH p AS (SELECT doc_id, doc_id * 20 // (SELECT max(doc_id) + 1 FROM documents) AS k, CASE WHEN length(trim(text)) > 0 AND n_chars = length(text) AND doc_id % 7 > (doc_id * 20 // (SELECT max(doc_id) + 1 FROM documents)) % 7 THEN 1 ELSE 0 END AS fits FROM documents), s AS (SELECT k, count(*) AS n, avg(fits) >= 0.5 AS good FROM p GROUP BY 1), f AS (SELECT min(k) AS stop FROM s WHERE NOT good)"
+
+
+@query(f"{_PAGED} SELECT k, n, CASE WHEN k < stop THEN 'taken' ELSE 'quarantined' END AS outcome FROM s, f WHERE k <= stop")
+def stream_gate(spark, sf_dir):
+    """documents in twenty pages through the gate in a stream: the first page of which less than half fits stops it and
+    is kept apart. Some ids are taken as drifted, more of them from page to page."""
+    d, place, c = table(spark, sf_dir, "documents"), _place(spark, "pages"), F.col
+    end = d.agg(F.max("doc_id")).first()[0] + 1
+    rows = d.withColumn("k", F.floor(c("doc_id") * 20 / end))
+    for k in range(20):  # a file each, in the order in which they are to come
+        rows.where(c("k") == k).coalesce(1).write.mode("append").parquet(place)
+    valid = (F.length(F.trim("text")) > 0) & (c("n_chars") == F.length("text")) & (c("doc_id") % 7 > c("k") % 7)
+    run = Collection(spark, _place(spark, "collection"), valid)
+    run.run(J.stream(spark, place, 1))
+    counted = lambda df, said: df.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("outcome", F.lit(said))
+    return counted(run.taken("doc_id long, k long"), "taken").union(counted(run.quarantined("doc_id long, k long"), "quarantined"))
+
+
 @query("SELECT page_id, CASE WHEN length(t) > 80 THEN left(t, 80) || '…' ELSE t END AS excerpt FROM (SELECT page_id, trim(regexp_replace(url, '\\s+', ' ', 'g')) AS t FROM pages)")
 def excerpts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.excerpt(F.col("url")).alias("excerpt"))
