@@ -83,6 +83,24 @@ def governed(members: DataFrame, acts: DataFrame) -> DataFrame:
     return j.select("item_id", F.coalesce("_own", F.when(F.col("_space") == F.col("space"), F.col("_whole")), "topic_id").alias("topic_id"), F.col("_own").isNotNull().alias("locked"))
 
 
+def topics_after(topics: DataFrame, acts: DataFrame, members: DataFrame) -> DataFrame:
+    """Topics (topic_id, name) after acts (kind, topic_id, name, at): the last rename counts (a blank one doesn't), the last
+    of watch and unwatch says whether it is watched, and members are counted anew from members (topic_id, item_id).
+    Topics that only members know appear without a name. Columns: topic_id, name, watched, members."""
+    named = acts.where((F.col("kind") == "rename") & (F.trim("name") != "")).groupBy(F.col("topic_id").alias("_n")).agg(F.max_by("name", "at").alias("_name"))
+    watch = acts.where(F.col("kind").isin("watch", "unwatch")).groupBy(F.col("topic_id").alias("_w")).agg((F.max_by("kind", "at") == "watch").alias("_watched"))
+    count = members.groupBy(F.col("topic_id").alias("_m")).agg(F.count_distinct("item_id").alias("_count"))
+    j = topics.join(count, F.col("topic_id") == F.col("_m"), "full").withColumn("topic_id", F.coalesce("topic_id", "_m"))
+    j = j.join(named, F.col("topic_id") == F.col("_n"), "left").join(watch, F.col("topic_id") == F.col("_w"), "left")
+    return j.select("topic_id", F.coalesce("_name", "name").alias("name"), F.coalesce("_watched", F.lit(False)).alias("watched"), F.coalesce("_count", F.lit(0)).alias("members"))
+
+
+def named_or_numbered(rows: DataFrame, asked: str, name: str, number: str) -> DataFrame:
+    """Rows whose author's name or id holds what is asked, in any case."""
+    some = asked.lower()
+    return rows.where(F.coalesce(F.contains(F.lower(F.col(name)), F.lit(some)), F.lit(False)) | F.coalesce(F.contains(F.lower(F.col(number).cast("string")), F.lit(some)), F.lit(False)))
+
+
 def page(rows: DataFrame, keys: list[Column], size: int, number: int = 1) -> DataFrame:
     """A page of rows in the order of keys, with total, how many rows there are in all."""
     total = rows.agg(F.count(F.lit(1)).alias("total"))  # one row

@@ -272,6 +272,29 @@ def last_known_values(spark, sf_dir):
     return O.last_known(e, "user_id", "at", ["value", "failed"])
 
 
+_GOVERNED = "g AS (SELECT item_id, CASE WHEN item_id % 10 = 0 THEN 100 + item_id % 3 WHEN topic_id = 1 THEN 3 ELSE topic_id END AS topic_id FROM (SELECT vec_id AS item_id, label AS topic_id FROM embeddings))"
+
+
+@query(f"WITH {_GOVERNED}, t AS (SELECT DISTINCT label AS topic_id, 'topic ' || label AS name FROM embeddings), n AS (SELECT topic_id, count(*) AS members FROM g GROUP BY 1) SELECT coalesce(t.topic_id, n.topic_id)::BIGINT AS topic_id, CASE WHEN t.topic_id = 4 THEN 'later' WHEN t.topic_id % 2 = 0 THEN 'even ' || t.topic_id ELSE name END AS name, coalesce(t.topic_id % 3 = 0 AND t.topic_id <> 6, false) AS watched, coalesce(members, 0) AS members FROM t FULL JOIN n ON n.topic_id = t.topic_id")
+def topic_governance_topics(spark, sf_dir):
+    """Topics after renames (the last counts, a blank one not), watches, one taken back, and a recount of the members that
+    topic_governance leaves them."""
+    t = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("topic_id")).distinct()
+    act = lambda rows, kind, name, at: rows.select(F.lit(kind).alias("kind"), "topic_id", name.alias("name"), F.lit(at).alias("at"))
+    none = F.lit(None).cast("string")
+    acts = act(t.where("topic_id % 2 = 0"), "rename", F.concat(F.lit("even "), "topic_id"), 1).union(act(t.where("topic_id = 4"), "rename", F.lit("later"), 2)).union(act(t.where("topic_id = 2"), "rename", F.lit(" "), 3))
+    acts = acts.union(act(t.where("topic_id % 3 = 0"), "watch", none, 1)).union(act(t.where("topic_id = 6"), "unwatch", none, 2))
+    return O.topics_after(t.withColumn("name", F.concat(F.lit("topic "), "topic_id")), acts, topic_governance(spark, sf_dir))
+
+
+@query("SELECT o_orderkey AS item_id, c_name AS author FROM orders JOIN customer ON c_custkey = o_custkey WHERE (c_name ILIKE '%77%' OR c_custkey::VARCHAR ILIKE '%77%') AND (o_orderpriority ILIKE '%urg%' OR o_orderstatus ILIKE 'f')")
+def author_and_keyword(spark, sf_dir):
+    """Items by an author's name or id, whichever holds what is asked, and by a keyword in one of several columns."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    rows = o.join(O.named_or_numbered(c, "77", "c_name", "c_custkey"), o.o_custkey == c.c_custkey)
+    return rows.where(F.contains(F.lower("o_orderpriority"), F.lit("urg")) | (F.lower("o_orderstatus") == "f")).select(F.col("o_orderkey").alias("item_id"), F.col("c_name").alias("author"))
+
+
 @query("SELECT CASE WHEN n_chars IS NULL THEN NULL WHEN n_chars % 100 < 34 THEN 'low' WHEN n_chars % 100 < 67 THEN 'medium' ELSE 'high' END AS band, count(*) AS n FROM documents GROUP BY 1")
 def score_bands(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(O.band(F.col("n_chars") % 100).alias("band")).agg(F.count(F.lit(1)).alias("n"))

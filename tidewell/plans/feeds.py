@@ -49,6 +49,16 @@ def source_json(spark, sf_dir):
     return S.read_json(spark, place).select("conv_id", "turn", "role", "text")
 
 
+@query("SELECT doc_id::VARCHAR AS content_id, source AS author_name, CASE WHEN doc_id % 3 = 2 THEN NULL ELSE lang END AS platform FROM documents")
+def source_any_case(spark, sf_dir):
+    """Records of JSON whose keys come in different cases, by one mapping; every third has no language at all."""
+    place, c, k = _place(spark, "cases"), F.col, F.col("doc_id") % 3
+    d = table(spark, sf_dir, "documents").select(c("doc_id").cast("string").alias("i"), "source", "lang", k.alias("k"))
+    pack = lambda i, source, lang=None: F.to_json(F.struct(c("i").alias(i), c("source").alias(source), *([c("lang").alias(lang)] if lang else [])))
+    d.select(F.when(c("k") == 0, pack("docId", "Source", "LANG")).when(c("k") == 1, pack("DOCID", "source", "lang")).otherwise(pack("docid", "SOURCE")).alias("value")).write.text(place)
+    return S.keyed_records(spark.read.text(place), {"content_id": "docId", "author_name": "Source", "platform": "lang"})
+
+
 @query("SELECT source AS envelope, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1")
 def source_envelope(spark, sf_dir):
     """Rows packed into envelopes of a thousand of a source and taken out again."""

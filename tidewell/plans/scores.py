@@ -244,19 +244,23 @@ def runs(spark, sf_dir, clocks=_CLOCKS):
     return out
 
 
-def _runs_sql() -> str:
+#: Clocks at which states change and are confirmed.
+_EVENT_CLOCKS = (dt.datetime(2024, 1, 6), dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 13))
+
+
+def _runs_sql(clocks=_CLOCKS) -> str:
     """WITH s0, s1, s2: the three runs' topic_id, state and score; each holds the runs before it."""
     out = []
-    for k, now in enumerate(_CLOCKS):
+    for k, now in enumerate(clocks):
         earlier = ", ".join(f"(SELECT score FROM s{i} WHERE s{i}.topic_id = trend.topic_id)" for i in range(k))
         history = f"list_filter([{earlier}], lambda x: x IS NOT NULL)" if k else None
         out.append(f"s{k} AS ({trend_sql(now.strftime('%Y-%m-%d'), history)} SELECT topic_id, state, score FROM states)")
     return "WITH " + ", ".join(out)
 
 
-def _settled_sql() -> str:
+def _settled_sql(clocks=_CLOCKS) -> str:
     """The runs folded one after the other: f0, f1, f2 (topic_id, state, pending, confirmations, score, changed)."""
-    out = [_runs_sql(), "f0 AS (SELECT topic_id, state, CAST(NULL AS VARCHAR) AS pending, 0 AS confirmations, score, false AS changed FROM s0)"]
+    out = [_runs_sql(clocks), "f0 AS (SELECT topic_id, state, CAST(NULL AS VARCHAR) AS pending, 0 AS confirmations, score, false AS changed FROM s0)"]
     for k in (1, 2):
         out.append(f"""j{k} AS (SELECT r.topic_id, r.state AS raw, r.score AS now_score, b.state AS was, b.pending AS held, b.confirmations AS n0, b.score AS old_score FROM s{k} r LEFT JOIN f{k - 1} b USING (topic_id)),
 d{k} AS (SELECT *, raw = 'unknown' AS unscored, was IS NULL OR was = 'unknown' AS first_seen, coalesce(raw = was, false) AS same, coalesce(abs(now_score - old_score) >= 25, false) AS jump, CASE WHEN raw = held THEN n0 + 1 ELSE 1 END AS n FROM j{k}),
@@ -276,11 +280,11 @@ def lifecycle_hysteresis(spark, sf_dir):
     return now
 
 
-@query(f"{_settled_sql()} SELECT topic_id, 1 AS run, f0.state AS from_state, f1.state AS to_state, f1.score AS score FROM f1 JOIN f0 USING (topic_id) WHERE f1.changed UNION ALL SELECT topic_id, 2, f1.state, f2.state, f2.score FROM f2 JOIN f1 USING (topic_id) WHERE f2.changed")
+@query(f"{_settled_sql(_EVENT_CLOCKS)} SELECT topic_id, 1 AS run, f0.state AS from_state, f1.state AS to_state, f1.score AS score FROM f1 JOIN f0 USING (topic_id) WHERE f1.changed UNION ALL SELECT topic_id, 2, f1.state, f2.state, f2.score FROM f2 JOIN f1 USING (topic_id) WHERE f2.changed")
 def lifecycle_events(spark, sf_dir):
     """Changes of state, run by run: the events that the detail of a topic lists."""
     now, events = spark.createDataFrame([], "topic_id long, state string, pending string, confirmations int, score double"), []
-    for k, run in enumerate(runs(spark, sf_dir)):
+    for k, run in enumerate(runs(spark, sf_dir, _EVENT_CLOCKS)):
         before, now = now, saved(S.settle(now, run))
         b = before.select("topic_id", F.col("state").alias("from_state"))
         events.append(now.where("changed").join(b, "topic_id").select("topic_id", F.lit(k).alias("run"), "from_state", F.col("state").alias("to_state"), "score"))

@@ -107,6 +107,19 @@ def normalised(df: DataFrame, fields: dict[str, str] | None = None, zone: str |
     )
 
 
+def keyed_records(raw: DataFrame, fields: dict[str, str], text_col: str = "value") -> DataFrame:
+    """Records as JSON text by a mapping (field -> key): a field takes its key's value, or, where a record lacks the key,
+    that of the first key that is the same in another case. All values are texts; what is no JSON object gives nulls."""
+    m = F.from_json(F.col(text_col), "map<string,string>")
+    rows = raw.select(m.alias("_m")).withColumn("_e", F.map_entries("_m"))
+
+    def field(key: str):
+        other = F.get(F.filter("_e", lambda e: F.lower(e["key"]) == key.lower()), F.lit(0))["value"]
+        return F.when(F.map_contains_key("_m", F.lit(key)), F.try_element_at("_m", F.lit(key))).otherwise(other)
+
+    return rows.select(*[field(key).alias(name) for name, key in fields.items()])
+
+
 def export(df: DataFrame, path: str, columns: list[str], allowed: set[str], kind: str = "csv", most: int | None = None) -> dict[str, int | bool]:
     """Writes allowed columns, up to `most` rows if asked, and tells how many rows there are and whether some are left out."""
     if bad := set(columns) - allowed:
