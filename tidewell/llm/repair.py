@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators.ranks import numbered
 
-from .common import bounded_batches, saved
+from .common import bounded_batches, rekeyed, saved
 
 INITIALS = "sua"
 FAULTS = ("", "blank", "duplicate", "truncated")
@@ -200,8 +200,8 @@ def coded(rows: DataFrame, chunk: int) -> DataFrame:
     order = [F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), "role", "h1", "h2", F.monotonically_increasing_id()]
     narrow = numbered(narrow.withColumn("_tw_row", order.pop()), [*order, F.col("_tw_row")], "g").drop("_tw_row")
     seen = narrow.where("not blank").groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.min("g").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # a text that fills a conversation is one key here; adaptive execution deals it out
-    told = narrow.join(seen, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
+    # a text that fills a conversation is one key here; both sides are dealt out anew, so adaptive execution may split it
+    told = narrow.join(rekeyed(seen, "_h1"), (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
     fault = F.when(F.col("blank"), 1).when(F.coalesce(F.col("least") < F.col("g"), F.lit(False)), 2).when(F.col("late"), 3).otherwise(0)
     initial = F.coalesce(F.array_position(F.array(*[F.lit(c) for c in INITIALS]), F.substring("role", 1, 1)), F.lit(0))
     initial = F.when(initial > 0, initial - 1).otherwise(3)
