@@ -136,3 +136,15 @@ def test_repaired_rows(spark):
     _, fixed = repair.edits(spark.createDataFrame(rows, SCHEMA))
     # two insertions cost what two new roles cost, and I comes before R
     assert [(r["role"], r["text"]) for r in fixed.orderBy("conv", "g", "place").collect()] == [("user", ""), ("assistant", "Hello."), ("user", "Why?"), ("assistant", "")]
+
+
+def test_oracle_by_brute_force(spark):
+    """The SQL, too, equals the plain programme, on rows that try every fault and role."""
+    import duckdb
+
+    rows = [r for r in made(5) if r[0] is not None]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    got = con.execute(repair.ORACLE).fetchall()
+    assert sorted(got, key=str) == expected(rows)

@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE, "op7_source_mixing": mixing.ORACLE, "op11_chat_formatting": chat.ORACLE, "op12_hard_negatives": negatives.ORACLE}
+    return {"op2_exact_dedup": exact_dedup.ORACLE, "op7_source_mixing": mixing.ORACLE, "op11_chat_formatting": chat.ORACLE, "op12_hard_negatives": negatives.ORACLE, "op13_conversation_repair": repair.ORACLE}

@@ -313,3 +313,66 @@ def repair_report(conversations: DataFrame, chunk: int = 4096) -> DataFrame:
     all_ = all_.join(gaps, F.col("conv_id").eqNullSafe(F.col("_gid")), "left").join(per, F.col("conv_id").eqNullSafe(F.col("_pid")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return all_.select("conv_id", *[zero(c) for c in ("gaps", *FAULTS[1:], "illegal", "cost")], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def _oracle() -> str:
+    """The same by recursion over rows in DuckDB: a state holds its cost in nine digits and its audit, so that the least
+    text is the least audit of the least cost; a second recursion reads the rows off the audit."""
+    add = lambda key, cost, letter: f"printf('%09d', CAST(left({key}, 9) AS BIGINT) + {cost}) || substr({key}, 10) || '{letter}'"
+    put = lambda key: add(key, INSERT, "I")
+    inserted = f"*, least(c3, {put('c2')}) AS d3 FROM (SELECT *, least(s2, {put('s0')}, {put('s1')}, {put('s3')}) AS c2, s3 AS c3 FROM"
+    keep = lambda key: add(key, "late", "K")
+    rerole = lambda key: add(key, f"{REROLE} + late", "R")
+    when = lambda test, value: f"CASE WHEN {test} THEN {value} END"
+    to_u = lambda edit: f"least({edit('s0')}, {edit('s1')}, {edit('d3')})"
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, conv_id::VARCHAR AS c, turn::VARCHAR AS t FROM conversations),
+z AS (SELECT unnest(range(256))::BIGINT AS i),
+z8 AS (SELECT i, list_reduce([i, 1, 1, 1, 1, 1, 1, 1, 1], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS v FROM z),
+crcs AS (SELECT list(v ORDER BY i) AS v FROM z8),
+k AS (SELECT d.*, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(c, ' ') || ':' || coalesce(t, ' '), ''), lambda x: ord(x)::BIGINT)), lambda a, b: xor(a // 256, crcs.v[xor(a, b) % 256 + 1])), 4294967295) % 20 AS kind FROM d, crcs),
+e AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM k, range(2) rep(n) WHERE kind <> 0 AND n < CASE WHEN kind = 3 THEN 2 ELSE 1 END),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, regexp_extract(text, '[^\\x20\\x09-\\x0D](?:[\\x20\\x09-\\x0D]*)$') AS last FROM e),
+f AS (
+  SELECT *, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN last[1] NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS was
+  FROM r),
+g AS (SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS goes, CASE WHEN fault = 'truncated' THEN {TRUNCATED} ELSE 0 END AS late FROM f),
+s AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, '000000000' AS s0, NULL::VARCHAR AS s1, NULL::VARCHAR AS s2, NULL::VARCHAR AS s3 FROM g
+  UNION ALL
+  SELECT conv_id, i, {add('s0', DELETE, 'D')},
+    least({add('s1', DELETE, 'D')}, {when("NOT goes AND ini = 's'", keep('s0'))}),
+    least({add('d2', DELETE, 'D')}, {when("NOT goes AND ini = 'u'", to_u(keep))}, {when("NOT goes", to_u(rerole))}),
+    least({add('d3', DELETE, 'D')}, {when("NOT goes AND ini = 'a'", keep('d2'))}, {when("NOT goes", rerole('d2'))})
+  FROM (SELECT *, least(c2, {put('d3')}) AS d2 FROM (SELECT {inserted} (SELECT s.s0, s.s1, s.s2, s.s3, g.* FROM s JOIN g ON g.conv_id IS NOT DISTINCT FROM s.conv_id AND g.i = s.i + 1))))),
+n AS (SELECT conv_id, count(*) AS n FROM g GROUP BY 1),
+best AS (
+  SELECT conv_id, CAST(left(w, 9) AS BIGINT) AS cost, substr(w, 10) AS audit
+  FROM (SELECT conv_id, least(s0, d3) AS w FROM (SELECT {inserted} (SELECT s.* FROM s JOIN n ON n.conv_id IS NOT DISTINCT FROM s.conv_id AND n.n = s.i))))),
+walk AS (
+  SELECT conv_id, audit, 0 AS p, 0::BIGINT AS i, '' AS state, ''::VARCHAR AS said FROM best
+  UNION ALL
+  SELECT conv_id, audit, p, i, CASE letter WHEN 'D' THEN state WHEN 'K' THEN ini ELSE put[1] END,
+    CASE letter WHEN 'D' THEN said ELSE said || CASE WHEN said = '' THEN '' ELSE chr(10) END || CASE letter WHEN 'K' THEN role || ':' || text WHEN 'R' THEN put || ':' || text ELSE put || ':' END END
+  FROM (
+    SELECT x.*, g.ini, g.role, g.text, CASE WHEN x.state = 'u' THEN 'assistant' ELSE 'user' END AS put
+    FROM (SELECT conv_id, audit, p + 1 AS p, i + CASE WHEN audit[p + 1] = 'I' THEN 0 ELSE 1 END AS i, audit[p + 1] AS letter, state, said FROM walk WHERE p < length(audit)) x
+    LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM x.conv_id AND g.i = x.i)),
+fixed AS (SELECT conv_id, said FROM walk WHERE p = length(audit)),
+faults AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND was || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM g GROUP BY 1)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN faults ON faults.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN fixed ON fixed.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
+ORACLE = _oracle()
