@@ -297,6 +297,18 @@ def test_evidence_keeps_to_its_budget(spark):
     assert all(r.kept for r in O.evidence({"burst": (rows(3, 10), 3)}, 30).collect())
 
 
+def test_evidence_is_trimmed_in_stages(spark):
+    rows = lambda n, size, topic=1: spark.createDataFrame([(topic, f"{k}" * size, (k,)) for k in range(n)], "topic_id long, line string, k struct<a: int>")
+    parts = {"burst": (rows(3, 200), 5), "representative": (rows(4, 10), 5), "pattern": (rows(9, 10), 8), "angle": (rows(3, 10), 5)}
+    sizes = lambda budget: {(r.kept, r.over): r.n for r in O.staged_evidence(parts, budget).groupBy("kept", "over").agg(F.sum(F.length("line")).alias("n")).collect()}
+    assert sizes(750) == {(True, False): 750}  # eight of nine patterns at most
+    assert sizes(393) == {(True, False): 393}  # excerpts of 81
+    assert sizes(392) == {(True, False): 373, (False, False): 20}  # half the representatives
+    said = {r.ref_id: (r.kept, r.trimmed) for r in O.staged_evidence(parts, 201).collect()}
+    assert {k for k, v in said.items() if v[0]} == {"burst-1", "representative-1", *[f"pattern-{k}" for k in range(1, 9)], "angle-1", "angle-2", "angle-3"} and said["burst-2"] == (False, True) and said["angle-1"] == (True, False)
+    assert sizes(100)[False, True] and {r.kept for r in O.staged_evidence(parts, 100).where("ref_id in ('burst-1', 'pattern-2', 'angle-1')").collect()} == {True}
+
+
 def test_import_of_a_chain(spark):
     """Two rows that share an id, of which one shares its URL with a third, are one item; a stored id comes before a URL."""
     existing = spark.createDataFrame([(7, "p", "1", "u1"), (8, "p", "2", "u2")], "item_id long, platform string, content_id string, canonical string")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,6 +164,49 @@ def evidence(parts: dict[str, tuple[DataFrame, int]], budget: int = 12_000) -> D
     return out.select("topic_id", "ref_id", "line", ((F.col("all") <= budget) | (F.sum("chars").over(order) <= budget)).alias("kept"))
 
 
+#: How an evidence bundle that is too long is cut down, step by step: parts lose their lower half until so few are left.
+TRIMMING = (("representative", 1), ("burst", 1), ("pattern", 2), ("angle", 1))
+
+
+def staged_evidence(parts: dict[str, tuple[DataFrame, int]], budget: int | Column = 12_000, excerpt: int = 80) -> DataFrame:
+    """The evidence bundle of each topic, trimmed in stages: topic_id, ref_id, line, kept, trimmed, over.
+
+    parts: name -> (topic_id, line, rank columns as a sortable struct `k`), how many at most; budget may depend on
+    topic_id. While a topic's lines are
+    longer than the budget, bursts are first cut to an excerpt, then parts are halved in the order of TRIMMING, each
+    until its least number is reached; what is dropped keeps its line with kept false. trimmed says whether anything of the
+    part was cut, over whether the bundle is too long even so. A topic's lines, `most` of each part, are one small group.
+    """
+    out = None
+    for i, (name, (rows, most)) in enumerate(parts.items()):
+        w = Window.partitionBy("topic_id").orderBy("k")
+        some = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("topic_id", F.lit(name).alias("part"), "r", "line")
+        out = some if out is None else out.unionByName(some)
+    kind, out = dict(out.dtypes)["topic_id"], out.withColumn("budget", budget if isinstance(budget, Column) else F.lit(budget))
+
+    def trim(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, most = pdf.sort_values(["part", "r"]).reset_index(drop=True), pdf["budget"].iloc[0]
+        lines = {name: mine["line"].tolist() for name, mine in pdf.groupby("part")}
+        n = {name: len(mine) for name, mine in lines.items()}
+        short = [f"{x[:excerpt]}…" if len(x) > excerpt + 1 else x for x in lines.get("burst", [])]
+        cut = False
+        size = lambda: sum(len(x) for name, mine in lines.items() for x in (short if cut and name == "burst" else mine)[: n[name]])
+        while size() > most:
+            if not cut and short != lines.get("burst", []):
+                cut = True
+                continue
+            part = next((name for name, least in TRIMMING if n.get(name, 0) > least), None)
+            if part is None:
+                break
+            n[part] = -(-n[part] // 2)
+        kept = pdf["r"] <= pdf["part"].map(n)
+        line = [short[r - 1] if cut and p == "burst" else x for p, r, x in zip(pdf["part"], pdf["r"], pdf["line"])]
+        trimmed = pdf["part"].map(lambda p: n[p] < len(lines[p]) or (cut and p == "burst"))
+        return pd.DataFrame({"topic_id": pdf["topic_id"], "ref_id": pdf["part"] + "-" + pdf["r"].astype(str), "line": line, "kept": kept, "trimmed": trimmed, "over": size() > most})
+
+    return out.groupBy("topic_id").applyInPandas(trim, f"topic_id {kind}, ref_id string, line string, kept boolean, trimmed boolean, over boolean")
+
+
 def unknown_refs(refs: DataFrame, known: DataFrame) -> DataFrame:
     """References (topic_id, ref_id) that the topic's evidence (topic_id, ref_id) does not have."""
     return refs.distinct().join(known.select("topic_id", "ref_id").distinct(), ["topic_id", "ref_id"], "left_anti")

@@ -170,6 +170,14 @@ def cohesion(vectors: DataFrame, group: str) -> DataFrame:
     return j.groupBy(group).agg(F.max("members").alias("members"), F.when(F.max("members") == 1, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean))).alias("cohesion"))
 
 
+def representatives(vectors: DataFrame, group: str, most: int = 5) -> DataFrame:
+    """(group, id, sim, r): each group's members nearest to its centroid, ties (to nine digits) by id."""
+    c = centroids(vectors, group).withColumnRenamed(group, "_g")
+    j = vectors.join(c, F.col(group) == F.col("_g")).withColumn("sim", F.round(cosine(F.col("v").cast("array<double>"), F.col("centroid")), 9))
+    w = Window.partitionBy(group).orderBy(F.desc("sim"), "id")
+    return j.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select(group, "id", "sim", "r")
+
+
 def clusters(vectors: DataFrame, threshold: float = 0.3, most: int = 24, smallest: int = 3, largest: int = 400, least_cohesion: float = 0.55, step: float = 0.15, sparse: bool = False) -> DataFrame:
     """(id, cluster, status): components of the neighbour graph; too few are noise; a giant or an incohesive one is
     cut once more at a higher threshold, and kept for review if that leaves no cluster. sparse: the vectors are hashed

@@ -331,6 +331,46 @@ def evidence_package(spark, sf_dir):
     return O.evidence({"burst": (bursts, 5), "pattern": (patterns, 8), "angle": (angles, 5)}, 200)
 
 
+_REPS = "flat AS (SELECT vec_id, label, pos, embedding[pos]::DOUBLE AS x FROM embeddings, range(1, 65) t(pos)), mid AS (SELECT label, list(x ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS x FROM flat GROUP BY 1, 2) GROUP BY 1), rep AS (SELECT label AS topic_id, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], c), 9) AS sim, row_number() OVER (PARTITION BY label ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], c), 9) DESC, vec_id) AS r FROM embeddings JOIN mid USING (label))"
+
+
+@query(f"WITH {_REPS} SELECT topic_id, id, floor(sim * 1e6 + 0.5) / 1e6 AS sim, r FROM rep WHERE r <= 5")
+def topic_representatives(spark, sf_dir):
+    """The five vectors nearest to the centroid of each label."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("label").alias("topic_id"), F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return V.representatives(v, "topic_id").select("topic_id", "id", half_up(F.col("sim"), 6).alias("sim"), F.col("r").cast("long").alias("r"))
+
+
+@query(f"""WITH RECURSIVE {_REPS}, m AS (SELECT label AS topic_id, d.* FROM documents d JOIN embeddings ON vec_id = doc_id),
+l AS (SELECT topic_id, 'burst' AS part, row_number() OVER (PARTITION BY topic_id ORDER BY n_chars DESC, doc_id) AS r, doc_id || ' ' || left(text, 40 + doc_id % 120) AS line, 5 AS most FROM m
+  UNION ALL SELECT topic_id, 'representative', r, id || ' at ' || CAST(floor(sim * 1000) AS INT), 5 FROM rep
+  UNION ALL SELECT topic_id, 'pattern', row_number() OVER (PARTITION BY topic_id ORDER BY count(*) DESC, source), source || ' ' || count(*), 8 FROM m GROUP BY topic_id, source
+  UNION ALL SELECT topic_id, 'angle', row_number() OVER (PARTITION BY topic_id ORDER BY count(*) DESC, lang), lang || ' ' || count(*), 5 FROM m GROUP BY topic_id, lang),
+k AS (SELECT *, CASE WHEN part = 'burst' AND length(line) > 81 THEN left(line, 80) || '…' ELSE line END AS short FROM l WHERE r <= most),
+a AS (SELECT topic_id, {', '.join(f"coalesce(list(length({line}) ORDER BY r) FILTER (part = '{part}'), []) AS {name}" for name, part, line in (("lb", "burst", "line"), ("sb", "burst", "short"), ("lr", "representative", "line"), ("lp", "pattern", "line"), ("la", "angle", "line")))}, 250 + topic_id * 30 AS budget FROM k GROUP BY 1),
+t AS (
+  SELECT topic_id, 0 AS step, false AS cut, len(lb) AS nb, len(lr) AS nr, len(lp) AS np, len(la) AS na FROM a
+  UNION ALL
+  SELECT topic_id, step + 1, cut OR can, CASE WHEN NOT can AND nr <= 1 AND nb > 1 THEN (nb + 1) // 2 ELSE nb END, CASE WHEN NOT can AND nr > 1 THEN (nr + 1) // 2 ELSE nr END,
+    CASE WHEN NOT can AND nr <= 1 AND nb <= 1 AND np > 2 THEN (np + 1) // 2 ELSE np END, CASE WHEN NOT can AND nr <= 1 AND nb <= 1 AND np <= 2 AND na > 1 THEN (na + 1) // 2 ELSE na END
+  FROM (SELECT t.*, NOT cut AND lb <> sb AS can, coalesce(list_sum((CASE WHEN cut THEN sb ELSE lb END)[1:nb]), 0) + coalesce(list_sum(lr[1:nr]), 0) + coalesce(list_sum(lp[1:np]), 0) + coalesce(list_sum(la[1:na]), 0) AS size, budget FROM t JOIN a USING (topic_id))
+  WHERE size > budget AND (can OR nr > 1 OR nb > 1 OR np > 2 OR na > 1)),
+z AS (SELECT t.*, lb, sb, lr, lp, la, coalesce(list_sum((CASE WHEN cut THEN sb ELSE lb END)[1:nb]), 0) + coalesce(list_sum(lr[1:nr]), 0) + coalesce(list_sum(lp[1:np]), 0) + coalesce(list_sum(la[1:na]), 0) > budget AS over FROM t JOIN a USING (topic_id) WHERE step = (SELECT max(step) FROM t u WHERE u.topic_id = t.topic_id)),
+n AS (SELECT k.*, z.over, z.cut, CASE part WHEN 'burst' THEN nb WHEN 'representative' THEN nr WHEN 'pattern' THEN np ELSE na END AS n, CASE part WHEN 'burst' THEN len(lb) WHEN 'representative' THEN len(lr) WHEN 'pattern' THEN len(lp) ELSE len(la) END AS had FROM k JOIN z USING (topic_id))
+SELECT topic_id, part || '-' || r AS ref_id, CASE WHEN cut AND part = 'burst' THEN short ELSE line END AS line, r <= n AS kept, n < had OR (cut AND part = 'burst') AS trimmed, over FROM n""")
+def evidence_staged(spark, sf_dir):
+    """Evidence of each label's documents within a budget of its own, trimmed in stages."""
+    c, label = F.col, F.col("label").alias("topic_id")
+    e = table(spark, sf_dir, "embeddings")
+    m = table(spark, sf_dir, "documents").join(e.select("vec_id", label), c("doc_id") == c("vec_id"))
+    bursts = m.select("topic_id", F.concat(c("doc_id").cast("string"), F.lit(" "), F.left("text", (40 + c("doc_id") % 120).cast("int"))).alias("line"), F.struct((-c("n_chars")).alias("a"), c("doc_id").alias("b")).alias("k"))
+    reps = V.representatives(e.select(label, c("vec_id").alias("id"), c("embedding").alias("v")), "topic_id")
+    reps = reps.select("topic_id", F.concat_ws(" at ", c("id").cast("string"), F.floor(c("sim") * 1000).cast("string")).alias("line"), F.struct(c("r").alias("a")).alias("k"))
+    counted = lambda by: m.groupBy("topic_id", by).agg(F.count(F.lit(1)).alias("n")).select("topic_id", F.concat_ws(" ", by, "n").alias("line"), F.struct((-c("n")).alias("a"), c(by).alias("b")).alias("k"))
+    parts = {"burst": (bursts, 5), "representative": (reps, 5), "pattern": (counted("source"), 8), "angle": (counted("lang"), 5)}
+    return O.staged_evidence(parts, F.lit(250) + c("topic_id") * 30)  # budgets differ, so that every stage occurs
+
+
 @query("SELECT DISTINCT vec_id % 10 AS topic_id, 'angle-' || vec_id % 8 AS ref_id FROM embeddings WHERE vec_id % 8 NOT BETWEEN 1 AND 5")
 def unknown_evidence_refs(spark, sf_dir):
     """References to evidence that a topic does not have; each has angles 1 to 5."""
