@@ -164,6 +164,28 @@ def evidence(parts: dict[str, tuple[DataFrame, int]], budget: int = 12_000) -> D
     return out.select("topic_id", "ref_id", "line", ((F.col("all") <= budget) | (F.sum("chars").over(order) <= budget)).alias("kept"))
 
 
+def analysis_status(items: DataFrame, vectors: DataFrame, members: DataFrame, scores: DataFrame, trends: DataFrame) -> DataFrame:
+    """One row on how far the analysis is, every count by the rule of the step that needs it.
+
+    items (item_id, source, made, captured_at, published_at, author_id, likes): made marks demonstration data. vectors
+    (item_id): the live ones of the active space. members (item_id, topic_id), scores (item_id, score), trends (topic_id,
+    score): a null score counts as not scored. next_step names the first of collect, embed, cluster, score, trend that is
+    not complete, or is null. One aggregate a table and two anti joins.
+    """
+    c = F.col
+    n = items.agg(F.count(F.lit(1)).alias("contents"), F.count_distinct("source").alias("sources"), F.count_if("made").alias("_made"), F.max("captured_at").alias("latest"), F.count_if(c("published_at").isNull()).alias("without_time"), F.count_if(c("author_id").isNull()).alias("without_author"), F.count_if(c("likes").isNull()).alias("without_metric"))
+    lacking = lambda other, name: items.select("item_id").join(other.select(c("item_id").alias("_o")).distinct(), c("item_id") == c("_o"), "left_anti").agg(F.count(F.lit(1)).alias(name))
+    topics = members.agg(F.count_distinct("topic_id").alias("topics"))
+    scored = scores.agg(F.count("score").alias("scored"))
+    trended = trends.agg(F.count("score").alias("trended"))
+    j = n
+    for one in (lacking(vectors, "pending"), lacking(members, "unclustered"), topics, scored, trended):
+        j = j.join(F.broadcast(one))  # one row each
+    share = lambda part, whole: F.when(whole > 0, F.floor(part * 1000 / whole + 0.5) / 10)
+    step = F.when(c("contents") == 0, "collect").when(c("pending") > 0, "embed").when(c("topics") == 0, "cluster").when(c("scored") == 0, "score").when(c("trended") < c("topics"), "trend")
+    return j.select("contents", "sources", share(c("_made"), c("contents")).alias("made_share"), "latest", "without_time", "without_author", "without_metric", (c("contents") - c("pending")).alias("embedded"), "pending", "unclustered", "topics", share(c("scored"), c("contents")).alias("scored_share"), share(c("trended"), c("topics")).alias("trended_share"), step.alias("next_step"))
+
+
 #: How an evidence bundle that is too long is cut down, step by step: parts lose their lower half until so few are left.
 TRIMMING = (("representative", 1), ("burst", 1), ("pattern", 2), ("angle", 1))
 

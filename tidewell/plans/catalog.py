@@ -331,6 +331,24 @@ def evidence_package(spark, sf_dir):
     return O.evidence({"burst": (bursts, 5), "pattern": (patterns, 8), "angle": (angles, 5)}, 200)
 
 
+@query(f"""{_TREND}, i AS (SELECT item_id, platform AS source, item_id % 5 = 0 AS made, (SELECT max(captured_at) FROM m1_snapshots n WHERE n.item_id = m1_items.item_id) AS captured_at, CASE WHEN item_id % 6 > 0 THEN published_at END AS published_at, CASE WHEN author_id % 3 > 0 THEN author_id END AS author_id, (SELECT arg_max(likes, captured_at) FROM m1_snapshots n WHERE n.item_id = m1_items.item_id) AS likes, topic_id FROM m1_items),
+q AS (SELECT count(*) AS contents, count(DISTINCT source) AS sources, count(*) FILTER (made) AS made, max(captured_at) AS latest, count(*) FILTER (published_at IS NULL) AS without_time, count(*) FILTER (author_id IS NULL) AS without_author, count(*) FILTER (likes IS NULL) AS without_metric, count(*) FILTER (item_id NOT IN (SELECT vec_id FROM embeddings)) AS pending, count(*) FILTER (topic_id = 7) AS unclustered, count(DISTINCT CASE WHEN topic_id <> 7 THEN topic_id END) AS topics FROM i),
+u AS (SELECT (SELECT count(score) FROM burst) AS scored, (SELECT count(score) FROM trend WHERE topic_id <> 7) AS trended)
+SELECT contents, sources, CASE WHEN contents > 0 THEN floor(made * 1000 / contents::DOUBLE + 0.5) / 10 END AS made_share, latest, without_time, without_author, without_metric, contents - pending AS embedded, pending, unclustered, topics, CASE WHEN contents > 0 THEN floor(scored * 1000 / contents::DOUBLE + 0.5) / 10 END AS scored_share, CASE WHEN topics > 0 THEN floor(trended * 1000 / topics::DOUBLE + 0.5) / 10 END AS trended_share,
+  CASE WHEN contents = 0 THEN 'collect' WHEN pending > 0 THEN 'embed' WHEN topics = 0 THEN 'cluster' WHEN scored = 0 THEN 'score' WHEN trended < topics THEN 'trend' END AS next_step FROM q, u""")
+def analysis_status(spark, sf_dir):
+    """How far the analysis of the event items is: vectors of the same ids, topics but for the seventh, burst and trend
+    scores; a fifth of the items are taken as demonstration data."""
+    c = F.col
+    items, snapshots = saved(event_items(spark, sf_dir)), saved(event_snapshots(spark, sf_dir))
+    last = snapshots.groupBy(c("item_id").alias("_i")).agg(F.max("captured_at").alias("captured_at"), F.max_by("likes", "captured_at").alias("likes"))
+    rows = items.join(last, c("item_id") == c("_i"), "left").select("item_id", c("platform").alias("source"), (c("item_id") % 5 == 0).alias("made"), "captured_at", F.when(c("item_id") % 6 > 0, c("published_at")).alias("published_at"), F.when(c("author_id") % 3 > 0, c("author_id")).alias("author_id"), "likes")
+    vectors = table(spark, sf_dir, "embeddings").select(c("vec_id").alias("item_id"))
+    bursts = S.burst(items, snapshots, NOW, UPVOTING)
+    trends = S.topic_trend(items, snapshots, bursts, NOW, UPVOTING).where("topic_id <> 7")
+    return O.analysis_status(rows, vectors, items.where("topic_id <> 7").select("item_id", "topic_id"), bursts, trends)
+
+
 _REPS = "flat AS (SELECT vec_id, label, pos, embedding[pos]::DOUBLE AS x FROM embeddings, range(1, 65) t(pos)), mid AS (SELECT label, list(x ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS x FROM flat GROUP BY 1, 2) GROUP BY 1), rep AS (SELECT label AS topic_id, vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], c), 9) AS sim, row_number() OVER (PARTITION BY label ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], c), 9) DESC, vec_id) AS r FROM embeddings JOIN mid USING (label))"
 
 
