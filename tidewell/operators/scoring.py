@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.stats import clamp, growth, half_up, label, order_statistics, percentiles_of, upper_median_at, weighted
 from tidewell.operators.graph import saved
-from tidewell.operators.momentum import METRICS, WEIGHTS, at, point
+from tidewell.operators.momentum import WEIGHTS, at, point
 from tidewell.operators.ranks import running
 from tidewell.profiles import BURST, LIFECYCLE, TREND
 

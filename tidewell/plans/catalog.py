@@ -20,7 +20,7 @@ from tidewell.operators.graph import checkpoint_dir, saved
 from tidewell.operators.ingest import Imports
 from tidewell.profiles import TREND
 
-from .intelligence import _TOPIC_LIFT, _F, _angles, _angles_sql, _members
+from .intelligence import _TOPIC_LIFT, _F, _angles, _angles_sql
 from .scores import _PARTS, _TREND, _trend, runs, _runs_sql
 from .texts import _CANON, _FP, _printed
 from .views import EVENTS_SQL, NOW, UPVOTING, event_items, event_snapshots, table
