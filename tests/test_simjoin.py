@@ -133,3 +133,30 @@ def test_hashed_vector_by_hand():
     for word, weight in (("w:spark", 2.0), ("w:joins", 4.0), ("u:好", 0.5)):
         want[fnv(word, 2166136261) % 512] += weight if fnv(word, 0x9DC5B117) % 2 == 0 else -weight
     assert np.allclose(V.hashed_vector("Spark joins, joins 好", 512), want / np.linalg.norm(want))
+
+
+def test_clusters_pair_no_copies_and_keep_every_row(spark):
+    """Forty copies are one node that counts forty times; null, zero and endless vectors are noise and stay."""
+    rows = [(k, [1.0, 0.0]) for k in range(40)] + [(50, [0.95, 0.1]), (60, None), (61, [0.0, 0.0]), (62, [0.0, 0.0]), (63, [0.0, 0.0]), (64, [float("inf"), 1.0]), (70, [0.0, 1.0])]
+    got = {r.id: (r.cluster, r.status) for r in V.clusters(spark.createDataFrame(rows, "id long, v array<double>"), 0.7).collect()}
+    assert got == {k: (0, "active") for k in [*range(40), 50]} | {k: (k, "noise") for k in (60, 61, 62, 63, 64, 70)}
+    giant = {r.id: (r.cluster, r.status) for r in V.clusters(spark.createDataFrame(rows, "id long, v array<double>"), 0.7, largest=30, step=0.299).collect()}
+    assert {giant[k] for k in range(40)} == {(0, "active")} and giant[50] == (0, "noise")  # the copies stay one cluster when it is cut
+
+
+def test_joined_edges_join_the_same(spark):
+    from tidewell.operators.graph import components
+
+    rows = spark.createDataFrame([(k, v) for k, v in dense(5, n=400, dim=16, spread=0.6)], "id long, v array<double>")
+    roots = lambda e: {r.node: r.root for r in components(e.select("a", "b")).collect()}
+    all_, few = V.edges(rows, 0.5, block=90), V.edges(rows, 0.5, block=90, joined=True)
+    assert roots(all_) == roots(few) and few.count() < all_.count()
+
+
+def test_cut_forgets_how_large_its_plan_was(spark):
+    from tidewell.operators.graph import cut
+
+    df = spark.range(50).toDF("x")
+    for _ in range(12):  # as checkpoints, the size told for the last of these has thousands of digits
+        df = cut(df.join(df.withColumnRenamed("x", "y"), F.col("x") == F.col("y")).select("x"))
+    assert df.count() == 50 and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1_000_000

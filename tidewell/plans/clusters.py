@@ -50,7 +50,7 @@ def neighbor_topk(spark, sf_dir):
 @query(f"{_E}, reach AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT both_ways.b, reach.root FROM reach JOIN both_ways ON both_ways.a = reach.id) SELECT id, min(root) AS component FROM reach GROUP BY 1")
 def connected_components(spark, sf_dir):
     v = _vectors(spark, sf_dir).select("id", "v")
-    roots = components(V.edges(v, 0.3).select("a", "b"))
+    roots = components(V.edges(v, 0.3, joined=True).select("a", "b"))
     return v.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
