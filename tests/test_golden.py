@@ -388,3 +388,14 @@ def test_plans_push_down(spark):
     df = spark.read.parquet(f"{SMALL}/events.parquet").where("user_id = 3").select("user_id", "value")
     plan = df._jdf.queryExecution().toString()
     assert "EqualTo(user_id,3)" in plan and "ReadSchema: struct<user_id:bigint,value:double>" in plan
+
+
+def test_ages_count_fractions_of_a_second(spark):
+    """Published within the second after the bound of an age class, an item is younger than the bound."""
+    t = [dt.datetime(2024, 1, 1, 0, 0, 0, k) for k in (0, 1, 999_999)]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(t)], "k long, t timestamp")
+    assert [r.age for r in rows.select("k", S.age_bucket(F.col("t"), NOW).alias("age")).orderBy("k").collect()] == ["30d+", "7-30d", "7-30d"]
+    trend = rows.selectExpr("k AS topic_id", "40L AS members", "t AS since", "50.0D AS score", "5L AS recent_new", "0L AS baseline_new", "2L AS creators", "1L AS baseline_creators", "0.0D AS density")
+    assert [r.state for r in S.lifecycle(trend, NOW).orderBy("topic_id").collect()] == ["evergreen", "evergreen", "evergreen"]
+    age = lambda now: [r.state for r in S.lifecycle(trend.withColumn("score", F.lit(56.0)), now).orderBy("topic_id").collect()]
+    assert age(NOW) == ["evergreen", "rising", "rising"]
