@@ -82,3 +82,13 @@ def test_best_snippets(spark):
     df = spark.createDataFrame(docs, DOCS)
     got = {r.item_id: (r.start, r.hits, r.snippet) for r in X.best_snippets(X.tokens(df, ["text"]), df, ["secret", "license", "version"], "text", 5).collect()}
     assert got == {1: (32, 2, "…[License] v2 [VERSION] w0 w1…"), 2: (0, 1, "[license]"), 4: (61, 2, "…[secret] [license] [license]")}
+
+
+def test_postings_stay_with_their_items(spark, tmp_path):
+    """No posting is shuffled by token: an item's postings are in one file of a segment, in the order of tokens."""
+    rows = [(k, " ".join(f"w{(k * 7 + j) % 50}" for j in range(30))) for k in range(200)]
+    index = Index(spark, str(tmp_path / "index"), ["text"])
+    index.update(spark.createDataFrame(rows, "item_id long, text string"), 0)
+    files = index.postings().selectExpr("item_id", "input_file_name() AS f").distinct()
+    assert files.count() == 200
+    assert index.postings().count() == 6000

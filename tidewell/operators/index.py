@@ -1,6 +1,6 @@
 """A stored token index that is kept up: segments of postings, tombstones, merges, and a registry of what is indexed.
 
-An update writes one segment with the postings of the items it brings, sorted by token, and tombstones for what these
+An update writes one segment with the postings of the items it brings, by item, each file sorted by token, and tombstones for what these
 items had in older segments; items that have not changed are left alone. When there are too many segments, the smallest
 are merged and their tombstones go. A manifest, written last, names what is live, so a reader sees whole updates and an
 update that is repeated writes the same again. Searches read the row groups of their tokens only.
@@ -47,10 +47,10 @@ class Index:
         return rows
 
     def _write(self, postings: DataFrame, segment: int) -> int:
-        """A token that fills many rows is spread over several files by item. Returns the number of postings."""
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = postings.select(self.key, F.lit(segment).alias("segment"), "field", F.col("pos").cast("int").alias("pos"), "token")
-        rows = rows.repartitionByRange(parts, "token", self.key).sortWithinPartitions("token", self.key)
+        """Each task sorts what it has and writes a file of its own: a search looks into every file, by the statistics of
+        its pages, and no posting is moved to another task. Returns the number of postings."""
+        rows = postings.select(self.key, "field", F.col("pos").cast("int").alias("pos"), "token").sortWithinPartitions("token", self.key)
+        rows = rows.select(self.key, F.lit(segment).alias("segment"), "field", "pos", "token")
         rows.write.mode("overwrite").parquet(f"{self.place}/postings/{segment}")
         return self.spark.read.parquet(f"{self.place}/postings/{segment}").count()
 
