@@ -399,3 +399,10 @@ def test_ages_count_fractions_of_a_second(spark):
     assert [r.state for r in S.lifecycle(trend, NOW).orderBy("topic_id").collect()] == ["evergreen", "evergreen", "evergreen"]
     age = lambda now: [r.state for r in S.lifecycle(trend.withColumn("score", F.lit(56.0)), now).orderBy("topic_id").collect()]
     assert age(NOW) == ["evergreen", "rising", "rising"]
+
+
+def test_semantic_text_names_each_part_once(spark):
+    """Parts are cleaned once a row, not at each of their uses, which nest and multiply."""
+    df = spark.range(3).select(C.semantic_text(F.lit("video"), F.lit("Title"), F.concat(F.lit("t!!! "), F.col("id").cast("string")), F.lit("ti tle"), F.array(F.lit("#x")), 64).alias("said"))
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_replace(") < 60
+    assert [r.said for r in df.orderBy("said").collect()] == [f"Title\nt! {k}\n#x" for k in range(3)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,30 +120,47 @@ def tokens(x: Column) -> Column:
     return F.concat(han_pairs(x), words(x))
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once a row, however often then names it: an expression is otherwise repeated at
+    each of its uses, and those that nest multiply."""
+    return F.get(F.transform(F.array(value), lambda x: then(x)), F.lit(0))
+
+
 def semantic_text(kind: Column, title: Column, text: Column, transcript: Column, tags: Column, most: int = 2000) -> Column:
     """The text that is embedded: title, text, transcript (of videos and unknown kinds) and tags, one below the other,
     without parts that repeat others but for spaces and case; cut to about `most` characters, the first part and the tags
     being kept. Empty if there is nothing."""
     clean = lambda c: F.nullif(F.trim(collapsed(squeeze(F.coalesce(c, F.lit(""))))), F.lit(""))
-    parts = F.array_compact(F.array(clean(title), clean(text), F.when(kind.isin("video", "unknown"), clean(transcript))))
+    given = F.array_compact(F.array(clean(title), clean(text), F.when(kind.isin("video", "unknown"), clean(transcript))))
     keys = lambda a: F.transform(a, lambda p: F.lower(F.regexp_replace(p, r"\s+", "")))
-    parts = F.filter(parts, lambda p, i: F.array_position(keys(parts), F.lower(F.regexp_replace(p, r"\s+", ""))) == i + 1)
+    parts = once(given, lambda a: once(keys(a), lambda k: F.filter(a, lambda _, i: F.array_position(k, F.get(k, i)) == i + 1)))
     tag = F.array_join(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.concat(F.lit("#"), F.regexp_replace(t, "^#", ""))), " ")
-    first, one, two = (F.coalesce(F.get(parts, F.lit(i)), F.lit("")) for i in range(3))
-    room = F.when(tag != "", F.length(tag) + 1).otherwise(0)
-    whole = F.array_join(F.filter(F.array(first, one, two, tag), lambda p: p != ""), "\n")
-
-    def cut(part: Column, used: Column) -> tuple[Column, Column, Column]:
-        left = F.greatest(F.lit(0), F.lit(most) - used - room - 1)
-        fits = F.length(part) <= left
-        said = F.when((part == "") | (left <= 8), "").when(fits, part).otherwise(F.concat(F.substring(part, F.lit(1), left), F.lit("…")))
-        return said, used + F.when(said == "", 0).when(fits, F.length(part) + 1).otherwise(left + 1), (left > 8) & fits
-
-    a, used, goes_on = cut(one, F.length(first))
-    b, more, _ = cut(two, used)
-    b, more = F.when(goes_on, b).otherwise(""), F.when(goes_on, more).otherwise(used)
-    short = F.array_join(F.filter(F.array(first, a, b, F.when(more + F.length(tag) + 1 <= most, tag).otherwise("")), lambda p: p != ""), "\n")
-    return F.when(F.length(whole) <= most, whole).otherwise(short)
+
+    def cut(part: Column, used: Column, room: Column) -> Column:
+        def said(left: Column) -> Column:
+            fits, none = F.length(part) <= left, (part == "") | (left <= 8)
+            text = F.when(none, "").when(fits, part).otherwise(F.concat(F.substring(part, F.lit(1), left), F.lit("…")))
+            more = F.when(none, 0).when(fits, F.length(part) + 1).otherwise(left + 1)
+            return F.struct(text.alias("text"), (used + more).alias("used"), ((left > 8) & fits).alias("goes_on"))
+
+        return once(F.greatest(F.lit(0), F.lit(most) - used - room - 1), said)
+
+    def shortened(s: Column) -> Column:
+        first, tag = s["first"], s["tag"]
+        room = F.when(tag != "", F.length(tag) + 1).otherwise(0)
+
+        def joined(a: Column, b: Column) -> Column:
+            text, used = F.when(a["goes_on"], b["text"]).otherwise(""), F.when(a["goes_on"], b["used"]).otherwise(a["used"])
+            return F.array_join(F.filter(F.array(first, a["text"], text, F.when(used + F.length(tag) + 1 <= most, tag).otherwise("")), lambda p: p != ""), "\n")
+
+        return once(cut(s["one"], F.length(first), room), lambda a: once(cut(s["two"], a["used"], room), lambda b: joined(a, b)))
+
+    def chosen(s: Column) -> Column:
+        whole = F.array_join(F.filter(F.array(s["first"], s["one"], s["two"], s["tag"]), lambda p: p != ""), "\n")
+        return F.when(F.length(whole) <= most, whole).otherwise(shortened(s))
+
+    named = lambda a: F.struct(*[F.coalesce(F.get(a, F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(("first", "one", "two"))], tag.alias("tag"))
+    return once(once(parts, named), chosen)
 
 
 def angle_text(title: Column, text: Column, tags: Column) -> Column:
