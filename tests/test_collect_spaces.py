@@ -61,3 +61,16 @@ def test_versions_come_back_to_life(spark, tmp_path):
     asked = rows((1, "h1", None), (1, "h2", None), (3, "h8", None), (8, "h", None)).select("item_id", "text_hash")
     assert sorted(map(tuple, s.missing(a, asked).collect())) == [(1, "h2"), (3, "h8"), (8, "h")]
     assert Spaces(spark, str(tmp_path / "s"), buckets=2).active() == a  # another session reads the same
+
+
+def test_an_announced_page_lies_in_many_files(spark, tmp_path):
+    """The stream brings a page's number; its rows are read from as many files as tasks have written, and pass as one page."""
+    src, stored = str(tmp_path / "come.parquet"), str(tmp_path / "stored")
+    spark.range(0, 40, 1, 4).selectExpr("id % 4 AS k", "CASE WHEN id % 4 < 2 THEN 'x' END AS text").write.partitionBy("k").parquet(stored)
+    files(spark, src, [(0,)], [(3,)], [(1,)], schema="k long")
+    rows = spark.read.schema("text string, k long").parquet(stored)
+    c = Collection(spark, str(tmp_path / "c"), F.col("text").isNotNull())
+    assert c.run(jobs.stream(spark, src, 1), load=lambda come: rows.where(F.col("k").isin([r.k for r in come.collect()]))) == "partial"
+    assert rows.where("k = 0").select(F.input_file_name()).distinct().count() == 4
+    assert sorted((r.k, r.page, r["count"]) for r in c.taken(SCHEMA).groupBy("k", "page").count().collect()) == [(0, 0, 10)]
+    assert c.quarantined(SCHEMA).where("k = 3 and not _valid").count() == 10

@@ -198,11 +198,13 @@ def stream_gate(spark, sf_dir):
     d, place, c = table(spark, sf_dir, "documents"), _place(spark, "pages"), F.col
     end = d.agg(F.max("doc_id")).first()[0] + 1
     rows = d.withColumn("k", F.floor(c("doc_id") * 20 / end))
-    for k in range(20):  # a file each, in the order in which they are to come
-        rows.where(c("k") == k).coalesce(1).write.mode("append").parquet(place)
+    rows.write.partitionBy("k").parquet(f"{place}/stored")  # one pass, as many files a page as tasks have rows of it
+    for k in range(20):  # what comes in the stream, in this order, is a page's number
+        spark.range(k, k + 1, 1, 1).toDF("k").write.mode("append").parquet(f"{place}/come")
     valid = (F.length(F.trim("text")) > 0) & (c("n_chars") == F.length("text")) & (c("doc_id") % 7 > c("k") % 7)
+    stored = spark.read.schema(rows.schema).parquet(f"{place}/stored")
     run = Collection(spark, _place(spark, "collection"), valid)
-    run.run(J.stream(spark, place, 1))
+    run.run(J.stream(spark, f"{place}/come", 1), load=lambda come: stored.where(c("k").isin([r["k"] for r in come.collect()])))
     counted = lambda df, said: df.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("outcome", F.lit(said))
     return counted(run.taken("doc_id long, k long"), "taken").union(counted(run.quarantined("doc_id long, k long"), "quarantined"))
 

@@ -43,15 +43,17 @@ class Collection:
         """The rows of pages that were refused, bad and good ones, with _valid; a page that passes later leaves it."""
         return self._read("quarantine", f"{schema}, _valid boolean, page int").join(self._read("rows", "page int").distinct(), "page", "left_anti")
 
-    def run(self, rows: DataFrame, cancelled: Callable[[], bool] = lambda: False) -> str:
+    def run(self, rows: DataFrame, cancelled: Callable[[], bool] = lambda: False, load: Callable[[DataFrame], DataFrame] = lambda come: come) -> str:
         """Reads the stream on from where the last run stopped; returns and stores the run's status: completed, partial (a
         page was refused after some were taken), failed (before any was), or cancelled. A refused page is not passed: its
-        offset stays, and the next run begins with it. Columns page and _valid must not occur in rows."""
+        offset stays, and the next run begins with it. Columns page and _valid must not occur in rows. load gives the rows of
+        what came, if the stream only announces pages: a page may then lie in many files, read by as many tasks."""
         seen = {"pages": 0, "rows": 0}
 
         def take(batch: DataFrame, number: int) -> None:
             if cancelled():
                 raise Cancelled()
+            batch = load(batch)
             told = batch.agg(F.count(F.lit(1)).alias("n"), F.count_if(self.valid).alias("ok")).first()
             if told["n"] and told["ok"] < self.least * told["n"]:
                 batch.withColumn("_valid", self.valid).write.mode("overwrite").parquet(f"{self.place}/quarantine/page={number}")
