@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from tidewell.operators import catalog as O
 from tidewell.operators import intel as I
 from tidewell.operators import momentum as M
 from tidewell.operators import scoring as S
+from tidewell.operators import search as X
 from tidewell.operators import silver as D
 from tidewell.operators import similarity as V
 from tidewell.operators.graph import components
@@ -406,3 +408,15 @@ def test_semantic_text_names_each_part_once(spark):
     df = spark.range(3).select(C.semantic_text(F.lit("video"), F.lit("Title"), F.concat(F.lit("t!!! "), F.col("id").cast("string")), F.lit("ti tle"), F.array(F.lit("#x")), 64).alias("said"))
     assert df._jdf.queryExecution().analyzed().toString().count("regexp_replace(") < 60
     assert [r.said for r in df.orderBy("said").collect()] == [f"Title\nt! {k}\n#x" for k in range(3)]
+
+
+def test_snippets_look_near_the_first_term_only(spark):
+    """The same as the pattern over the whole text, which tries thirty places ahead of each."""
+    terms, around = ["ab", "c"], 3
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aAbBCcxyz😀\n ") for _ in range(rng.randrange(30))).replace("c", rng.choice("cx")) for _ in range(300)]
+    said = X.snippet("t", terms, around)
+    rows = spark.createDataFrame(list(enumerate([*texts, None])), "k long, t string")
+    plain = F.regexp_replace(F.regexp_extract("t", r"[^\n]{0,3}(?i:ab|c)[^\n]{0,3}", 0), "(?i)(ab|c)", "[$1]")
+    assert rows.where(~said.eqNullSafe(plain)).count() == 0 and rows.where(plain != "").count() > 50
+    assert "regexp_extract(substring(" in rows.select(said)._jdf.queryExecution().analyzed().toString()

@@ -90,6 +90,9 @@ def snippet(text, terms: list[str], around: int = 30):
     """What stands around the first of the terms within its line, `around` characters at most on each side, with every
     term in brackets, in any case; empty if none is there."""
     one = "|".join(re.escape(t) for t in terms)
+    text = F.col(text) if isinstance(text, str) else text
+    before = F.length(F.regexp_extract(text, f"(?s)^.*?(?=(?i:{one}))", 0))  # one pass; the pattern below looks ahead from each place, so it gets what is near the first term only
+    text = F.substring(text, F.greatest(F.lit(1), before - around + 1), F.lit(3 * around + max(len(t) for t in terms)))
     part = F.regexp_extract(text, f"[^\\n]{{0,{around}}}(?i:{one})[^\\n]{{0,{around}}}", 0)
     return F.regexp_replace(part, f"(?i)({one})", "[$1]")
 
