@@ -420,3 +420,11 @@ def test_snippets_look_near_the_first_term_only(spark):
     plain = F.regexp_replace(F.regexp_extract("t", r"[^\n]{0,3}(?i:ab|c)[^\n]{0,3}", 0), "(?i)(ab|c)", "[$1]")
     assert rows.where(~said.eqNullSafe(plain)).count() == 0 and rows.where(plain != "").count() > 50
     assert "regexp_extract(substring(" in rows.select(said)._jdf.queryExecution().analyzed().toString()
+
+
+def test_features_are_hashed_once_a_worker(monkeypatch):
+    calls, plain = [], V._fnv
+    monkeypatch.setattr(V, "_fnv", lambda text, start: calls.append(text) or plain(text, start))
+    V._placed.cache_clear()
+    assert V.hashed_vector("good food good", 16) == V.hashed_vector("Food good good", 16) and sum(abs(x) for x in V.hashed_vector("", 16)) == 0
+    assert sorted(calls) == ["w:food", "w:food", "w:good", "w:good"]
