@@ -92,3 +92,17 @@ def test_postings_stay_with_their_items(spark, tmp_path):
     files = index.postings().selectExpr("item_id", "input_file_name() AS f").distinct()
     assert files.count() == 200
     assert index.postings().count() == 6000
+
+
+def test_no_task_sorts_more_than_it_should(spark, tmp_path):
+    """A file holds what one task sorted; items that come twice count once, their larger row."""
+    rng = random.Random(5)
+    docs = {k: (None, " ".join(rng.choices(WORDS, k=40))) for k in range(60)}
+    index = Index(spark, str(tmp_path / "i"), ["title", "text"], each=200)
+    twice = [(k, None, "a") for k in range(5)]
+    index.update(spark.createDataFrame([(k, *v) for k, v in docs.items()] + twice, DOCS).coalesce(1), 0)
+    assert rows_of(index.postings()) == fresh(spark, docs)
+    files = spark.read.parquet(str(tmp_path / "i" / "postings" / "0")).groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 6 and max(r["count"] for r in files) < 800
+    texts = spark.read.parquet(str(tmp_path / "i" / "changed" / "0")).columns
+    assert not {"title", "text"} & set(texts)  # what is joined with the registry holds no texts

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def words(text: str) -> Column:
+    """The tokens of a text column in order; a null text has none."""
+    return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+
+
 def tokens(docs: DataFrame, fields: list[str], key: str = "item_id") -> DataFrame:
     """(item_id, field, pos, token): lower-case runs of letters and digits, numbered within their field."""
-    parts = [docs.select(key, F.lit(f).alias("field"), F.posexplode(F.filter(F.split(F.lower(F.coalesce(F.col(f), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")).alias("pos", "token")) for f in fields]
+    parts = [docs.select(key, F.lit(f).alias("field"), F.posexplode(words(f)).alias("pos", "token")) for f in fields]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import text as T
 from tidewell.operators import search as X
 from tidewell.operators import silver as D
-from tidewell.operators.graph import checkpoint_dir
+from tidewell.operators.graph import checkpoint_dir, saved
 from tidewell.operators.index import Index
 
 from .views import EVENTS_SQL, event_items, event_snapshots, table, text_items
@@ -270,15 +270,17 @@ def search_after_updates(spark, sf_dir):
     index = Index(spark, f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}", ["text"])
     docs = text_items(spark, sf_dir)
     index.update(docs.select("item_id", "text"), 0)
-    first = docs.groupBy("text").agg(F.min("item_id").alias("_first"))
-    again = docs.join(first.withColumnRenamed("text", "_t"), F.col("text").eqNullSafe(F.col("_t")))
+    same = docs.select("item_id", F.col("text").isNull().alias("n"), F.xxhash64("text").alias("d1"), F.xxhash64(F.lit("second"), "text").alias("d2"))  # texts by two hashes, as in the index
+    first = same.groupBy("n", "d1", "d2").agg(F.min("item_id").alias("_first"))
+    gone = saved(same.join(first, ["n", "d1", "d2"]).where("item_id <> _first").select("item_id"))
     edited = docs.where("platform = 'fr'").select("item_id", F.concat("text", F.lit(" Revised license.")).alias("text"))
-    index.update(edited, 1, again.where("item_id <> _first").select("item_id"))
-    gone = again.where("item_id <> _first").select("item_id")
+    index.update(edited, 1, gone)
     index.update(docs.limit(0).select("item_id", "text"), 2, gone)
-    found = X.matches(index.postings(), ["license"]).withColumnRenamed("item_id", "_i")
-    rows = index.postings().join(found, F.col("item_id") == F.col("_i"), "left_semi")
-    return rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("tokens"), F.count_if(F.col("token") == "revised").alias("revised"))
+    rows = index.postings()
+    revised = rows.where("token = 'revised'").groupBy(F.col("item_id").alias("_r")).agg(F.count(F.lit(1)).alias("n"))
+    sizes = index.sizes().select(F.col("item_id").alias("_s"), "size")
+    found = X.matches(rows, ["license"]).join(sizes, F.col("item_id") == F.col("_s")).join(revised, F.col("item_id") == F.col("_r"), "left")
+    return found.select("item_id", F.col("size").alias("tokens"), F.coalesce("n", F.lit(0)).alias("revised"))
 
 
 @query("SELECT doc_id AS item_id FROM documents WHERE contains(lower(text), 'mit license')")
