@@ -160,3 +160,19 @@ def test_cut_forgets_how_large_its_plan_was(spark):
     for _ in range(12):  # as checkpoints, the size told for the last of these has thousands of digits
         df = cut(df.join(df.withColumnRenamed("x", "y"), F.col("x") == F.col("y")).select("x"))
     assert df.count() == 50 and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1_000_000
+
+
+def test_rows_go_to_bundles_of_pivots(spark, tmp_path):
+    """A row meets as many tasks as there are bundles, not pivots; a pivot larger than a bundle is cut."""
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(240, 8))
+    v[:90] = v[0]  # equal vectors have one pivot
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    index = J.Pivots(rows, str(tmp_path / "v"), rows_each=4)
+    made = index.bundles(40)
+    sizes = {}
+    for p, pieces, _, bundle in made:
+        sizes[bundle] = sizes.get(bundle, 0) + index.sizes[p] / pieces
+    assert len(index.points) == 60 and len(sizes) <= 12 and max(sizes.values()) <= 41
+    assert pairs(index.edges(0.3, block=40)) == pairs(V.edges(rows, 0.3))
+    assert sum(index.sizes) == 240
