@@ -176,3 +176,62 @@ def test_rows_go_to_bundles_of_pivots(spark, tmp_path):
     assert len(index.points) == 60 and len(sizes) <= 12 and max(sizes.values()) <= 41
     assert pairs(index.edges(0.3, block=40)) == pairs(V.edges(rows, 0.3))
     assert sum(index.sizes) == 240
+
+
+def plain_near(rows, threshold, most):
+    """Pairs among the `most` nearest of an end, by loops; ties to 12 digits by id."""
+    out = set()
+    for dim in {len(v) for _, v in rows}:
+        same = sorted((i, v) for i, v in rows if len(v) == dim)
+        ids, x = [i for i, _ in same], np.array([v for _, v in same])
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        s = u @ u.T
+        for a in range(len(ids)):
+            best = sorted((b for b in range(len(ids)) if b != a and s[a, b] >= threshold), key=lambda b: (-round(s[a, b], 12), ids[b]))[:most]
+            out |= {(min(ids[a], ids[b]), max(ids[a], ids[b]), round(float(s[a, b]), 9)) for b in best}
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [90, 2000])
+def test_near_pairs_by_brute_force(spark, block):
+    """Ties, copies, vectors of two lengths and of very large and small numbers, in blocks and in one."""
+    rng = np.random.default_rng(7)
+    rows = dense(7, n=700, dim=16, spread=0.5) + [(1000 + k, v) for k, v in dense(8, n=60, dim=5)]
+    rows += [(2000 + k, [float(z) for z in rng.integers(0, 2, 16) + np.eye(16)[k % 16]]) for k in range(300)]  # whole numbers: many ties
+    rows += [(3000, [1e200] * 16), (3001, [1e-200] * 16)]
+    got = pairs(J.near_pairs(spark.createDataFrame(rows, "id long, v array<double>"), 0.4, 4, block=block))
+    assert got == plain_near(rows, 0.4, 4)
+
+
+def test_sparse_near_pairs_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    rows = docs.select(F.col("doc_id").alias("id"), V.lexical_vectors(F.split_part("text", F.lit("."), F.lit(1)), 128).alias("v")).where(V.links(F.col("v")))
+    plain = [(r.id, list(r.v)) for r in rows.collect()]
+    for threshold, most in ((0.72, 5), (0.3, 3)):
+        assert pairs(J.near_pairs(rows, threshold, most, sparse=True, block=60)) == plain_near(plain, threshold, most)
+
+
+def test_folded_vectors_exclude_most_pairs(spark):
+    """Prefixes of the same titles compare some four of ten pairs; folded vectors leave under one of a hundred to compare in full."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    x = np.unique([r.v for r in docs.select(V.lexical_vectors(F.split_part("text", F.lit("."), F.lit(1)), 128).alias("v")).collect()], axis=0)
+    x = x[(x != 0).any(axis=1)]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    short = J.folded(u)
+    bound, sim, pair = short @ short.T, u @ u.T, ~np.eye(len(u), dtype=bool)
+    assert short.shape[1] <= 40 and (bound >= sim - 1e-9).all()
+    assert (bound[pair] >= 0.72).mean() < 0.01 and (sim[pair] >= 0.72).any()
+
+
+def test_cohesion_of_weighted_nodes(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k % 7, [float(z) for z in rng.normal(size=6)], k % 3 + 1) for k in range(60)] + [(9, [1.0, 0.0, 0.0, 0.0, 0.0, 0.0], 2), (9, [-1.0, 0.0, 0.0, 0.0, 0.0, 0.0], 2)]
+    df = V._weighted_cohesion(spark.createDataFrame(rows, "cluster long, v array<double>, w long"))
+    assert "collect_list" not in df._jdf.queryExecution().toString()  # sums only: no row meets its cluster's centroid
+    got = {r.cluster: r.cohesion for r in df.collect()}
+    for c in {r[0] for r in rows}:
+        x, w = (np.array([r[k] for r in rows if r[0] == c], dtype=float) for k in (1, 2))
+        mean = (x * w[:, None]).sum(axis=0) / w.sum()
+        cosines = x @ mean / np.maximum(np.linalg.norm(x, axis=1) * np.linalg.norm(mean), 1e-300)
+        assert got[c] == pytest.approx(max(0.0, (cosines * w).sum() / w.sum()), abs=1e-12)
