@@ -11,7 +11,7 @@ from tidewell.functions.stats import half_up
 from tidewell.operators import identity as N
 from tidewell.operators import similarity as V
 from tidewell.operators.graph import checkpoint_dir, components
-from tidewell.operators.simjoin import Pivots
+from tidewell.operators.simjoin import Pivots, near_pairs
 from tidewell.operators.spaces import Spaces
 
 from .views import table, text_items
@@ -44,7 +44,8 @@ def similarity_edges(spark, sf_dir):
 
 @query(f"{_E} SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS r FROM both_ways) WHERE r <= 3")
 def neighbor_topk(spark, sf_dir):
-    return V.neighbours(V.edges(_vectors(spark, sf_dir).select("id", "v"), 0.3, most=3), 3).select("a", "b")
+    v = _vectors(spark, sf_dir).where(F.col("id").isNotNull() & V.links(F.col("v")))
+    return near_pairs(v.select("id", "v"), 0.3, 3).select("a", "b")
 
 
 @query(f"{_E}, reach AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT both_ways.b, reach.root FROM reach JOIN both_ways ON both_ways.a = reach.id) SELECT id, min(root) AS component FROM reach GROUP BY 1")
