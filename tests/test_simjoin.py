@@ -235,3 +235,11 @@ def test_cohesion_of_weighted_nodes(spark):
         mean = (x * w[:, None]).sum(axis=0) / w.sum()
         cosines = x @ mean / np.maximum(np.linalg.norm(x, axis=1) * np.linalg.norm(mean), 1e-300)
         assert got[c] == pytest.approx(max(0.0, (cosines * w).sum() / w.sum()), abs=1e-12)
+
+
+def test_copies_with_either_zero_stay_together(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, -0.0]), (3, [1.0, 0.0]), (4, [-0.0, 1.0])]
+    for kind in ("double", "float"):
+        df = V.clusters(spark.createDataFrame(rows, f"id long, v array<{kind}>"), 0.7)
+        assert {r.id: (r.cluster, r.status) for r in df.collect()} == {1: (1, "active"), 2: (1, "active"), 3: (1, "active"), 4: (4, "noise")}
+        assert "xxhash64" in df._jdf.queryExecution().optimizedPlan().toString()  # joined by a number first
